@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quirestack.llm.bpe import encode_corpus
 from quirestack.llm.canon import alike_pairs, consistent_form
+from quirestack.llm.leak import leaks
 from quirestack.llm.split import LIMIT, split_texts
 from quirestack.session import table
 
@@ -44,7 +45,17 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"), "text", ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_forms, p5_found, p5_pieces, p6_ids)}
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """Each leak with its length and the share of the held-out text that its tiles cover."""
+    rows = leaks(table(spark, d, "documents"), "text", "doc_id", table(spark, d, "eval_items"), "item_id", ["passage", "question"])
+    return rows.withColumn("coverage", F.round(F.col("covered_words") / F.col("item_words"), 4))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_report(spark, d).select("doc_id", "item_id").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_forms, p5_found, p5_pieces, p6_ids, p7_found, p7_report)}
 
 SQL = {
     "p5_found": """
