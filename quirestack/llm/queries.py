@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quirestack.llm.bpe import encode_corpus
 from quirestack.llm.canon import alike_pairs, consistent_form
 from quirestack.llm.leak import leaks
+from quirestack.llm.safety import THRESHOLD, fit, scored
 from quirestack.llm.split import LIMIT, split_texts
 from quirestack.session import table
 
@@ -55,7 +56,24 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_report(spark, d).select("doc_id", "item_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_forms, p5_found, p5_pieces, p6_ids, p7_found, p7_report)}
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    """A score for each document."""
+    docs = table(spark, d, "documents")
+    _, linear = fit(docs, "text", "doc_id", table(spark, d, "doc_labels"))
+    return scored(docs, "text", "doc_id", ["source"], linear)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_scores(spark, d).where(F.col("unsafe_score") >= THRESHOLD).select("doc_id")
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    """The rate of such documents for each source."""
+    unsafe = (F.col("unsafe_score") >= THRESHOLD).cast("long")
+    return p8_scores(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(unsafe).alias("unsafe_documents")).withColumn("unsafe_rate", F.round(F.col("unsafe_documents") / F.col("documents"), 6))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_forms, p5_found, p5_pieces, p6_ids, p7_found, p7_report, p8_scores, p8_found, p8_rates)}
 
 SQL = {
     "p5_found": """
