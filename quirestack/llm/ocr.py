@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ FURNITURE_TYPES = ("header", "footer", "page_number")
 ADMITTED = (*FURNITURE_TYPES, "title")
 NO_PROSE = ("code", "algorithm", "equation", "inline_equation")
 #: Rows that the classifiers are fitted on at most.
-LINE_SAMPLE, WORD_SAMPLE = 20_000, 4_000
+LINE_SAMPLE, WORD_SAMPLE, RANK_SAMPLE = 20_000, 4_000, 1_500
 #: Corrections up to so many go to every executor; beyond that they are joined by a shuffle.
 BROADCAST_ROWS = 300_000
 GRAM, RAREST = 3, 6
@@ -155,9 +156,8 @@ def _page_sample(blocks: DataFrame) -> Boost:
     # a bounded number of blocks of each kind, by hash
     near = blocks.where(~F.col("block_type").isin("table_cell", "title", *NO_PROSE)).withColumn("mark", F.col("block_type").isin(*FURNITURE_TYPES))
     parts = [near.where(cond).orderBy(F.xxhash64("block_no")).limit(LINE_SAMPLE // 4).drop("mark") for cond in ("mark", "not mark")]
-    found = parts[0].union(parts[1]).coalesce(1).mapInArrow(run, "mark int, features array<double>").collect()
-    x = np.array([r.features for r in found], float).reshape(-1, 8)
-    return Boost(x, np.array([r.mark for r in found], float), trees=40, depth=3)
+    found = parts[0].union(parts[1]).coalesce(1).mapInArrow(run, "mark int, features array<double>").toArrow()
+    return Boost(_matrix(found.column("features"), 8), found.column("mark").to_numpy(), trees=40, depth=3)
 
 
 def _scan(blocks: DataFrame, model: Boost) -> DataFrame:
@@ -283,13 +283,13 @@ def _join_model(sample: list[tuple[str, int]], words: DataFrame) -> Boost:
             made.setdefault((heads[int(rng.integers(0, len(heads)))], w, "-"), 1)
     x, own = [], []
     pairs = words.sparkSession.createDataFrame(sorted(made), "left string, right string, mark string")
-    for r in _told(pairs, words).collect():
-        c = [e.n for e in r.c]
-        x.append(_join_features(c, r.left, r.right, r.mark))
-        own.append(made[r.left, r.right, r.mark])
-        if (r.left, r.right, r.mark) not in hard:  # as if the whole were not known
-            x.append(_join_features([0, 0, *c[2:]], r.left, r.right, r.mark))
-            own.append(made[r.left, r.right, r.mark])
+    for r in _told(pairs, words).select(*PAIR, F.transform("c", lambda e: e["n"]).alias("c")).toArrow().to_pylist():
+        left, right, mark, c = r["left"], r["right"], r["mark"], r["c"]
+        x.append(_join_features(c, left, right, mark))
+        own.append(made[left, right, mark])
+        if (left, right, mark) not in hard:  # as if the whole were not known
+            x.append(_join_features([0, 0, *c[2:]], left, right, mark))
+            own.append(made[left, right, mark])
     return Boost(np.array(x, float).reshape(-1, 10), np.array(own, float), trees=40, depth=4)
 
 
@@ -363,7 +363,7 @@ def _rank_model(known: DataFrame, sample: list[tuple[str, int]]) -> Boost:
     """Fitted on known words: half are misread on purpose, the other half are taken for unknown as they are."""
     rng = np.random.default_rng(11)
     truth: dict[str, str] = {}
-    for k, (w, _) in enumerate(sample):
+    for k, (w, _) in enumerate(sample[:: max(1, len(sample) // RANK_SAMPLE)]):
         if len(w) < 4:
             continue
         if k % 3 == 2:
@@ -375,11 +375,24 @@ def _rank_model(known: DataFrame, sample: list[tuple[str, int]]) -> Boost:
             truth[w[:i] + r + w[i + len(p) :]] = w
     real = {w for w, _ in sample}
     rows = [(w, 1) for w, t in truth.items() if not t or w not in real]
-    session = known.sparkSession
-    probes = session.createDataFrame(rows, "word string, seen long")
-    found = _candidates(probes, known).collect()
-    x = np.array([pair_features(r.word, r.known, r.clean, r.seen, r.shared) for r in found], float).reshape(-1, 11)
-    return Boost(x, np.array([float(truth.get(r.word) == r.known) for r in found]), trees=60, depth=4)
+    probes = known.sparkSession.createDataFrame(rows, "word string, seen long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = [b.column(c).to_pylist() for c in ("word", "known", "clean", "seen", "shared")]
+            x = [pair_features(*r) for r in zip(*cols, strict=True)]
+            y = [float(truth.get(w) == k) for w, k in zip(*cols[:2], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float32())), pa.array(y, pa.float32())], names=["x", "y"])
+
+    found = _candidates(probes, known).mapInArrow(run, "x array<float>, y float").toArrow()
+    x, y = _matrix(found.column("x"), 11), found.column("y").to_numpy()
+    return Boost(x, y, trees=60, depth=4)
+
+
+def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """A column of equally long lists as a matrix."""
+    flat = pa.compute.list_flatten(column).to_numpy()
+    return flat.reshape(-1, width).astype(float)
 
 
 class Repair:
