@@ -1,0 +1,71 @@
+"""Boxes as structs or arrays (x0, y0, x1, y1), in Column arithmetic."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def edges(box: Column) -> tuple[Column, Column, Column, Column]:
+    return box[0], box[1], box[2], box[3]
+
+
+def area(box: Column) -> Column:
+    x0, y0, x1, y1 = edges(box)
+    return F.greatest(x1 - x0, F.lit(0.0)) * F.greatest(y1 - y0, F.lit(0.0))
+
+
+def shared_area(a: Column, b: Column) -> Column:
+    return F.greatest(F.least(a[2], b[2]) - F.greatest(a[0], b[0]), F.lit(0.0)) * F.greatest(F.least(a[3], b[3]) - F.greatest(a[1], b[1]), F.lit(0.0))
+
+
+def iou(a: Column, b: Column) -> Column:
+    """Shared area over joint area; 0 where both are empty."""
+    joint = area(a) + area(b) - shared_area(a, b)
+    return F.when(joint > 0, shared_area(a, b) / joint).otherwise(0.0)
+
+
+def x_overlap_share(a: Column, b: Column) -> Column:
+    narrow = F.least(a[2] - a[0], b[2] - b[0])
+    return F.when(narrow > 0, F.greatest(F.least(a[2], b[2]) - F.greatest(a[0], b[0]), F.lit(0.0)) / narrow).otherwise(0.0)
+
+
+def quantise(c: Column, grid: float = 1.0) -> Column:
+    """Half-up to positive infinity, unlike rounding."""
+    return F.floor(c / grid + 0.5).cast("long")
+
+
+def rotation(c: Column) -> Column:
+    """Degrees modulo 360; null unless a right angle."""
+    r = F.pmod(c, F.lit(360))
+    return F.when(r.isin(0, 90, 180, 270), r)
+
+
+def page_size(media: Column, turn: Column, unit: Column) -> Column:
+    w, h = (media[2] - media[0]) / unit, (media[3] - media[1]) / unit
+    sideways = rotation(turn).isin(90, 270)
+    return F.struct(F.when(sideways, h).otherwise(w).alias("width"), F.when(sideways, w).otherwise(h).alias("height"))
+
+
+def ring(box: Column) -> Column:
+    """The box as a polygon of four points."""
+    x0, y0, x1, y1 = edges(box)
+    return F.array(F.array(x0, y0), F.array(x1, y0), F.array(x1, y1), F.array(x0, y1))
+
+
+def signed_area(polygon: Column) -> Column:
+    """Shoelace formula."""
+    turned = F.concat(F.slice(polygon, 2, 100000), F.slice(polygon, 1, 1))
+    return F.aggregate(F.zip_with(polygon, turned, lambda p, q: p[0] * q[1] - q[0] * p[1]), F.lit(0.0), lambda s, x: s + x) / 2
+
+
+def extent(polygon: Column) -> Column:
+    xs, ys = F.transform(polygon, lambda p: p[0]), F.transform(polygon, lambda p: p[1])
+    return F.array(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
+
+
+def point_in_polygon(x: Column, y: Column, polygon: Column) -> Column:
+    """Even-odd rule."""
+    turned = F.concat(F.slice(polygon, 2, 100000), F.slice(polygon, 1, 1))
+    crossings = F.zip_with(polygon, turned, lambda p, q: (((p[1] > y) != (q[1] > y)) & (x < (q[0] - p[0]) * (y - p[1]) / F.when(q[1] == p[1], F.lit(None)).otherwise(q[1] - p[1]) + p[0])).cast("int"))
+    return F.aggregate(crossings, F.lit(0), lambda s, v: s + F.coalesce(v, F.lit(0))) % 2 == 1
