@@ -195,7 +195,7 @@ class Encoder:
         size = self.size[words]
         ends = np.r_[0, np.cumsum(size)]
         flat = self.flat[np.arange(ends[-1]) + np.repeat(self.start[words] - ends[:-1], size)]
-        return flat, ends[np.r_[0, np.cumsum([len(f) for f in found])]]
+        return flat, ends[np.cumsum([0, *map(len, found)])]
 
 
 def encode_corpus(df: DataFrame, text: str, keys: list[str], path: str | None = None, output: str = "ids") -> DataFrame:

@@ -154,6 +154,7 @@ class Sentences:
         self.masked = self._any(masked_word[ids])
         starred = np.zeros(len(has), bool)
         starred[word[star]] = True
+        starred[word[run]] = True
         self.starred = starred[ids]
         self.hidden = np.zeros(len(self.first), bool)
         if self.starred.any():
@@ -244,6 +245,7 @@ def _gapped() -> np.ndarray:
     """Values of what is left of a listed word when up to four of its inner letters are starred out."""
     words = {w for name in ("insult", "strong", "foreign_insult", "sex_strong", "sex") for w in LISTS[name].split() if "_" not in w and len(w) > 3}
     left = {w[:i] + w[i + n :] for w in words for n in range(1, 5) for i in range(1, len(w) - n)}
+    left |= words | {"a" + w for w in words}  # letters set apart may have taken in the article before them
     return np.unique(np.concatenate([Sentences(pa.array([w])).values for w in sorted(left) if len(w) > 1]))
 
 
@@ -257,9 +259,9 @@ class LabelModel:
         w = counts.astype(float)
         against = np.array([v in NEGATIVE for v in VOTERS])
         base = (x * w[:, None]).sum(0) / w.sum()
-        # before any data: voters against speak twenty times as often on such sentences, the others half as often
+        # before any data: voters for speak far more often on such sentences than on others, those against less than half as often
         self.p1 = np.clip(np.where(against, base * 0.4, np.maximum(base * 20, 0.12)), 1e-4, 0.9)
-        self.p0 = np.clip(base, 1e-6, 0.98)
+        self.p0 = np.clip(np.where(against, base, base * 0.2), 1e-6, 0.98)
         self.prior = 0.005
         self.share = np.ones(k)
         first1, first0 = self.p1.copy(), self.p0.copy()
@@ -285,7 +287,7 @@ class LabelModel:
             total = np.maximum(total, cov / sd[:, None] / sd[None, :])
         self.correlation = np.where(total > 0.3, total, 0.0)
         np.fill_diagonal(self.correlation, 1.0)
-        self.share = 1 / np.sqrt(self.correlation.sum(1))
+        self.share = np.maximum(1 / np.sqrt(self.correlation.sum(1)), 0.5)
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
         x = (patterns[:, None] >> np.arange(len(VOTERS)) & 1).astype(bool)
@@ -309,7 +311,7 @@ class Linear:
         flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
         start = np.r_[0, np.cumsum(size)]
         norm = 1 / np.sqrt(size + SHORT)
-        for _ in range(rounds):
+        for _ in range(rounds if rows else 0):
             order = rng.permutation(len(rows))
             for part in np.array_split(order, max(1, len(order) // 256)):
                 n = size[part]
