@@ -118,8 +118,7 @@ def line_features(lines: list[str], i: int, page: int, templates: Templates) ->
     before = lines[i - 1].rstrip() if i else ""
     after = lines[i + 1].lstrip() if i + 1 < len(lines) else ""
     number = page_number(line)
-    usual = np.median([len(x) for x in lines])
-    return (templates.likeness(line), float(number >= 0), float(number == page + 1), float(bool(before) and before[-1] not in ".!?:"), float(bool(after) and after[:1].islower()), float(len(lines) == 1), len(line) / max(1.0, usual), float(len(line)))
+    return (templates.likeness(line), float(number >= 0), float(number == page + 1), float(bool(before) and before[-1] not in ".!?:"), float(bool(after) and after[:1].islower()), float(len(lines) == 1))
 
 
 SCAN_SCHEMA = "block_no long, paper_id string, generation int, doc_order int, body boolean, gone boolean, furniture array<int>, breaks array<struct<left:string,right:string,mark:string>>, tail_word string, tail_mark string, head_word string, words array<string>"
@@ -157,7 +156,7 @@ def _page_sample(blocks: DataFrame) -> Boost:
     near = blocks.where(~F.col("block_type").isin("table_cell", "title", *NO_PROSE)).withColumn("mark", F.col("block_type").isin(*FURNITURE_TYPES))
     parts = [near.where(cond).orderBy(F.xxhash64("block_no")).limit(LINE_SAMPLE // 4).drop("mark") for cond in ("mark", "not mark")]
     found = parts[0].union(parts[1]).coalesce(1).mapInArrow(run, "mark int, features array<double>").toArrow()
-    return Boost(_matrix(found.column("features"), 8), found.column("mark").to_numpy(), trees=40, depth=3)
+    return Boost(_matrix(found.column("features"), 6), found.column("mark").to_numpy(), trees=40, depth=3)
 
 
 def _scan(blocks: DataFrame, model: Boost) -> DataFrame:
@@ -486,6 +485,79 @@ class Repair:
         return self.words.join(self._fix().select("word", "right"), "word").select("block_no", F.col("word").alias("read_word"), F.col("right").alias("right_word"))
 
 
+    def paragraphs(self) -> DataFrame:
+        """``block_no``, ``block_type``, ``paragraph_text`` and ``continued_in``: each block as continuous text.
+
+        Furniture is gone, broken words are whole, misread words are put right, lines are joined by blanks.  A word that
+        is broken over two blocks stands in the first, which names the second.  Blocks that are all furniture have no
+        row; code and formulas keep their lines.
+        """
+        fixes = self.corrected_words().groupBy("block_no").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("read_word", "right_word")))).alias("fixes"))
+        whole = self.joins.groupBy("block_no").agg(F.collect_set(F.struct("left", "right", "raw_right", "joined")).alias("joins"), F.max("next_no").alias("continued_in"))
+        taken = self.joins.where("next_no is not null").select(F.col("next_no").alias("block_no"), F.lit(True).alias("headless")).distinct()
+        src = self.blocks.select("block_no", "block_type", "text").join(self.scan.where(~F.col("gone")).select("block_no", "furniture"), "block_no").join(fixes, "block_no", "left").join(whole, "block_no", "left").join(taken, "block_no", "left")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                made = [_continuous(*r) for r in zip(*(b.column(c).to_pylist() for c in ("block_type", "text", "furniture", "fixes", "joins", "continued_in", "headless")), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("block_no"), b.column("block_type"), pa.array(made, pa.string()), b.column("continued_in")], names=["block_no", "block_type", "paragraph_text", "continued_in"])
+
+        return src.mapInArrow(run, "block_no long, block_type string, paragraph_text string, continued_in long")
+
+
+def _put_right(token: str, fixes: dict[str, str]) -> str:
+    """The token with its word replaced; what surrounds the word and its capital stay."""
+    bare = plain(token)
+    right = fixes.get(bare)
+    at = token.lower().find(bare)
+    if right is None or at < 0:
+        return token
+    kept = token[at : at + len(bare)]
+    if kept.isupper() and len(kept) > 1:
+        right = right.upper()
+    elif kept[:1].isupper():
+        right = right[:1].upper() + right[1:]
+    return token[:at] + right + token[at + len(bare) :]
+
+
+def _continuous(kind: str, text: str, furniture: list[int] | None, fixes: list | None, joins: list | None, continued: int | None, headless: bool | None) -> str:
+    if kind in NO_PROSE:
+        return text
+    gone, fixed = set(furniture or []), dict(fixes or [])
+    whole = {(j["left"], j["right"]): j["joined"] for j in joins or []}
+    lines = [x for i, x in enumerate(lines_of(text), 1) if i not in gone and x.strip()]
+    out: list[str] = []
+    carry = ""
+    for i, line in enumerate(lines):
+        parts = line.split()
+        if headless and i == 0:
+            parts = parts[1:]
+        if carry and parts:
+            joined = whole.get((plain(carry), plain(parts[0])))
+            out += [_merged(carry, parts[0], joined)] if joined else [carry + "-", parts[0]]
+            parts = parts[1:]
+        elif carry:
+            out.append(carry + "-")
+        carry = ""
+        m = _BREAK.match(line.rstrip())
+        if m and parts:
+            carry = m[2]
+            parts = parts[:-1]
+        out += parts
+    if carry:
+        over = next((j for j in joins or [] if continued is not None and j["left"] == plain(carry)), None)
+        out.append(_merged(carry, over["raw_right"], over["joined"]) if over else carry + "-")
+    return " ".join(_put_right(t, fixed) for t in out)
+
+
+def _merged(left: str, right: str, joined: str) -> str:
+    """The whole word with the signs before its first part and after its second, and the capital it had."""
+    before = left[: max(0, left.lower().find(plain(left)))]
+    bare = plain(right)
+    after = right[right.lower().find(bare) + len(bare) :]
+    return before + (joined[:1].upper() + joined[1:] if left[len(before) : len(before) + 1].isupper() else joined) + after
+
+
 def noise(blocks: DataFrame) -> DataFrame:
     """Distinct rows (block_no, noise_kind, found_value) for the scanned blocks of ``blocks``.
 

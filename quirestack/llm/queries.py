@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quirestack.llm.bpe import encode_corpus
 from quirestack.llm.canon import alike_pairs, consistent_form
 from quirestack.llm.leak import leaks
-from quirestack.llm.ocr import noise
+from quirestack.llm.ocr import Repair, noise
 from quirestack.llm.safety import THRESHOLD, fit, scored
 from quirestack.llm.split import LIMIT, split_texts
 from quirestack.session import table
@@ -18,6 +18,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return noise(table(spark, d, "blocks"))
 
 
+def p3_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """The scanned blocks as continuous text."""
+    return Repair(table(spark, d, "blocks")).paragraphs()
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     printed = table(spark, d, "blocks").where(F.col("source_kind") != "ocr")
     return alike_pairs(printed, "text", "paper_id", "block_no")
@@ -78,7 +83,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return p8_scores(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(unsafe).alias("unsafe_documents")).withColumn("unsafe_rate", F.round(F.col("unsafe_documents") / F.col("documents"), 6))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_forms, p5_found, p5_pieces, p6_ids, p7_found, p7_report, p8_scores, p8_found, p8_rates)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_paragraphs, p4_found, p4_forms, p5_found, p5_pieces, p6_ids, p7_found, p7_report, p8_scores, p8_found, p8_rates)}
 
 SQL = {
     "p5_found": """
