@@ -60,7 +60,6 @@ def test_any_json(values):
         for _ in range(wraps):
             t = json.dumps(t)
         texts.append(t[:keep])
-    texts = [t for t in texts if t.isprintable() or True]
     got = index_objects(pa.array([t.encode("utf-8", "replace").decode() for t in texts], pa.string()))
     rows = list(zip(got["row"].tolist(), got["parent"].to_pylist(), got["path"].to_pylist(), strict=True))
     assert sorted(rows) == sorted((i, *x) for i, t in enumerate(texts) for x in brute(t.encode("utf-8", "replace").decode()))
@@ -71,7 +70,7 @@ def test_operator(spark):
     df = spark.createDataFrame(rows, "object_path int, payload string, extra string")
     got = nested_objects(df, "payload", ["object_path"], with_text=True)
     assert got.columns == ["in_object_path", "parent_path", "object_path", "object_depth", "array_position", "object_text"]
-    assert sorted(map(str, got.collect())) == sorted(map(str, 2 * [(1, "", "/a", 1, None, '{"b":[null,{"c":1}]}'), (1, "/a", "/a/b/1", 2, 1, '{"c":1}')] + [(None, "", "/k", 1, None, "{}")])) or {tuple(r) for r in got.collect()} == {(1, "", "/a", 1, None, '{"b":[null,{"c":1}]}'), (1, "/a", "/a/b/1", 2, 1, '{"c":1}'), (None, "", "/k", 1, None, "{}")}
+    assert {tuple(r) for r in got.collect()} == {(1, "", "/a", 1, None, '{"b":[null,{"c":1}]}'), (1, "/a", "/a/b/1", 2, 1, '{"c":1}'), (None, "", "/k", 1, None, "{}")}
     assert got.count() == 5
     assert nested_objects(df.limit(0), "payload", ["object_path"]).count() == 0
 
