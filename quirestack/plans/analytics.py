@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quirestack.functions import geometry as G
 from quirestack.functions import text as X
+from quirestack.operators import layout
+from quirestack.operators.anchoring import resolve, selectors
+from quirestack.operators.memory import canonical_json, gated, verbatim
 from quirestack.operators.retrieval import greedy_match, nearest_vectors, pack_evidence, section_outline, verify_claims
 from quirestack.plans.records import p2_paths
 from quirestack.session import table
@@ -142,6 +145,68 @@ def highlight_export(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("question_id", F.array_join(line, "\n").alias("markdown"))
 
 
+def _boxes(spark: SparkSession, d: str) -> DataFrame:
+    b = F.col("bbox")
+    return table(spark, d, "blocks").where("flow_kind = 'body' and bbox is not null").select("paper_id", "generation", "page_index", "block_no", b[0].alias("x0"), b[1].alias("y0"), b[2].alias("x1"), b[3].alias("y1")).distinct()
+
+
+def page_columns(spark: SparkSession, d: str) -> DataFrame:
+    return layout.page_columns(_boxes(spark, d))
+
+
+def column_order(spark: SparkSession, d: str) -> DataFrame:
+    return layout.column_order(_boxes(spark, d))
+
+
+def suppressed_regions(spark: SparkSession, d: str) -> DataFrame:
+    return layout.suppressed(_boxes(spark, d))
+
+
+def region_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return layout.clusters(_boxes(spark, d))
+
+
+def page_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return layout.covered_area(_boxes(spark, d))
+
+
+def _anchors(spark: SparkSession, d: str) -> DataFrame:
+    return selectors(table(spark, d, "blocks").select("paper_id", "generation", "block_no", "block_id", "page_index", "bbox", "text", "doc_order").distinct())
+
+
+def anchor_selectors(spark: SparkSession, d: str) -> DataFrame:
+    return _anchors(spark, d).select("block_no", "exact", "prefix", "suffix", "text_hash")
+
+
+def anchor_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """Every block of a first generation, found again in the second where the paper has one."""
+    a = _anchors(spark, d)
+    new = a.where("generation = 2")
+    return resolve(a.where("generation = 1").join(new.select("paper_id").distinct(), "paper_id", "left_semi"), new)
+
+
+def anchor_rates(spark: SparkSession, d: str) -> DataFrame:
+    return anchor_resolution(spark, d).groupBy("tier").agg(F.count(F.lit(1)).alias("anchors"), F.round(F.avg("score"), 6).alias("mean_score"))
+
+
+def proposal_gates(spark: SparkSession, d: str) -> DataFrame:
+    """The gate of each book section as a proposal for its owner's memory, in order of generation."""
+    s = table(spark, d, "book_sections").select("section_no", "owner_id", "generated_at", "content").distinct()
+    return gated(s.withColumn("content", F.to_json(F.struct(F.col("content").alias("note")))), "owner_id", ["generated_at", "section_no"], "content").select("section_no", "owner_id", "gate")
+
+
+def evidence_verbatim(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each retrieved text still stands in its block."""
+    r = table(spark, d, "retrieved_blocks").select("retrieval_no", "paper_id", "generation", "block_id", "text").distinct()
+    b = table(spark, d, "blocks").select("paper_id", "generation", "block_id", F.col("text").alias("body")).distinct()
+    return r.join(b, ["paper_id", "generation", "block_id"], "left").select("retrieval_no", verbatim(F.col("body"), F.col("text"), F.lit(0)).alias("is_verbatim"))
+
+
+def canonical_node_data(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "canvas_nodes").select("node_id", "node_data").distinct()
+    return n.select("node_id", canonical_json("node_data").alias("canonical_data"))
+
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -157,7 +222,7 @@ def stream_job_states(spark: SparkSession, d: str) -> DataFrame:
     return newest.select(F.col("key").alias("user_id"), "s.state", "s.attempts", "s.last_event")
 
 
-QUERIES = {f.__name__: f for f in (knn_in_partition, knn_global, evidence_pack, evidence_usage, evidence_text, token_estimate, claim_grounding, grounding_totals, text_features, text_cleaning, content_token_counts, derived_block_ids, geometry_features, page_frames, region_matches, heading_parents, branch_context, nested_pages, nest_round_trip, highlight_export, stream_window_counts, stream_job_states)}
+QUERIES = {f.__name__: f for f in (knn_in_partition, knn_global, evidence_pack, evidence_usage, evidence_text, token_estimate, claim_grounding, grounding_totals, text_features, text_cleaning, content_token_counts, derived_block_ids, geometry_features, page_frames, region_matches, heading_parents, branch_context, nested_pages, nest_round_trip, highlight_export, page_columns, column_order, suppressed_regions, region_clusters, page_coverage, anchor_selectors, anchor_resolution, anchor_rates, proposal_gates, evidence_verbatim, canonical_node_data, stream_window_counts, stream_job_states)}
 
 _STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
 _TOKENS = f"list_filter(list_transform(regexp_extract_all(%s, '{X.TOKEN}'), lambda t: trim(lower(t), '._-')), lambda t: t <> '' AND t NOT IN ({_STOP}))"
@@ -172,5 +237,6 @@ SQL = {
     "page_frames": "SELECT DISTINCT paper_id, generation, page_index, round(CASE WHEN rotation % 360 IN (90, 270) THEN (media_box[4] - media_box[2]) / user_unit ELSE (media_box[3] - media_box[1]) / user_unit END, 4) AS frame_width, round(CASE WHEN rotation % 360 IN (90, 270) THEN (media_box[3] - media_box[1]) / user_unit ELSE (media_box[4] - media_box[2]) / user_unit END, 4) AS frame_height, rotation % 360 AS turn FROM paper_pages",
     "nest_round_trip": "SELECT DISTINCT paper_id, generation, page_index, block_id, block_type, flow_kind, sibling_order, text FROM blocks",
     "stream_window_counts": "SELECT strftime(ts, '%Y-%m-%d %H') AS window_hour, event_type, count(*) AS events FROM events GROUP BY ALL",
+    "evidence_verbatim": "SELECT r.retrieval_no, coalesce(b.body[1:length(r.text)] = r.text, false) AS is_verbatim FROM (SELECT DISTINCT retrieval_no, paper_id, generation, block_id, text FROM retrieved_blocks) r LEFT JOIN (SELECT DISTINCT paper_id, generation, block_id, text AS body FROM blocks) b ON r.paper_id = b.paper_id AND r.generation = b.generation AND r.block_id = b.block_id",
     "heading_parents": "WITH h AS (SELECT DISTINCT paper_id, generation, block_id, doc_order, least(9, coalesce(len(string_split(nullif(regexp_extract(text, '" + X.SECTION + "', 1), ''), '.')), 1))::INTEGER AS heading_level FROM blocks WHERE block_type = 'heading' AND doc_order IS NOT NULL), k AS (SELECT a.paper_id, a.generation, a.block_id, a.heading_level, c.block_id AS parent_heading, row_number() OVER (PARTITION BY a.paper_id, a.generation, a.block_id ORDER BY c.doc_order DESC, c.block_id DESC) AS n FROM h a LEFT JOIN h c ON a.paper_id = c.paper_id AND a.generation = c.generation AND (c.doc_order, c.block_id) < (a.doc_order, a.block_id) AND c.heading_level < a.heading_level) SELECT paper_id, generation, block_id, heading_level, parent_heading FROM k WHERE n = 1",
 }
