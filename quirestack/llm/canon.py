@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quirestack.operators.nested import byte_chunks
 from quirestack.session import cut, free_names
 
 # Letters of other scripts that print like the Latin letter at the same place in the second line.
@@ -233,7 +234,7 @@ def consistent_form(df: DataFrame, text: str, keys: list[str], output: str = "te
     schema = T.StructType([*(src.schema[names[k]] for k in keys), T.StructField(output, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in byte_chunks(batch, "_text")):
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keys))), canonical_array(b.column("_text"))], names=schema.names)
 
     return src.mapInArrow(run, schema)

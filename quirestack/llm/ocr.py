@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from quirestack.llm.boost import Boost
 from quirestack.llm.canon import canonical_array
+from quirestack.operators.nested import byte_chunks
 from quirestack.session import cut
 
 # What a scanner reads (left) for what is printed (right).
@@ -221,7 +222,7 @@ def vocabulary(texts: DataFrame, column: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter = Counter()
-        for b in batches:
+        for b in (part for batch in batches for part in byte_chunks(batch, column)):
             for text in canonical_array(b.column(column)).to_pylist():
                 if text:
                     count.update(text.split())

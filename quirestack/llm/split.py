@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quirestack.operators.nested import byte_chunks
 from quirestack.session import free_names
 
 LIMIT, OVERLAP = 1600, 160
@@ -131,7 +132,7 @@ def split_texts(df: DataFrame, text: str, keys: list[str], limit: int = LIMIT, o
     schema = T.StructType([*(src.schema[names[k]] for k in keys), *made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in byte_chunks(batch, "_text")):
             row, cols = [], [[] for _ in own]
             for i, text in enumerate(b.column("_text").to_pylist()):
                 points = code_points(text)
