@@ -207,6 +207,42 @@ def canonical_node_data(spark: SparkSession, d: str) -> DataFrame:
     return n.select("node_id", canonical_json("node_data").alias("canonical_data"))
 
 
+def float_references(spark: SparkSession, d: str) -> DataFrame:
+    """Callouts like "Figure 3" tied to the one captioned block of that kind and number; a number printed twice resolves to none."""
+    t = table(spark, d, "blocks").where("text is not null").select("paper_id", "generation", "block_id", "block_type", "text").distinct()
+    kind = lambda c: F.when(c.startswith("fig"), "figure").when(c.startswith("tab"), "table").otherwise(c)
+    captions = t.where("block_type = 'caption'").select("paper_id", "generation", kind(X.caption_kind("text")).alias("kind"), X.caption_number("text").alias("number"), F.col("block_id").alias("caption_id")).where("kind is not null")
+    known = captions.groupBy("paper_id", "generation", "kind", "number").agg(F.min("caption_id").alias("caption_id"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
+    calls = t.where("block_type <> 'caption'").select("paper_id", "generation", "block_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?i)\b(?:figure|fig\.?|table)\s*[0-9]+"), F.lit(0))).alias("call"))
+    calls = calls.select("paper_id", "generation", "block_id", kind(F.lower(F.regexp_extract("call", r"(?i)^(figure|fig|table)", 1))).alias("kind"), F.regexp_extract("call", "([0-9]+)$", 1).alias("number")).distinct()
+    return calls.join(known, ["paper_id", "generation", "kind", "number"]).select("paper_id", "generation", "block_id", "kind", "number", "caption_id")
+
+
+def citation_links(spark: SparkSession, d: str) -> DataFrame:
+    """Bracketed markers with the block that has them, exploded by label, and how often a label is cited in its paper."""
+    t = table(spark, d, "blocks").where("text is not null").select("paper_id", "generation", "block_id", "text").distinct()
+    marks = t.select("paper_id", "generation", "block_id", F.explode(X.citation_labels("text")).alias("label"))
+    total = marks.groupBy("paper_id", "generation", "label").agg(F.count(F.lit(1)).alias("cited_by"))
+    return marks.join(total, ["paper_id", "generation", "label"])
+
+
+def paper_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Bibliographic fields, and whether the title stands in the paper's title block after both are normalised."""
+    p = table(spark, d, "papers").select("paper_id", "generation", F.col("metadata.title").alias("title"), F.size("metadata.authors").alias("author_count"), F.col("metadata.pub_year").alias("pub_year"), F.coalesce("metadata.doi", F.lit("")).alias("doi")).distinct()
+    shown = table(spark, d, "blocks").where("block_type = 'title'").select("paper_id", "generation", F.lower(X.collapse_blanks("text")).alias("shown")).groupBy("paper_id", "generation").agg(F.collect_set("shown").alias("shown"))
+    has = F.exists(F.coalesce("shown", F.expr("cast(array() as array<string>)")), lambda x: F.contains(x, F.lower(X.collapse_blanks("title"))))
+    return p.join(shown, ["paper_id", "generation"], "left").select("paper_id", "generation", "title", "author_count", "pub_year", "doi", F.coalesce(has, F.lit(False)).alias("title_shown"))
+
+
+def id_churn(spark: SparkSession, d: str) -> DataFrame:
+    """The share of derived ids that a shift of up to 0.6 points changes, by block type; the shift comes from the id's hash, so runs agree."""
+    g = table(spark, d, "blocks").select("block_no", "block_type", "bbox").distinct()
+    shift = (F.pmod(F.xxhash64("block_no"), F.lit(1201)) - 600) / 1000.0
+    cell = lambda v: G.quantise(v)
+    moved = (cell(F.col("bbox")[0]) != cell(F.col("bbox")[0] + shift)) | (cell(F.col("bbox")[1]) != cell(F.col("bbox")[1] + shift))
+    return g.groupBy("block_type").agg(F.count(F.lit(1)).alias("blocks"), F.round(F.avg(moved.cast("double")), 6).alias("churn"))
+
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -222,7 +258,7 @@ def stream_job_states(spark: SparkSession, d: str) -> DataFrame:
     return newest.select(F.col("key").alias("user_id"), "s.state", "s.attempts", "s.last_event")
 
 
-QUERIES = {f.__name__: f for f in (knn_in_partition, knn_global, evidence_pack, evidence_usage, evidence_text, token_estimate, claim_grounding, grounding_totals, text_features, text_cleaning, content_token_counts, derived_block_ids, geometry_features, page_frames, region_matches, heading_parents, branch_context, nested_pages, nest_round_trip, highlight_export, page_columns, column_order, suppressed_regions, region_clusters, page_coverage, anchor_selectors, anchor_resolution, anchor_rates, proposal_gates, evidence_verbatim, canonical_node_data, stream_window_counts, stream_job_states)}
+QUERIES = {f.__name__: f for f in (knn_in_partition, knn_global, evidence_pack, evidence_usage, evidence_text, token_estimate, claim_grounding, grounding_totals, text_features, text_cleaning, content_token_counts, derived_block_ids, geometry_features, page_frames, region_matches, heading_parents, branch_context, nested_pages, nest_round_trip, highlight_export, page_columns, column_order, suppressed_regions, region_clusters, page_coverage, anchor_selectors, anchor_resolution, anchor_rates, proposal_gates, evidence_verbatim, canonical_node_data, float_references, citation_links, paper_metadata, id_churn, stream_window_counts, stream_job_states)}
 
 _STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
 _TOKENS = f"list_filter(list_transform(regexp_extract_all(%s, '{X.TOKEN}'), lambda t: trim(lower(t), '._-')), lambda t: t <> '' AND t NOT IN ({_STOP}))"
@@ -238,5 +274,7 @@ SQL = {
     "nest_round_trip": "SELECT DISTINCT paper_id, generation, page_index, block_id, block_type, flow_kind, sibling_order, text FROM blocks",
     "stream_window_counts": "SELECT strftime(ts, '%Y-%m-%d %H') AS window_hour, event_type, count(*) AS events FROM events GROUP BY ALL",
     "evidence_verbatim": "SELECT r.retrieval_no, coalesce(b.body[1:length(r.text)] = r.text, false) AS is_verbatim FROM (SELECT DISTINCT retrieval_no, paper_id, generation, block_id, text FROM retrieved_blocks) r LEFT JOIN (SELECT DISTINCT paper_id, generation, block_id, text AS body FROM blocks) b ON r.paper_id = b.paper_id AND r.generation = b.generation AND r.block_id = b.block_id",
+    "citation_links": "WITH t AS (SELECT DISTINCT paper_id, generation, block_id, text FROM blocks WHERE text IS NOT NULL), m AS (SELECT paper_id, generation, block_id, unnest(list_distinct(list_filter(flatten(list_transform(regexp_extract_all(text, '\\[([0-9][0-9,\\s–-]*)\\]', 1), lambda m: regexp_split_to_array(m, '[,\\s–-]+'))), lambda x: x <> ''))) AS label FROM t) SELECT *, count(*) OVER (PARTITION BY paper_id, generation, label) AS cited_by FROM m",
+    "float_references": "WITH t AS (SELECT DISTINCT paper_id, generation, block_id, block_type, text FROM blocks WHERE text IS NOT NULL), k AS (SELECT paper_id, generation, CASE WHEN lower(regexp_extract(text, '" + X.CAPTION + "', 1)) LIKE 'fig%' THEN 'figure' ELSE lower(regexp_extract(text, '" + X.CAPTION + "', 1)) END AS kind, regexp_extract(text, '" + X.CAPTION + "', 2) AS number, min(block_id) AS caption_id FROM t WHERE block_type = 'caption' GROUP BY ALL HAVING count(*) = 1), c AS (SELECT DISTINCT paper_id, generation, block_id, CASE WHEN lower(call) LIKE 'fig%' THEN 'figure' ELSE 'table' END AS kind, regexp_extract(call, '([0-9]+)$', 1) AS number FROM (SELECT paper_id, generation, block_id, unnest(regexp_extract_all(text, '(?i)\\b(?:figure|fig\\.?|table)\\s*[0-9]+')) AS call FROM t WHERE block_type <> 'caption')) SELECT c.*, k.caption_id FROM c JOIN k USING (paper_id, generation, kind, number)",
     "heading_parents": "WITH h AS (SELECT DISTINCT paper_id, generation, block_id, doc_order, least(9, coalesce(len(string_split(nullif(regexp_extract(text, '" + X.SECTION + "', 1), ''), '.')), 1))::INTEGER AS heading_level FROM blocks WHERE block_type = 'heading' AND doc_order IS NOT NULL), k AS (SELECT a.paper_id, a.generation, a.block_id, a.heading_level, c.block_id AS parent_heading, row_number() OVER (PARTITION BY a.paper_id, a.generation, a.block_id ORDER BY c.doc_order DESC, c.block_id DESC) AS n FROM h a LEFT JOIN h c ON a.paper_id = c.paper_id AND a.generation = c.generation AND (c.doc_order, c.block_id) < (a.doc_order, a.block_id) AND c.heading_level < a.heading_level) SELECT paper_id, generation, block_id, heading_level, parent_heading FROM k WHERE n = 1",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from quirestack.operators.hierarchy import descendants, hierarchy, tree_paths
 from quirestack.operators.nested import nested_objects
@@ -68,7 +69,32 @@ def p2_cycles(spark: SparkSession, d: str) -> DataFrame:
     return _forests(spark, d).where(F.col("node_depth") < 0).select(*TREE, "node_id", "root_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_objects, p1_cells, p1_figure_panels, p2_found, p2_paths, p2_descendants, p2_cycles)}
+def ancestors_of_block(spark: SparkSession, d: str) -> DataFrame:
+    """Every ancestor of every block, for trees of any depth; blocks whose way up is a cycle have none."""
+    return p2_descendants(spark, d).where("forest = 'block'").select("paper_id", "generation", F.col("descendant_id").alias("block_id"), F.col("node_id").alias("ancestor_id"), "distance")
+
+
+def top_level_ancestor(spark: SparkSession, d: str) -> DataFrame:
+    """The first block of each block's tree, with the section the block stands under: the nearest heading above it."""
+    paths = p2_paths(spark, d).where("forest = 'block' and node_depth >= 0")
+    return paths.select("paper_id", "generation", F.col("node_id").alias("block_id"), F.col("node_path")[0].alias("top_id"), "node_depth")
+
+
+def preorder_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Canvas nodes in pre-order, siblings by id: the place of each node in its tree's thread."""
+    paths = p2_paths(spark, d).where("forest = 'canvas' and node_depth >= 0")
+    w = W.partitionBy("paper_id", "root_id").orderBy("node_path")
+    return paths.select("paper_id", "root_id", "node_id", (F.row_number().over(w) - 1).cast("long").alias("thread_place"))
+
+
+def subtree_delete(spark: SparkSession, d: str) -> DataFrame:
+    """What is left of each canvas after every diagram node and all below it are deleted."""
+    doomed = table(spark, d, "canvas_nodes").where("node_type = 'diagram'").select("paper_id", "node_id").distinct()
+    below = p2_descendants(spark, d).where("forest = 'canvas'").join(doomed, ["paper_id", "node_id"], "left_semi").select("paper_id", F.col("descendant_id").alias("node_id"))
+    return table(spark, d, "canvas_nodes").select("paper_id", "node_id").distinct().join(doomed.union(below).distinct(), ["paper_id", "node_id"], "left_anti")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_objects, p1_cells, p1_figure_panels, p2_found, p2_paths, p2_descendants, p2_cycles, ancestors_of_block, top_level_ancestor, preorder_rank, subtree_delete)}
 
 _TREES = """
 WITH RECURSIVE b AS (SELECT DISTINCT ON (paper_id, generation, block_id) 'block' AS forest, paper_id, generation, block_id AS node_id, parent_id, NULL::VARCHAR[] AS kids
@@ -95,6 +121,10 @@ WITH RECURSIVE b AS (SELECT DISTINCT ON (paper_id, generation, block_id) 'block'
 
 SQL = {
     "p2_found": _TREES + "SELECT forest, paper_id, generation, node_id, root_id, node_depth::INTEGER AS node_depth FROM down UNION ALL SELECT forest, paper_id, generation, node_id, root_id, -1 FROM cyc",
+    "ancestors_of_block": _TREES + "SELECT paper_id, generation, node_id AS block_id, unnest(node_path[1:-2]) AS ancestor_id, (unnest(range(len(node_path) - 1, 0, -1)))::INTEGER AS distance FROM down WHERE node_depth > 0 AND forest = 'block'",
+    "top_level_ancestor": _TREES + "SELECT paper_id, generation, node_id AS block_id, root_id AS top_id, node_depth::INTEGER AS node_depth FROM down WHERE forest = 'block'",
+    "preorder_rank": _TREES + "SELECT paper_id, root_id, node_id, row_number() OVER (PARTITION BY paper_id, root_id ORDER BY node_path) - 1 AS thread_place FROM down WHERE forest = 'canvas'",
+    "subtree_delete": _TREES + ", gone AS (SELECT paper_id, node_id FROM canvas_nodes WHERE node_type = 'diagram' UNION SELECT d.paper_id, d.node_id FROM down d JOIN canvas_nodes c ON c.paper_id = d.paper_id AND c.node_type = 'diagram' AND list_contains(d.node_path[1:-2], c.node_id) WHERE d.forest = 'canvas') SELECT DISTINCT paper_id, node_id FROM canvas_nodes c WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.paper_id = c.paper_id AND g.node_id = c.node_id)",
     "p2_cycles": _TREES + "SELECT forest, paper_id, generation, node_id, root_id FROM cyc",
     "p2_paths": _TREES + "SELECT d.forest, d.paper_id, d.generation, d.node_id, d.up AS link_parent, d.root_id, d.node_depth::INTEGER AS node_depth, d.node_path FROM down d UNION ALL SELECT c.forest, c.paper_id, c.generation, c.node_id, l.up, c.root_id, -1, NULL FROM cyc c JOIN links l ON (l.forest, l.paper_id, l.generation, l.node_id) = (c.forest, c.paper_id, c.generation, c.node_id)",
     "p2_descendants": _TREES + "SELECT forest, paper_id, generation, unnest(node_path[1:-2]) AS node_id, node_id AS descendant_id, (unnest(range(len(node_path) - 1, 0, -1)))::INTEGER AS distance FROM down WHERE node_depth > 0",

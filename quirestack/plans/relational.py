@@ -60,10 +60,6 @@ KEY = "paper_id, generation"
 OVERLAP = "greatest(0.0, least(a.x1, c.x1) - greatest(a.x0, c.x0))"
 AREA = "greatest(0.0, least(a.x1, c.x1) - greatest(a.x0, c.x0)) * greatest(0.0, least(a.y1, c.y1) - greatest(a.y0, c.y0))"
 IOU = f"({AREA}) / nullif((a.x1 - a.x0) * (a.y1 - a.y0) + (c.x1 - c.x0) * (c.y1 - c.y0) - ({AREA}), 0)"
-ANCESTORS = """up AS (SELECT paper_id, generation, block_id, parent_id AS anc, 1 AS dist FROM b WHERE parent_id IS NOT NULL AND parent_id <> block_id
-    UNION ALL SELECT u.paper_id, u.generation, u.block_id, q.parent_id, u.dist + 1 FROM up u JOIN b q ON q.paper_id = u.paper_id AND q.generation = u.generation AND q.block_id = u.anc
-    WHERE q.parent_id IS NOT NULL AND u.dist < 32)"""
-
 #: name: (base views, body[, recursive views]).  Queries that both engines read as written.
 COMMON: dict[str, tuple[str, ...]] = {
     # lookups and projections
@@ -93,7 +89,6 @@ COMMON: dict[str, tuple[str, ...]] = {
     "relations_to_block": ("b r", "SELECT b.paper_id, b.generation, b.block_id, r.rel_type, r.from_block FROM b JOIN r ON b.paper_id = r.paper_id AND b.generation = r.generation AND b.block_id = r.to_block"),
     "reference_by_label": ("b", f"SELECT {KEY}, label, block_id FROM (SELECT {KEY}, block_id, regexp_extract(text, '^\\\\s*\\\\[([0-9]+)\\\\]', 1) AS label, row_number() OVER (PARTITION BY {KEY}, regexp_extract(text, '^\\\\s*\\\\[([0-9]+)\\\\]', 1) ORDER BY block_no) AS k FROM b WHERE block_type = 'reference_entry') t WHERE k = 1"),
     "children_of_block": ("b", f"SELECT {KEY}, parent_id AS block_id, block_id AS child_id, CAST(row_number() OVER (PARTITION BY {KEY}, parent_id ORDER BY sibling_order, block_id) AS BIGINT) AS place FROM b WHERE parent_id IS NOT NULL"),
-    "ancestors_of_block": ("b", "SELECT DISTINCT paper_id, generation, block_id, anc AS ancestor_id FROM up", ANCESTORS),
     "is_top_level": ("b", "SELECT b.paper_id, b.generation, b.block_id, b.parent_id IS NULL OR q.block_id IS NULL OR q.block_type IN ('title', 'heading') AS top_level FROM b LEFT JOIN b q ON q.paper_id = b.paper_id AND q.generation = b.generation AND q.block_id = b.parent_id"),
     "caption_edges": ("r", "SELECT paper_id, generation, to_block AS owner_block, from_block AS caption_block FROM r WHERE rel_type = 'caption_of' UNION SELECT paper_id, generation, from_block, to_block FROM r WHERE rel_type = 'captioned_by'"),
     "nearest_float": ("g", f"SELECT {KEY}, caption_id, float_id FROM (SELECT a.paper_id, a.generation, a.block_id AS caption_id, c.block_id AS float_id, row_number() OVER (PARTITION BY a.paper_id, a.generation, a.block_id ORDER BY greatest(a.y0 - c.y1, c.y0 - a.y1, 0.0), c.block_no) AS k FROM g a JOIN g c ON a.paper_id = c.paper_id AND a.generation = c.generation AND a.page_index = c.page_index WHERE a.block_type = 'caption' AND c.block_type IN ('figure', 'table') AND {OVERLAP} >= 0.35 * least(a.x1 - a.x0, c.x1 - c.x0) AND greatest(a.y0 - c.y1, c.y0 - a.y1, 0.0) <= 90) t WHERE k = 1"),
