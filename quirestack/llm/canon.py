@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,14 +114,13 @@ def _composite(base: np.ndarray, mark: np.ndarray, t: dict[str, np.ndarray]) ->
     return np.where((syllable >= 0) & (syllable < 11172) & (syllable % 28 == 0) & (tail > 0) & (tail < 28), base + tail, out)
 
 
-def canonical_array(texts: pa.Array, fold: bool = True) -> pa.Array:
-    """The consistent form of each text; null stays null.  Without ``fold`` only accents are made consistent (NFC)."""
+def canonical_points(texts: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all consistent forms in a row, and where each text's begin; null is like an empty text."""
     t = tables(fold)
-    valid = texts.is_valid()
     texts = texts.cast(pa.large_string()).fill_null("")
     n = len(texts)
     if not n:
-        return texts.cast(pa.string())
+        return np.zeros(0, np.uint32), np.zeros(1, np.int64)
     off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
     raw = np.frombuffer(texts.buffers()[2], np.uint8)[off[0] : off[-1]] if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
     points = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
@@ -137,13 +137,17 @@ def canonical_array(texts: pa.Array, fold: bool = True) -> pa.Array:
     if fold:
         out, row_end = _blanks(out, row_end)
     joins = t["joins"][out]
-    if joins.any():
-        out, row_end = _compose(out, row_end, joins, t)
+    return _compose(out, row_end, joins, t) if joins.any() else (out, row_end)
+
+
+def canonical_array(texts: pa.Array, fold: bool = True) -> pa.Array:
+    """The consistent form of each text; null stays null.  Without ``fold`` only accents are made consistent (NFC)."""
+    out, row_end = canonical_points(texts, fold)
     data = out.astype("<u4").tobytes().decode("utf-32-le").encode("utf-8")
     width = 1 + (out > 0x7F) + (out > 0x7FF) + (out > 0xFFFF)
     byte_off = np.r_[0, np.cumsum(width)][row_end].astype(np.int64)
-    made = pa.LargeStringArray.from_buffers(n, pa.py_buffer(byte_off), pa.py_buffer(data))
-    return pa.compute.if_else(valid, made, pa.scalar(None, pa.large_string())).cast(pa.string())
+    made = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(byte_off), pa.py_buffer(data))
+    return pa.compute.if_else(texts.is_valid(), made, pa.scalar(None, pa.large_string())).cast(pa.string())
 
 
 def _blanks(out: np.ndarray, row_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quirestack.llm.canon import canonical_array
+from quirestack.llm.canon import canonical_points
 from quirestack.operators.nested import byte_chunks
 from quirestack.session import free_names
 
@@ -57,11 +57,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     word without a letter or digit is none.  Null has no words.
     """
     n = len(texts)
-    forms = canonical_array(texts).fill_null("").cast(pa.large_string())
-    off = np.frombuffer(forms.buffers()[1], np.int64)[forms.offset : forms.offset + n + 1]
-    raw = np.frombuffer(forms.buffers()[2], np.uint8)[off[0] : off[-1]] if n and forms.buffers()[2] is not None else np.zeros(0, np.uint8)
-    points = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-    ends = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)][off - off[0]] if n else np.zeros(1, np.int64)
+    points, ends = canonical_points(texts)
     low = _lower()[points]
     # white space and the starts of texts part words; other characters vanish
     gap = low == 1

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quirestack.llm.canon import canonical_array
+from quirestack.llm.canon import canonical_points
 from quirestack.operators.nested import byte_chunks
 from quirestack.session import cut
 
@@ -79,12 +79,7 @@ class Sentences:
     """The words of a batch of texts, by sentence: word values, and for each sentence its text, first word and flags."""
 
     def __init__(self, texts: pa.Array) -> None:
-        n = len(texts)
-        forms = canonical_array(texts).fill_null("").cast(pa.large_string())
-        off = np.frombuffer(forms.buffers()[1], np.int64)[forms.offset : forms.offset + n + 1]
-        raw = np.frombuffer(forms.buffers()[2], np.uint8)[off[0] : off[-1]] if forms.buffers()[2] is not None else np.zeros(0, np.uint8)
-        points = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-        ends = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)][off - off[0]]
+        points, ends = canonical_points(texts)
         kind = _letters()[points]
         space = kind == 1
         # letters set apart by single blanks are one word
@@ -173,23 +168,25 @@ class Sentences:
         same = self.sentence[1:] == self.sentence[:-1] if len(self.sentence) > 1 else np.zeros(0, bool)
         return (self.values[:-1][same] * _MIX + self.values[1:][same]), self.sentence[1:][same]
 
-    def hits(self, name: str) -> np.ndarray:
-        """How many different words and phrases of a list each sentence has."""
-        out = np.zeros(len(self.first), np.int64)
-        for length, codes in _phrases()[name].items():
+    def hits(self) -> dict[str, np.ndarray]:
+        """For each list how many of its words and phrases each sentence has: one look-up for each phrase length."""
+        out = {name: np.zeros(len(self.first), np.int64) for name in LISTS}
+        rolled = np.zeros(len(self.values), np.uint64)
+        for length, (codes, lists) in _phrases().items():
             n = len(self.values) - length + 1
             if n < 1:
-                continue
-            rolled = self.values[:n].copy()
-            for k in range(1, length):
-                rolled = rolled * _MIX + self.values[k : k + n]
-            flag = _member(rolled, codes) & (self.sentence[:n] == self.sentence[length - 1 :])
-            out += np.bincount(self.sentence[:n][flag], minlength=len(out))
+                break
+            rolled = rolled[:n] * _MIX + self.values[length - 1 :]
+            at = np.minimum(np.searchsorted(codes, rolled), len(codes) - 1)
+            hit = np.flatnonzero((codes[at] == rolled) & (self.sentence[:n] == self.sentence[length - 1 :]))
+            bits, owner = lists[at[hit]], self.sentence[:n][hit]
+            for i, name in enumerate(LISTS):
+                out[name] += np.bincount(owner[(bits >> i & 1) > 0], minlength=len(self.first))
         return out
 
     def votes(self, annotated: np.ndarray | None = None) -> np.ndarray:
         """Bit mask of the voters that speak on each sentence; ``annotated`` is the share of annotators against its text (nan: none)."""
-        h = {k: self.hits(k) for k in LISTS}
+        h = self.hits()
         you, person = h["you"] > 0, h["person"] > 0
         v = {
             "insult_you": (h["insult"] > 0) & you, "strong": (h["strong"] > 0) | self.hidden, "foreign_you": (h["foreign_insult"] > 0) & you, "foreign_pair": h["foreign_insult"] > 1,
@@ -226,18 +223,20 @@ def _member(values: np.ndarray, codes: np.ndarray) -> np.ndarray:
 
 
 @functools.cache
-def _phrases() -> dict[str, dict[int, np.ndarray]]:
-    out: dict[str, dict[int, np.ndarray]] = {}
-    for name, text in LISTS.items():
-        by: dict[int, list] = {}
-        for phrase in text.split():
-            s = Sentences(pa.array([phrase.replace("_", " ")]))
-            code = s.values[:1]
-            for k in range(1, len(s.values)):
-                code = code * _MIX + s.values[k : k + 1]
-            by.setdefault(len(s.values), []).append(code[0])
-        out[name] = {k: np.unique(np.array(v, np.uint64)) for k, v in by.items()}
-    return out
+def _phrases() -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By number of words, in order: the sorted values of all listed phrases and which lists have them, as bits."""
+    by: dict[int, dict[int, int]] = {}
+    phrases = [(i, phrase.replace("_", " ")) for i, text in enumerate(LISTS.values()) for phrase in text.split()]
+    s = Sentences(pa.array([p for _, p in phrases]))
+    for (i, _), first, size in zip(phrases, s.first, s.size, strict=True):
+        words = s.values[first : first + size]
+        code = np.zeros(1, np.uint64)
+        for k in range(len(words)):
+            code = code * _MIX + words[k : k + 1]
+        held = by.setdefault(len(words), {})
+        held[int(code[0])] = held.get(int(code[0]), 0) | 1 << i
+    longest = max(by)
+    return {n: (np.array(sorted(by.get(n, {0: 0})), np.uint64), np.array([by.get(n, {0: 0})[c] for c in sorted(by.get(n, {0: 0}))], np.int64)) for n in range(1, longest + 1)}
 
 
 @functools.cache
@@ -246,7 +245,7 @@ def _gapped() -> np.ndarray:
     words = {w for name in ("insult", "strong", "foreign_insult", "sex_strong", "sex") for w in LISTS[name].split() if "_" not in w and len(w) > 3}
     left = {w[:i] + w[i + n :] for w in words for n in range(1, 5) for i in range(1, len(w) - n)}
     left |= words | {"a" + w for w in words}  # letters set apart may have taken in the article before them
-    return np.unique(np.concatenate([Sentences(pa.array([w])).values for w in sorted(left) if len(w) > 1]))
+    return np.unique(Sentences(pa.array(sorted(w for w in left if len(w) > 1))).values)
 
 
 class LabelModel:
@@ -302,31 +301,33 @@ class Linear:
     """Logistic regression on hashed features, by Adagrad on soft labels."""
 
     def __init__(self, rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, rounds: int = 50, decay: float = 5e-7) -> None:
-        self.w = np.zeros(1 << BITS)
         self.b = -3.0
-        g = np.full(1 << BITS, 1e-2)
+        size = np.array([len(r) for r in rows], np.int64)
+        slots, flat = np.unique(np.concatenate(rows) if rows else np.zeros(0, np.int64), return_inverse=True)
+        w = np.zeros(len(slots))  # only the slots that occur
+        g = np.full(len(slots), 1e-2)
         gb = 1e-2
         rng = np.random.default_rng(7)
-        size = np.array([len(r) for r in rows])
-        flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
         start = np.r_[0, np.cumsum(size)]
         norm = 1 / np.sqrt(size + SHORT)
         for _ in range(rounds if rows else 0):
             order = rng.permutation(len(rows))
-            for part in np.array_split(order, max(1, len(order) // 256)):
+            for part in np.array_split(order, max(1, len(order) // 512)):
                 n = size[part]
                 ends = np.cumsum(n)
                 at = np.arange(ends[-1]) + np.repeat(start[part] - (ends - n), n)
                 f, r = flat[at], np.repeat(np.arange(len(part)), n)
-                z = np.bincount(r, self.w[f], len(part)) * norm[part] + self.b
+                z = np.bincount(r, w[f], len(part)) * norm[part] + self.b
                 e = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels[part]) * weights[part]
-                grad = np.bincount(f, (e * norm[part])[r], 1 << BITS)
+                grad = np.bincount(f, (e * norm[part])[r], len(slots))
                 used = np.flatnonzero(grad)
-                step = grad[used] + decay * len(part) * self.w[used]
+                step = grad[used] + decay * len(part) * w[used]
                 g[used] += step**2
-                self.w[used] -= 0.5 * step / np.sqrt(g[used])
+                w[used] -= 0.5 * step / np.sqrt(g[used])
                 gb += e.sum() ** 2
                 self.b -= 0.3 * e.sum() / np.sqrt(gb)
+        self.w = np.zeros(1 << BITS)
+        self.w[slots] = w
 
     def score(self, s: Sentences) -> np.ndarray:
         f, at = s.features()
