@@ -40,6 +40,7 @@ KNOWN = 3
 
 _BREAK = re.compile("^(.*?)(\\S*[^\\W\\d_])([-­‐‑¬])[ \t]*$")
 _EDGE = re.compile(r"^(?:(?![!|][^\W_])[\W_])+|[\W_]+$")  # a leading ! or | may be a letter
+_HANGS = re.compile("[^\\W\\d_][-‐‑]$")
 _PAGE = re.compile(r"^(?:[\[(]\s*(\w+)\s*[\])]|[-–—~]\s*(\w+)\s*[-–—~]|(?:page|pagina|página|seite|p\.|pg\.?|s\.)\s*(\w+)(?:\s*(?:of|/|von|de|sur)\s*\w+)?|(\w+)\s*(?:/|of|von|de|sur)\s*\w+|(\w+))$", re.I)
 _FOLD_PAIRS = (("rn", "m"), ("in", "m"), ("ri", "n"), ("cl", "d"), ("ii", "u"), ("vv", "w"), ("li", "h"))
 _FOLD = str.maketrans("eao0t51!l|b6q9", "cooofsiiiihhgg")
@@ -218,7 +219,10 @@ def _scan(blocks: DataFrame, model: Boost) -> DataFrame:
 
 
 def vocabulary(texts: DataFrame, column: str) -> DataFrame:
-    """``word`` (lower case, no surrounding punctuation) and ``clean`` (how often it is printed) over all texts."""
+    """``word`` (lower case, no surrounding punctuation) and ``clean`` (how often it is printed) over all texts.
+
+    A word printed with a hyphen behind it counts once more under its form with the hyphen.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter = Counter()
@@ -239,12 +243,14 @@ def _counted(count: Counter) -> pa.RecordBatch:
     for w, n in count.items():
         if p := plain(w):
             bare[p] += n
+            if _HANGS.search(w):
+                bare[p + "-"] += n
     return pa.RecordBatch.from_arrays([pa.array(list(bare), pa.string()), pa.array(list(bare.values()), pa.int64())], names=["word", "clean"])
 
 
 def _join_features(c: list[float], left: str, right: str, mark: str) -> tuple[float, ...]:
     """c: how often the closed word, the hyphenated word, the left and the right part are printed."""
-    low = [float(np.log1p(x)) for x in c]
+    low = [float(np.log1p(x)) for x in c[:4]]
     return (*low, low[0] - low[1], float(len(left)), float(len(right)), float(right[:1].isupper()), float(mark == "-"), float("-" in left))
 
 
@@ -252,8 +258,8 @@ PAIR = ["left", "right", "mark"]
 
 
 def _told(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """Each distinct pair of parts with how often its closed form, its hyphenated form and its parts are printed."""
-    forms = (F.concat("left", "right"), F.concat_ws("-", "left", "right"), F.col("left"), F.col("right"))
+    """Each distinct pair of parts with how often its closed form, its hyphenated form, its parts, and its left part with a hanging hyphen are printed."""
+    forms = (F.concat("left", "right"), F.concat_ws("-", "left", "right"), F.col("left"), F.col("right"), F.concat("left", F.lit("-")))
     long = pairs.select(*PAIR, F.explode(F.array(*(F.struct(F.lit(i).alias("i"), w.alias("word")) for i, w in enumerate(forms)))).alias("f")).select(*PAIR, "f.i", "f.word")
     return long.join(words, "word", "left").groupBy(*PAIR).agg(F.sort_array(F.collect_list(F.struct("i", F.coalesce("clean", F.lit(0)).alias("n")))).alias("c"))
 
@@ -288,15 +294,32 @@ def _join_model(sample: list[tuple[str, int]], words: DataFrame) -> Boost:
         x.append(_join_features(c, left, right, mark))
         own.append(made[left, right, mark])
         if (left, right, mark) not in hard:  # as if the whole were not known
-            x.append(_join_features([0, 0, *c[2:]], left, right, mark))
+            x.append(_join_features([0, 0, *c[2:4]], left, right, mark))
             own.append(made[left, right, mark])
     return Boost(np.array(x, float).reshape(-1, 10), np.array(own, float), trees=40, depth=4)
 
 
-#: Words before which a hyphen hangs ("pre- and post-").
+#: Words before which a hyphen may hang ("pre- and post-"), if the whole ("enc-oder") is not what clean text prints.
 HANGING = frozenset("and or und oder et ou y o e u bis to".split())
 
 
+def undone(word: str) -> set[str]:
+    """The forms that one usual confusion may have turned into ``word``."""
+    return {word[:i] + p + word[i + len(r) :] for r, p in READ_AS for i in range(len(word)) if word.startswith(r, i)} - {word}
+
+
+def _undone(words: DataFrame) -> DataFrame:
+    """``word`` and each ``form`` that may have been misread as it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 5000):
+                pairs = [(w, f) for w in b.column("word").slice(at, 5000).to_pylist() for f in undone(w)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.string()) for i in (0, 1)], names=["word", "form"])
+
+    return words.select("word").mapInArrow(run, "word string, form string")
+
+
 def pair_features(word: str, known: str, clean: float, seen: float, shared: float) -> tuple[float, ...]:
     """What speaks for ``known`` being printed where ``word`` was read."""
     n = min(len(word), len(known))
@@ -408,7 +431,7 @@ class Repair:
         self.scan = cut(_scan(self.blocks, _page_sample(self.blocks)))
         clean = blocks.where((F.col("source_kind") != "ocr") & F.col("text").isNotNull())
         self.vocabulary = cut(vocabulary(clean, "text"))
-        self.known = self.vocabulary.where((F.col("clean") >= KNOWN) & F.col("word").rlike("^[\\p{L}\\p{N}'’-]+$") & F.col("word").rlike("\\p{L}")).withColumnRenamed("word", "known")
+        self.known = self.vocabulary.where((F.col("clean") >= KNOWN) & F.col("word").rlike("^[\\p{L}\\p{N}'’-]+$") & F.col("word").rlike("\\p{L}") & ~F.col("word").endswith("-")).withColumnRenamed("word", "known")
         # half of the sample are the commonest words, half any words
         orders = (F.desc("clean"), F.xxhash64("known"))
         sample = sorted({(r.known, r.clean) for o in orders for r in self.known.orderBy(o, "known").limit(WORD_SAMPLE // 2).collect()})
@@ -446,18 +469,26 @@ class Repair:
         own = _join_model(sample, self.vocabulary)
         bare = F.pandas_udf(lambda s: s.map(plain), "string")
         rows = self._breaks().select("block_no", bare("left").alias("left"), F.col("right").alias("raw_right"), bare("right").alias("right"), "mark", "next_no").where("left <> '' and right <> ''")
-        rows = cut(rows.where(~F.col("right").isin(*HANGING) & F.col("right").rlike("^\\p{L}")))
-        told = _told(rows.select(*PAIR).distinct(), self.vocabulary)
+        rows = cut(rows.where(F.col("right").rlike("^\\p{L}")))
+        told = _told(rows.select(*PAIR).distinct(), self.vocabulary).withColumn("word", F.concat("left", "right"))
+        # a whole that is not printed may be a misread one that is
+        misread = _undone(told.where(F.col("right").isin(*HANGING) & (F.col("c")[0].n + F.col("c")[1].n == 0)).select("word").distinct())
+        misread = misread.join(self.known.select(F.col("known").alias("form")), "form", "left_semi").select("word", F.lit(True).alias("misread")).distinct()
+        told = told.join(misread, "word", "left")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                left, right, mark, c = (b.column(x).to_pylist() for x in ("left", "right", "mark", "c"))
-                x = np.array([_join_features([e["n"] for e in n], a, z, m) for a, z, m, n in zip(left, right, mark, c, strict=True)], float).reshape(-1, 10)
-                hyphen = own.predict(x) > 0.5
-                words = [f"{a}-{z}" if h else a + z for a, z, h in zip(left, right, hyphen, strict=True)]
+                left, right, mark, c, misread = (b.column(x).to_pylist() for x in ("left", "right", "mark", "c", "misread"))
+                n = np.array([[e["n"] for e in x] for x in c], float).reshape(-1, 5)
+                x = np.array([_join_features(k, a, z, m) for a, z, m, k in zip(left, right, mark, n, strict=True)], float).reshape(-1, 10)
+                hanging = np.isin(np.array(right, str), list(HANGING))
+                hyphen = (own.predict(x) > 0.5) & (~hanging | (n[:, 1] > 0))
+                # before "and" the whole counts where it is printed more often than the left part with a hanging hyphen
+                whole = ~hanging | (n[:, 0] + n[:, 1] > n[:, 4]) | np.array([bool(m) for m in misread], bool)
+                words = [(f"{a}-{z}" if h else a + z) if w else None for a, z, h, w in zip(left, right, hyphen, whole, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("left"), b.column("right"), b.column("mark"), pa.array(words, pa.string())], names=["left", "right", "mark", "joined"])
 
-        decided = told.mapInArrow(run, "left string, right string, mark string, joined string")
+        decided = told.mapInArrow(run, "left string, right string, mark string, joined string").where("joined is not null")
         return rows.join(decided, ["left", "right", "mark"]).select("block_no", "left", "right", "raw_right", "joined", "next_no")
 
     def _corrections(self, sample: list[tuple[str, int]]) -> DataFrame:

@@ -118,3 +118,21 @@ def test_boost_learns_a_rule():
     m = Boost(x[:2000], y[:2000])
     assert ((m.predict(x[2000:]) > 0.5) == y[2000:]).mean() > 0.95
     assert Boost(np.zeros((0, 4)), np.zeros(0)).predict(x).shape == (3000,)
+
+
+def scans(texts, clean):
+    """Scanned blocks numbered from 0, and clean ones from 1000."""
+    rows = [(i, "scan", 1, 0, kind, "body", "ocr", order, text, "") for i, (kind, order, text) in enumerate(texts)]
+    return rows + [(1000 + i, f"clean{i % 5}", 1, 0, "paragraph", "body", "pdf_text_layer", i, text, "") for i, text in enumerate(clean)]
+
+
+def clean_texts(more=()):
+    r = random.Random(3)
+    return [" ".join(sentence(r, 40)) + "." for _ in range(200)] + list(more)
+
+
+def test_words_broken_before_and(spark):
+    clean = clean_texts(30 * ["the encoder and the decoder in a thousand of potato", "both pre- and post-processed"])
+    texts = [("paragraph", k, f"this is the {a}-\n{b} of every kernel") for k, (a, b) in enumerate([("enc", "oder"), ("dec", "oder"), ("thous", "and"), ("pre", "and"), ("cnc", "oder")])]
+    got = {(r.block_no, r.found_value) for r in noise(spark.createDataFrame(scans(texts, clean), SCHEMA)).collect() if r.noise_kind == "joined_word"}
+    assert got == {(0, "encoder"), (1, "decoder"), (2, "thousand"), (4, "encoder")}
