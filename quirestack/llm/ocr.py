@@ -37,6 +37,8 @@ LINE_SAMPLE, WORD_SAMPLE, RANK_SAMPLE = 20_000, 4_000, 1_500
 BROADCAST_ROWS = 300_000
 GRAM, RAREST = 3, 6
 KNOWN = 3
+#: A word is looked at if a word one usual confusion away is so many times as common in clean text, and not taken for known if RARER times.
+FAR, RARER = 20, 100
 
 _BREAK = re.compile("^(.*?)(\\S*[^\\W\\d_])([-­‐‑¬])[ \t]*$")
 _EDGE = re.compile(r"^(?:(?![!|][^\W_])[\W_])+|[\W_]+$")  # a leading ! or | may be a letter
@@ -303,9 +305,9 @@ def _join_model(sample: list[tuple[str, int]], words: DataFrame) -> Boost:
 HANGING = frozenset("and or und oder et ou y o e u bis to".split())
 
 
-def undone(word: str) -> set[str]:
-    """The forms that one usual confusion may have turned into ``word``."""
-    return {word[:i] + p + word[i + len(r) :] for r, p in READ_AS for i in range(len(word)) if word.startswith(r, i)} - {word}
+def undone(word: str) -> Iterator[str]:
+    """The forms that one usual confusion may have turned into ``word``; some may come twice."""
+    return (word[:i] + p + word[i + len(r) :] for r, p in READ_AS for i in range(len(word)) if word.startswith(r, i))
 
 
 def _undone(words: DataFrame) -> DataFrame:
@@ -313,15 +315,35 @@ def _undone(words: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 5000):
-                pairs = [(w, f) for w in b.column("word").slice(at, 5000).to_pylist() for f in undone(w)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.string()) for i in (0, 1)], names=["word", "form"])
+            pairs, size = [], 0
+            for w in b.column("word").to_pylist():
+                for f in undone(w):
+                    pairs.append((w, f))
+                    size += len(w) + len(f) + 100
+                    if size > 4_000_000:
+                        yield made(pairs)
+                        pairs, size = [], 0
+            yield made(pairs)
+
+    def made(pairs: list[tuple[str, str]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.string()) for i in (0, 1)], names=["word", "form"])
 
     return words.select("word").mapInArrow(run, "word string, form string")
 
 
-def pair_features(word: str, known: str, clean: float, seen: float, shared: float) -> tuple[float, ...]:
-    """What speaks for ``known`` being printed where ``word`` was read."""
+def _rivals(vocabulary: DataFrame) -> DataFrame:
+    """The vocabulary with ``rival``: how often the commonest word one usual confusion away is printed, where that is FAR times as often."""
+    words = vocabulary.where(F.col("word").rlike("^[\\p{L}\\p{N}!|][\\p{L}\\p{N}!|'’-]*$") & ~F.col("word").endswith("-") & (F.length("word") > 2))
+    common = vocabulary.where((F.col("clean") >= FAR) & ~F.col("word").endswith("-")).select(F.col("word").alias("form"), F.col("clean").alias("n"))
+    # a form is at most one character longer or shorter, so words far longer than any common one need no forms
+    lengths = common.select(F.explode(F.sequence(F.length("form") - 1, F.length("form") + 1)).alias("size")).distinct()
+    words = words.join(F.broadcast(lengths), F.length("word") == F.col("size"), "left_semi")
+    best = _undone(words).join(common, "form").groupBy("word").agg(F.max("n").alias("rival"))
+    return vocabulary.join(best, "word", "left").withColumn("rival", F.when(F.col("rival") >= FAR * F.col("clean"), F.col("rival")))
+
+
+def pair_features(word: str, known: str, clean: float, seen: float, shared: float, own: float) -> tuple[float, ...]:
+    """What speaks for ``known`` (printed ``clean`` times) being what is printed where ``word`` (printed ``own`` times) was read."""
     n = min(len(word), len(known))
     a = 0
     while a < n and word[a] == known[a]:
@@ -332,7 +354,7 @@ def pair_features(word: str, known: str, clean: float, seen: float, shared: floa
     read, printed = word[a : len(word) - z], known[a : len(known) - z]
     usual = _usual(read, printed, word[max(0, a - 1) : a], word[len(word) - z : len(word) - z + 1])
     sign = any(c.isdigit() or c in "!|" for c in read)
-    return (usual, float(max(len(read), len(printed))), float(len(word) - len(known)), float(sign), float(np.log1p(clean)), float(np.log1p(seen)), float(np.log1p(clean) - np.log1p(seen)), shared, float(len(known)), float(a == 0), float(sorted(word) == sorted(known)))
+    return (usual, float(max(len(read), len(printed))), float(len(word) - len(known)), float(sign), float(np.log1p(clean)), float(np.log1p(seen)), float(np.log1p(clean) - np.log1p(seen)), shared, float(len(known)), float(a == 0), float(sorted(word) == sorted(known)), float(np.log1p(own)), float(np.log1p(clean) - np.log1p(own)))
 
 
 _USUAL = set(READ_AS)
@@ -360,10 +382,10 @@ def _candidates(words: DataFrame, known: DataFrame) -> DataFrame:
     posts = cut(grams(known.select("known", "clean"), "known").repartition("gram"))
     rare = posts.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     own = grams(words, "word").join(rare, "gram")
-    few = own.groupBy("word", "seen").agg(F.slice(F.sort_array(F.collect_list(F.struct("df", "gram", "at"))), 1, RAREST).alias("few"))
-    probe = few.select("word", "seen", F.explode("few").alias("g")).select("word", "seen", F.col("g.gram").alias("gram"), F.col("g.at").alias("at_w"))
+    few = own.groupBy("word", "seen", "own").agg(F.slice(F.sort_array(F.collect_list(F.struct("df", "gram", "at"))), 1, RAREST).alias("few"))
+    probe = few.select("word", "seen", "own", F.explode("few").alias("g")).select("word", "seen", "own", F.col("g.gram").alias("gram"), F.col("g.at").alias("at_w"))
     near = (F.abs(F.col("at") - F.col("at_w")) <= 2) & (F.abs(F.length("known") - F.length("word")) <= 2) & (F.col("word") != F.col("known"))
-    return probe.join(posts, "gram").where(near).groupBy("word", "seen", "known", "clean").agg(F.count(F.lit(1)).alias("shared"))
+    return probe.join(posts, "gram").where(near).groupBy("word", "seen", "own", "known", "clean").agg(F.count(F.lit(1)).alias("shared"))
 
 
 def _rank(pairs: DataFrame, model: Boost) -> DataFrame:
@@ -371,8 +393,8 @@ def _rank(pairs: DataFrame, model: Boost) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("word", "known", "clean", "seen", "shared")]
-            x = np.array([pair_features(*r) for r in zip(*cols, strict=True)], float).reshape(-1, 11)
+            cols = [b.column(c).to_pylist() for c in ("word", "known", "clean", "seen", "shared", "own")]
+            x = np.array([pair_features(*r) for r in zip(*cols, strict=True)], float).reshape(-1, 13)
             p = model.predict(x)
             good = p > 0.5
             keep = pa.array(np.flatnonzero(good))
@@ -386,7 +408,8 @@ def _rank_model(known: DataFrame, sample: list[tuple[str, int]]) -> Boost:
     """Fitted on known words: half are misread on purpose, the other half are taken for unknown as they are."""
     rng = np.random.default_rng(11)
     truth: dict[str, str] = {}
-    for k, (w, _) in enumerate(sample[:: max(1, len(sample) // RANK_SAMPLE)]):
+    printed: dict[str, int] = {}
+    for k, (w, n) in enumerate(sample[:: max(1, len(sample) // RANK_SAMPLE)]):
         if len(w) < 4:
             continue
         if k % 3 == 2:
@@ -395,20 +418,22 @@ def _rank_model(known: DataFrame, sample: list[tuple[str, int]]) -> Boost:
         fits = [(i, r, p) for r, p in READ_AS for i in range(len(w)) if w.startswith(p, i)]
         if fits:
             i, r, p = fits[int(rng.integers(0, len(fits)))]
-            truth[w[:i] + r + w[i + len(p) :]] = w
-    real = {w for w, _ in sample}
-    rows = [(w, 1) for w, t in truth.items() if not t or w not in real]
-    probes = known.sparkSession.createDataFrame(rows, "word string, seen long")
+            made = w[:i] + r + w[i + len(p) :]
+            truth[made], printed[made] = w, n // int(rng.integers(RARER, 10 * RARER))
+    real = dict(sample)
+    # misread words also as if clean text had the misreading now and then, real words also with what clean text has
+    rows = sorted({(w, 1, own) for w, t in truth.items() if not t or w not in real for own in (0, printed[w] if t else real[w])})
+    probes = known.sparkSession.createDataFrame(rows, "word string, seen long, own long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("word", "known", "clean", "seen", "shared")]
+            cols = [b.column(c).to_pylist() for c in ("word", "known", "clean", "seen", "shared", "own")]
             x = [pair_features(*r) for r in zip(*cols, strict=True)]
             y = [float(truth.get(w) == k) for w, k in zip(*cols[:2], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float32())), pa.array(y, pa.float32())], names=["x", "y"])
 
     found = _candidates(probes, known).mapInArrow(run, "x array<float>, y float").toArrow()
-    x, y = _matrix(found.column("x"), 11), found.column("y").to_numpy()
+    x, y = _matrix(found.column("x"), 13), found.column("y").to_numpy()
     return Boost(x, y, trees=60, depth=4)
 
 
@@ -430,8 +455,9 @@ class Repair:
         self.blocks = cut(own.join(templates, "paper_id", "left"))
         self.scan = cut(_scan(self.blocks, _page_sample(self.blocks)))
         clean = blocks.where((F.col("source_kind") != "ocr") & F.col("text").isNotNull())
-        self.vocabulary = cut(vocabulary(clean, "text"))
-        self.known = self.vocabulary.where((F.col("clean") >= KNOWN) & F.col("word").rlike("^[\\p{L}\\p{N}'’-]+$") & F.col("word").rlike("\\p{L}") & ~F.col("word").endswith("-")).withColumnRenamed("word", "known")
+        self.vocabulary = cut(_rivals(cut(vocabulary(clean, "text"))))
+        # a misreading that clean text has now and then grows with the corpus, but stays rare beside the right word
+        self.known = self.vocabulary.where((F.col("clean") >= KNOWN) & (F.coalesce("rival", F.lit(0)) < RARER * F.col("clean")) & F.col("word").rlike("^[\\p{L}\\p{N}'’-]+$") & F.col("word").rlike("\\p{L}") & ~F.col("word").endswith("-")).withColumnRenamed("word", "known")
         # half of the sample are the commonest words, half any words
         orders = (F.desc("clean"), F.xxhash64("known"))
         sample = sorted({(r.known, r.clean) for o in orders for r in self.known.orderBy(o, "known").limit(WORD_SAMPLE // 2).collect()})
@@ -492,13 +518,13 @@ class Repair:
         return rows.join(decided, ["left", "right", "mark"]).select("block_no", "left", "right", "raw_right", "joined", "next_no")
 
     def _corrections(self, sample: list[tuple[str, int]]) -> DataFrame:
-        """``word`` as read and ``right`` as printed, for words of the scanned blocks that no clean text has."""
+        """``word`` as read and ``right`` as printed, for words of the scanned blocks that clean text does not have, or has far less often than a word easily taken for them."""
         read = self.words.where(F.col("word").rlike("^[\\p{L}\\p{N}!|][\\p{L}\\p{N}!|'’-]*$") & F.col("word").rlike("\\p{L}") & (F.length("word") > 2))
-        odd = read.groupBy("word").agg(F.count(F.lit(1)).alias("seen")).join(self.vocabulary, "word", "left").where(F.coalesce("clean", F.lit(0)) * 20 < F.col("seen")).select("word", "seen")
+        odd = read.groupBy("word").agg(F.count(F.lit(1)).alias("seen")).join(self.vocabulary, "word", "left").where((F.coalesce("clean", F.lit(0)) * 20 < F.col("seen")) | F.col("rival").isNotNull()).select("word", "seen", F.coalesce("clean", F.lit(0)).alias("own"))
         # a compound that no clean text has is put right part by part
         parts = cut(odd.where("word like '%-%'").select(F.col("word").alias("whole"), F.posexplode(F.split("word", "-")).alias("at", "word")))
-        more = parts.where(F.length("word") > 2).groupBy("word").agg(F.count(F.lit(1)).alias("seen")).join(self.vocabulary, "word", "left_anti")
-        best = cut(_rank(_candidates(cut(odd.union(more).groupBy("word").agg(F.max("seen").alias("seen"))), self.known), _rank_model(self.known, sample)))
+        more = parts.where(F.length("word") > 2).groupBy("word").agg(F.count(F.lit(1)).alias("seen")).join(self.vocabulary, "word", "left").where("clean is null or rival is not null").select("word", "seen", F.coalesce("clean", F.lit(0)).alias("own"))
+        best = cut(_rank(_candidates(cut(odd.union(more).groupBy("word").agg(F.max("seen").alias("seen"), F.max("own").alias("own"))), self.known), _rank_model(self.known, sample)))
         put = parts.join(best, "word", "left").groupBy("whole").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("right", "word").alias("w")))).alias("p"), F.min("sureness").alias("sureness"))
         compounds = put.where("sureness is not null").select(F.col("whole").alias("word"), F.array_join(F.transform("p", lambda e: e["w"]), "-").alias("right"), "sureness")
         return best.union(compounds.join(best, "word", "left_anti"))

@@ -136,3 +136,13 @@ def test_words_broken_before_and(spark):
     texts = [("paragraph", k, f"this is the {a}-\n{b} of every kernel") for k, (a, b) in enumerate([("enc", "oder"), ("dec", "oder"), ("thous", "and"), ("pre", "and"), ("cnc", "oder")])]
     got = {(r.block_no, r.found_value) for r in noise(spark.createDataFrame(scans(texts, clean), SCHEMA)).collect() if r.noise_kind == "joined_word"}
     assert got == {(0, "encoder"), (1, "decoder"), (2, "thousand"), (4, "encoder")}
+
+
+def test_misreadings_that_clean_text_has_too(spark):
+    clean = clean_texts(["a lattlce of the kernel", "the gradieut and a kernel"] + 4 * ["every 1attice in the theorem"])
+    clean += 700 * ["the lattice"] + 9 * ["a lettice"]
+    texts = [("paragraph", k, f"this is the {w} of every kernel") for k, w in enumerate(["lattlce", "1attice", "lattice", "gradient"])]
+    r = Repair(spark.createDataFrame(scans(texts, clean), SCHEMA))
+    assert {(x.block_no, x.right_word) for x in r.corrected_words().collect()} == {(0, "lattice"), (1, "lattice")}
+    known = {x.known for x in r.known.collect()}
+    assert "1attice" not in known and "lettice" in known
