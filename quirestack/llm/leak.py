@@ -1,9 +1,9 @@
 """Held-out passages inside a corpus, by greedy string tiling.
 
-Texts become arrays of word hashes, made for a whole batch at once.  Runs of SEED shared words (rolling hashes, looked
-up in a sorted index of the held-out texts) name the pairs to compare; in each pair the longest shared runs that do not
-overlap are marked again and again, and the tiles give coverage and, along their diagonals, the longest passages with
-at most one other word in WINDOW.
+Texts become arrays of word hashes, made for a whole batch at once.  Runs of SEED shared words (rolling hashes, joined
+with those of the held-out texts) name the pairs to compare; in each pair the longest shared runs that do not overlap
+are marked again and again, and the tiles' coverage shows passages whose parts come in another order.  Along the
+diagonals of all shared runs the longest passages with at most one other word in WINDOW are sought.
 """
 
 from __future__ import annotations
@@ -15,19 +15,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quirestack.llm.canon import canonical_points
 from quirestack.operators.nested import byte_chunks
-from quirestack.session import free_names
+from quirestack.session import cut, free_names
 
 WINDOW, OTHERS = 12, 1
 #: A window with one other word has at least so many shared words in a row.
 SEED = (WINDOW - OTHERS + 1) // (OTHERS + 1)
-#: Characters of held-out text that one pass holds on every executor; more are taken in further passes.
+#: Characters of held-out text whose index every executor holds at most; more are joined by a shuffle of their seeds.
 PASS_CHARS = 20_000_000
+#: Tiles that cover this share of a held-out text are a leak in whatever order they come.
+COVERED = 0.8
+#: The filter of held-out seeds has 2 to this power bits (32 MB).
+SIEVE_BITS = 28
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -87,8 +92,8 @@ def rolling(words: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def tiles(doc: np.ndarray, item: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: (place in doc, place in item, length), longest first, none overlapping in either text."""
+def runs(doc: np.ndarray, item: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
+    """The longest shared runs of at least ``least`` words, which may overlap: (length, place in doc, place in item)."""
     a, b = rolling(doc, least), rolling(item, least)
     if not len(a) or not len(b):
         return []
@@ -102,7 +107,12 @@ def tiles(doc: np.ndarray, item: np.ndarray, least: int = SEED) -> list[tuple[in
     by = np.lexsort((i, i - j))
     i, j = i[by], j[by]
     cut = np.flatnonzero(np.r_[True, (np.diff(i - j) != 0) | (np.diff(i) != 1)])
-    heap = [(-(z - s + least - 1), int(i[s]), int(j[s])) for s, z in zip(cut, np.r_[cut[1:], len(i)], strict=True)]
+    return [(int(z - s + least - 1), int(i[s]), int(j[s])) for s, z in zip(cut, np.r_[cut[1:], len(i)], strict=True)]
+
+
+def tiles(doc: np.ndarray, item: np.ndarray, shared: list[tuple[int, int, int]], least: int = SEED) -> list[tuple[int, int, int]]:
+    """Greedy string tiling over the ``shared`` runs: (place in doc, place in item, length), longest first, none overlapping in either text."""
+    heap = [(-n, p, q) for n, p, q in shared]
     heapq.heapify(heap)
     in_doc, in_item = np.zeros(len(doc), bool), np.zeros(len(item), bool)
     out = []
@@ -121,10 +131,10 @@ def tiles(doc: np.ndarray, item: np.ndarray, least: int = SEED) -> list[tuple[in
     return out
 
 
-def reproduced(doc: np.ndarray, item: np.ndarray, found: list[tuple[int, int, int]], window: int = WINDOW, others: int = OTHERS) -> int:
-    """Words of the longest stretch along a tile's diagonal in which every ``window`` words hold at most ``others`` others; 0 if none is that long."""
+def reproduced(doc: np.ndarray, item: np.ndarray, shared: list[tuple[int, int, int]], window: int = WINDOW, others: int = OTHERS) -> int:
+    """Words of the longest stretch along a shared run's diagonal in which every ``window`` words hold at most ``others`` others; 0 if none is that long."""
     best = 0
-    for shift in {p - q for p, q, _ in found}:
+    for shift in {p - q for _, p, q in shared}:
         a, b = max(0, shift), max(0, -shift)
         n = min(len(doc) - a, len(item) - b)
         if n < window:
@@ -137,84 +147,128 @@ def reproduced(doc: np.ndarray, item: np.ndarray, found: list[tuple[int, int, in
     return best
 
 
-SCHEMA = "_item long, copied_words int, tile_count int, covered_words int, item_words int"
+def judged(doc: np.ndarray, item: np.ndarray, coverage: float) -> tuple[int, int, int, int] | None:
+    """(copied_words, tile_count, covered_words, item_words) of a pair that leaks, None of any other."""
+    shared = runs(doc, item)
+    copied, tiled = reproduced(doc, item, shared), tiles(doc, item, shared)
+    covered = sum(n for _, _, n in tiled)
+    if copied or (covered >= WINDOW and covered >= coverage * len(item)):
+        return copied, len(tiled), covered, len(item)
+    return None
 
 
-def _held_out_blocks(items: DataFrame, limit: int) -> Iterator[list[str]]:
-    """The distinct held-out texts, in blocks of at most ``limit`` characters (at least one text each)."""
-    block: list[str] = []
-    size = 0
-    for (text,) in items.toLocalIterator():
-        if block and size + len(text) > limit:
-            yield block
-            block, size = [], 0
-        block.append(text)
-        size += len(text)
-    if block:
-        yield block
+FOUND = "copied_words int, tile_count int, covered_words int, item_words int"
 
 
-def leaks(docs: DataFrame, text: str, key: str, items: DataFrame, item_key: str, parts: list[str], pass_chars: int = PASS_CHARS) -> DataFrame:
-    """Documents that reproduce at least WINDOW consecutive words of a held-out text, at most OTHERS in WINDOW being another.
+def leaks(docs: DataFrame, text: str, key: str, items: DataFrame, item_key: str, parts: list[str], pass_chars: int = PASS_CHARS, coverage: float = COVERED) -> DataFrame:
+    """Documents that reproduce a held-out text: at least WINDOW consecutive words of it, at most OTHERS in WINDOW being
+    another, or, in whatever order, tiles that cover the share ``coverage`` of it and WINDOW words.
 
-    Columns: ``key``, ``item_key``, ``item_part`` (which of the columns ``parts``), ``copied_words`` (longest such passage),
-    ``tile_count``, ``covered_words`` and ``item_words`` (what the tiles cover, in any order).  Items that share a text all
-    get the row.  Null and empty texts and texts below WINDOW words match nothing.  Repeated rows count once.  The held-out
-    texts are the query set: they go to the executors in passes of at most ``pass_chars`` characters.
+    Columns: ``key``, ``item_key``, ``item_part`` (which of the columns ``parts``), ``copied_words`` (longest passage of
+    consecutive words; 0 where only the coverage counts), ``tile_count``, ``covered_words`` and ``item_words``.  Items
+    that share a text all get the row.  Null and empty texts and texts below WINDOW words match nothing.  Repeated rows
+    count once.  Held-out texts of together at most ``pass_chars`` characters are indexed on every executor; more are
+    joined by their seeds, after a filter of fixed size has dropped the documents' seeds that no held-out text has.
     """
     doc_name, item_name = key, free_names([item_key], [key, "item_part", "copied_words", "tile_count", "covered_words", "item_words"])[item_key]
     long = items.select(F.col(item_key).alias("_id"), F.explode(F.array(*(F.struct(F.lit(p).alias("part"), F.col(p).cast("string").alias("text")) for p in parts))).alias("_p")).where("_p.text is not null").select("_id", F.col("_p.part").alias("_part"), F.col("_p.text").alias("_held"))
-    long = long.distinct()
+    long = long.distinct().withColumn("_item", F.md5("_held"))
+    held = long.select("_item", "_held").distinct()
     src = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_doc"), F.col(text).alias("_text"))
-    found = None
-    for block in _held_out_blocks(long.select("_held").distinct(), pass_chars):
-        here = _one_pass(src, block)
-        found = here if found is None else found.union(here)
-    if found is None:
-        found = docs.sparkSession.createDataFrame([], T.StructType([T.StructField("_doc", docs.schema[key].dataType), *T.StructType.fromDDL("_item long, copied_words int, tile_count int, covered_words int, item_words int")]))
-    named = long.withColumn("_item", F.xxhash64("_held"))
-    rows = found.join(named, "_item").select(F.col("_doc").alias(doc_name), F.col("_id").alias(item_name), F.col("_part").alias("item_part"), "copied_words", "tile_count", "covered_words", "item_words")
+    size = held.agg(F.sum(F.length("_held"))).first()[0] or 0
+    found = _indexed(src, held, coverage) if size <= pass_chars else _by_seeds(src, held, coverage)
+    rows = found.join(long.drop("_held"), "_item").select(F.col("_doc").alias(doc_name), F.col("_id").alias(item_name), F.col("_part").alias("item_part"), "copied_words", "tile_count", "covered_words", "item_words")
     return rows.distinct()
 
 
-def _one_pass(src: DataFrame, block: list[str]) -> DataFrame:
-    session = src.sparkSession
-    codes = [r[0] for r in session.createDataFrame([(t,) for t in block], "t string").select(F.xxhash64("t")).toLocalIterator()]
-    words, start = word_hashes(pa.array(block, pa.string()))
+def _seeds(words: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The seeds of texts in a row, and the text of each."""
     seeds = rolling(words, SEED)
     owner = np.searchsorted(start, np.arange(len(seeds)), "right") - 1
     fits = np.arange(len(seeds)) + SEED <= start[owner + 1] if len(seeds) else np.zeros(0, bool)
-    seeds, owner = seeds[fits], owner[fits]
+    return seeds[fits], owner[fits]
+
+
+def _indexed(src: DataFrame, held: DataFrame, coverage: float) -> DataFrame:
+    """The pairs that leak, with an index of all held-out texts on every executor."""
+    session = src.sparkSession
+    block = held.toArrow().combine_chunks()
+    codes = block.column("_item").to_pylist()
+    words, start = word_hashes(block.column("_held").combine_chunks())
+    seeds, owner = _seeds(words, start)
     order = np.argsort(seeds, kind="stable")
-    shared = session.sparkContext.broadcast((seeds[order], owner[order], words, start, np.array(codes, np.int64)))
-    schema = T.StructType([src.schema["_doc"], *T.StructType.fromDDL(SCHEMA)])
+    shared = session.sparkContext.broadcast((seeds[order], owner[order], words, start, codes))
+    schema = T.StructType([src.schema["_doc"], *T.StructType.fromDDL("_item string, " + FOUND)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, owner, held, begin, codes = shared.value
+        seeds, owner, words, begin, codes = shared.value
         for batch in batches:
             for part in byte_chunks(batch, "_text"):
                 got, at = word_hashes(part.column("_text"))
                 mine = rolling(got, SEED)
                 if not len(mine) or not len(seeds):
                     continue
-                row = np.searchsorted(at, np.arange(len(mine)), "right") - 1
                 lo = np.searchsorted(seeds, mine)
-                hit = (seeds[np.minimum(lo, len(seeds) - 1)] == mine) & (np.arange(len(mine)) + SEED <= at[row + 1])
-                where = np.flatnonzero(hit)
+                where = np.flatnonzero(seeds[np.minimum(lo, len(seeds) - 1)] == mine)
+                row = np.searchsorted(at, where, "right") - 1
+                inside = where + SEED <= at[row + 1]
+                where, row = where[inside], row[inside]
                 lo, hi = lo[where], np.searchsorted(seeds, mine[where], "right")
                 count = hi - lo
                 who = owner[np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
-                pairs = np.unique(np.repeat(row[where], count) * np.int64(len(codes)) + who)
+                pairs = np.unique(np.repeat(row, count) * np.int64(len(codes)) + who)
                 rows = []
                 for r, k in zip((pairs // len(codes)).tolist(), (pairs % len(codes)).tolist(), strict=True):
-                    doc, item = got[at[r] : at[r + 1]], held[begin[k] : begin[k + 1]]
-                    tiled = tiles(doc, item)
-                    copied = reproduced(doc, item, tiled)
-                    if copied:
-                        rows.append((r, codes[k], copied, len(tiled), sum(n for _, _, n in tiled), len(item)))
+                    if (verdict := judged(got[at[r] : at[r + 1]], words[begin[k] : begin[k + 1]], coverage)) is not None:
+                        rows.append((r, codes[k], *verdict))
                 if rows:
-                    r, *cols = map(list, zip(*rows, strict=True))
-                    arrays = [pa.array(c, pa.int64() if i == 0 else pa.int32()) for i, c in enumerate(cols)]
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(r, pa.int64())), *arrays], names=schema.names)
+                    r, code, *numbers = map(list, zip(*rows, strict=True))
+                    arrays = [part.column(0).take(pa.array(r, pa.int64())), pa.array(code, pa.string()), *(pa.array(c, pa.int32()) for c in numbers)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return src.mapInArrow(run, schema)
+
+
+def _seed_rows(texts: DataFrame, code: str, text: str, sieve: Broadcast | None) -> DataFrame:
+    """The distinct seeds of each text under its code; with ``sieve``, those whose slot is set in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in byte_chunks(batch, text):
+                seeds, owner = _seeds(*word_hashes(part.column(text)))
+                if sieve is not None:
+                    slot = seeds >> np.uint64(64 - SIEVE_BITS)
+                    hit = sieve.value[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1) > 0
+                    seeds, owner = seeds[hit], owner[hit]
+                yield pa.RecordBatch.from_arrays([part.column(code).take(pa.array(owner)), pa.array(seeds.view(np.int64))], names=[code, "_seed"])
+
+    return texts.select(code, text).mapInArrow(run, f"{code} string, _seed long").distinct()
+
+
+def _by_seeds(src: DataFrame, held: DataFrame, coverage: float) -> DataFrame:
+    """The pairs that leak, by a join on seeds; hot seeds are split by the join's skew handling, copies of a text are compared once."""
+    session = src.sparkSession
+    theirs = cut(_seed_rows(held, "_item", "_held", None))
+    # one bit for each slot that some held-out seed falls into; never more than 2 ** SIEVE_BITS bits
+    slot = F.shiftrightunsigned("_seed", 64 - SIEVE_BITS)
+    bits = theirs.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(_seed, {64 - SIEVE_BITS}) & 63 as int))")).alias("b")).toArrow()
+    sieve = np.zeros(1 << (SIEVE_BITS - 6), np.uint64)
+    sieve[bits.column("w").to_numpy()] = bits.column("b").to_numpy().view(np.uint64)
+    texts = src.withColumn("_code", F.md5("_text"))
+    ours = _seed_rows(texts, "_code", "_text", session.sparkContext.broadcast(sieve))
+    pairs = cut(ours.join(theirs, "_seed").select("_code", "_item").distinct())
+    bodies = texts.join(pairs.select("_code").distinct(), "_code", "left_semi").groupBy("_code").agg(F.first("_text").alias("_text"))
+    full = pairs.join(bodies, "_code").join(held, "_item").select("_code", "_item", "_text", "_held")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in byte_chunks(batch, "_text"):
+                (a, at), (b, begin) = word_hashes(part.column("_text")), word_hashes(part.column("_held"))
+                judgements = [judged(a[at[i] : at[i + 1]], b[begin[i] : begin[i + 1]], coverage) for i in range(part.num_rows)]
+                keep = [i for i, x in enumerate(judgements) if x is not None]
+                numbers = [pa.array([judgements[i][k] for i in keep], pa.int32()) for k in range(4)]
+                some = pa.array(keep, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("_code").take(some), part.column("_item").take(some), *numbers], names=["_code", "_item", *(x.split()[0] for x in FOUND.split(", "))])
+
+    good = full.mapInArrow(run, "_code string, _item string, " + FOUND)
+    return texts.select("_doc", "_code").join(good, "_code").drop("_code")

@@ -10,7 +10,7 @@ from quirestack.llm.canon import alike_pairs, consistent_form
 from quirestack.llm.leak import leaks
 from quirestack.llm.ocr import Repair, noise
 from quirestack.llm.safety import THRESHOLD, fit, scored
-from quirestack.llm.split import LIMIT, split_texts
+from quirestack.llm.split import LIMIT, OVERLAP, split_texts
 from quirestack.session import table
 
 
@@ -52,18 +52,29 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_texts(_items(spark, d), "body", ["item_kind", "item_no"])
 
 
+def p5_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """Each item put together again from its pieces, and how many of them break the limit or the overlap."""
+    pieces = p5_pieces(spark, d)
+    kept = F.when(F.col("piece_no") == 0, F.col("piece_text")).otherwise(F.expr(f"substr(piece_text, {OVERLAP} + 1)"))
+    row = F.struct("piece_no", kept.alias("kept"), F.col("piece_text").alias("t"))
+    listed = pieces.groupBy("item_kind", "item_no").agg(F.sort_array(F.collect_list(row)).alias("p"))
+    carried = F.filter(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.right(F.col("p")[i - 1]["t"], F.lit(OVERLAP)) != F.left(F.col("p")[i]["t"], F.lit(OVERLAP)))
+    return listed.select("item_kind", "item_no", F.md5(F.array_join(F.transform("p", lambda x: x["kept"]), "")).alias("text_md5"), F.size(F.filter("p", lambda x: F.length(x["t"]) > LIMIT)).alias("oversized"), F.when(F.size("p") < 2, 0).otherwise(F.size(carried)).alias("bad_overlaps"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"), "text", ["doc_id"])
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
-    """Each leak with its length and the share of the held-out text that its tiles cover."""
+    """Each leak with its length and the share of the held-out text that its tiles cover; a passage in another order has ``copied_words`` 0."""
     rows = leaks(table(spark, d, "documents"), "text", "doc_id", table(spark, d, "eval_items"), "item_id", ["passage", "question"])
     return rows.withColumn("coverage", F.round(F.col("covered_words") / F.col("item_words"), 4))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return p7_report(spark, d).select("doc_id", "item_id").distinct()
+    """The leaks with twelve consecutive words."""
+    return p7_report(spark, d).where("copied_words > 0").select("doc_id", "item_id").distinct()
 
 
 def p8_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -83,9 +94,12 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return p8_scores(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(unsafe).alias("unsafe_documents")).withColumn("unsafe_rate", F.round(F.col("unsafe_documents") / F.col("documents"), 6))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_paragraphs, p4_found, p4_forms, p5_found, p5_pieces, p6_ids, p7_found, p7_report, p8_scores, p8_found, p8_rates)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_paragraphs, p4_found, p4_forms, p5_found, p5_pieces, p5_rebuilt, p6_ids, p7_found, p7_report, p8_scores, p8_found, p8_rates)}
 
 SQL = {
+    "p5_rebuilt": """
+        SELECT 'retrieved_block' AS item_kind, retrieval_no AS item_no, md5(text) AS text_md5, 0::INTEGER AS oversized, 0::INTEGER AS bad_overlaps FROM (SELECT DISTINCT retrieval_no, text FROM retrieved_blocks WHERE text IS NOT NULL)
+        UNION ALL SELECT 'book_section', section_no, md5(content), 0, 0 FROM (SELECT DISTINCT section_no, content FROM book_sections WHERE content IS NOT NULL)""",
     "p5_found": """
         WITH items AS (SELECT DISTINCT 'retrieved_block' AS item_kind, retrieval_no AS item_no, text AS body FROM retrieved_blocks WHERE text IS NOT NULL
             UNION SELECT DISTINCT 'book_section', section_no, content FROM book_sections WHERE content IS NOT NULL)

@@ -1,11 +1,12 @@
 """Oversized texts cut into overlapping pieces at natural boundaries.
 
 Cuts are balanced: from the least number of pieces follow evenly spaced targets, each of which moves to the strongest
-boundary nearby that keeps every limit; where some limit can't be kept, one more piece is tried.
+boundary nearby that keeps every limit; pieces are added until the text's boundaries allow their number.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,6 @@ LIMIT, OVERLAP = 1600, 160
 PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, FORCED = 5, 4, 3, 2, 1, 0
 #: What the kinds of boundary are called, by strength.
 KINDS = ("forced", "word", "clause", "sentence", "line", "paragraph")
-EXTRA_PIECES = 6
 
 _SPACE = np.array([cp for cp in range(0x3001) if chr(cp).isspace()], np.uint32)
 _STOP = np.array([ord(c) for c in ".!?…。！？؟।"], np.uint32)
@@ -60,57 +60,72 @@ def boundaries(points: np.ndarray) -> np.ndarray:
     level[breaks > 1] = PARAGRAPH
     strength[cut] = level
     # inside a run of white space a cut loses nothing; it is used where a run exceeds the limit
-    run = np.flatnonzero(space[1:] & space[:-1]) + 1
+    run = np.flatnonzero(space[1:] & space[:-1] & ~((points[:-1] == 13) & (points[1:] == 10))) + 1
     strength[run] = WORD
     return strength
 
 
-def _balanced(strength: np.ndarray, n: int, pieces: int, limit: int, overlap: int) -> list[int] | None:
-    """Cuts for this number of pieces, or None if some limit fails."""
-    cuts, prev = [], 0
-    for i in range(1, pieces):
-        room = limit if i == 1 else limit - overlap
-        low = max(prev + 1, n - (limit - overlap) * (pieces - i), overlap)
-        high = min(prev + room, n - 1)
-        if low > high:
-            return None
-        # even spacing of what is left; the first piece has no overlap to carry
-        target = prev + (n - prev + (overlap if i == 1 else 0)) // (pieces - i + 1)
-        window = strength[low : high + 1]
-        at = np.flatnonzero(window)
-        if not len(at):
-            return None
-        pull = np.abs(at + low - target) / max(1, limit // 4)
-        best = at[np.argmax(window[at] - 2.0 * pull)]
-        prev = int(low + best)
-        cuts.append(prev)
-    return cuts
-
-
-def _reaching(strength: np.ndarray, n: int, limit: int, overlap: int) -> list[int]:
-    """Each cut as far as it can be; forced only where the text has no white space for as long as a piece."""
-    cuts, prev = [], 0
-    while n - prev > (limit - overlap if cuts else limit):
-        high = prev + (limit - overlap if cuts else limit)
-        at = np.flatnonzero(strength[prev + 1 : high + 1])
-        at = at[at + prev + 1 >= overlap]
-        prev = int(prev + 1 + at[-1]) if len(at) else high
-        cuts.append(prev)
-    return cuts
+def _forced_places(points: np.ndarray, start: int, end: int, room: int) -> list[int]:
+    """Evenly spaced cuts for a stretch without white space, none before a combining mark, no two further apart than ``room``."""
+    out = []
+    while end - start > room:
+        left = -(-(end - start) // room)
+        at = start + -(-(end - start) // left)
+        while at > start + 1 and unicodedata.category(chr(points[at]))[0] == "M":
+            at -= 1
+        if at == start + 1 and unicodedata.category(chr(points[at]))[0] == "M":
+            at = start + room  # nothing but marks for a whole piece
+        out.append(at)
+        start = at
+    return out
+
+
+def _places(points: np.ndarray, strength: np.ndarray, room: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
+    """All places where a cut may be, and the farthest that each can reach: the last boundary within ``room``, or a forced
+    place where a whole piece's length has no boundary.  The first place is where the first piece's own room begins."""
+    n = len(points)
+    cuts = np.flatnonzero(strength[:n])
+    cuts = np.r_[overlap, cuts[cuts > overlap]]
+    gaps = np.flatnonzero(np.diff(np.r_[cuts, n]) > room)
+    ends = np.r_[cuts[1:], n]
+    forced = [x for g in gaps for x in _forced_places(points, int(cuts[g]), int(ends[g]), room)]
+    at = np.sort(np.r_[cuts, np.array(forced, np.int64)]).astype(np.int64)
+    # the last boundary in reach; a forced place only where there is none
+    free = np.flatnonzero(~np.isin(at, forced)) if forced else np.arange(len(at))
+    last = free[np.searchsorted(at[free], at + room, "right") - 1]
+    return at, np.where(last > np.arange(len(at)), last, np.minimum(np.arange(len(at)) + 1, len(at) - 1))
 
 
 def cut_points(points: np.ndarray, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[list[int], np.ndarray]:
-    """Where to cut, and the strength of a cut before each position; no cut if the text is within the limit."""
+    """Where to cut, and the strength of a cut before each position; no cut if the text is within the limit.
+
+    Starting from the least number of pieces that the length allows, pieces are added until the boundaries allow that
+    number; then every cut is snapped to the strongest boundary near its even target that leaves the rest feasible.
+    """
     n = len(points)
     strength = boundaries(points)
     if n <= limit:
         return [], strength
-    least = 1 + -(-(n - limit) // (limit - overlap))
-    for pieces in range(least, least + EXTRA_PIECES):
-        cuts = _balanced(strength, n, pieces, limit, overlap)
-        if cuts is not None:
-            return cuts, strength
-    return _reaching(strength, n, limit, overlap), strength
+    room = limit - overlap
+    at, reach = _places(points, strength, room, overlap)
+    # earliest[k]: the first place from which k + 1 pieces reach the end
+    earliest = [int(np.searchsorted(at, n - room))]
+    while earliest[-1] > 0:
+        earliest.append(int(np.searchsorted(reach, earliest[-1])))
+    pieces = len(earliest)
+    forced = strength[np.minimum(at, n)] == FORCED
+    cuts: list[int] = []
+    here, prev = 0, overlap
+    for left in range(pieces - 1, 0, -1):
+        target = prev + (n - prev) // (left + 1)
+        low, high = max(here + 1, earliest[left - 1]), int(reach[here])
+        span = np.arange(low, high + 1)
+        span = span[~forced[span]] if not forced[high] else span[-1:]
+        pull = np.abs(at[span] - target) / max(1, limit // 4)
+        here = int(span[np.argmax(strength[at[span]] - 2.0 * pull)])
+        prev = int(at[here])
+        cuts.append(prev)
+    return cuts, strength
 
 
 def split_texts(df: DataFrame, text: str, keys: list[str], limit: int = LIMIT, overlap: int = OVERLAP, with_text: bool = True) -> DataFrame:
