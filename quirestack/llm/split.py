@@ -44,6 +44,9 @@ def boundaries(points: np.ndarray) -> np.ndarray:
     n = len(points)
     space = np.isin(points, _SPACE)
     strength = np.zeros(n + 1, np.int8)
+    # inside a run of white space a cut loses nothing, unless it parts the two halves of a line end
+    run = np.flatnonzero(space[1:] & space[:-1] & ~((points[:-1] == 13) & (points[1:] == 10))) + 1
+    strength[run] = WORD
     cut = np.flatnonzero(space[:-1] & ~space[1:]) + 1 if n else np.zeros(0, np.int64)
     if not len(cut):
         return strength
@@ -59,9 +62,6 @@ def boundaries(points: np.ndarray) -> np.ndarray:
     level[breaks == 1] = LINE
     level[breaks > 1] = PARAGRAPH
     strength[cut] = level
-    # inside a run of white space a cut loses nothing; it is used where a run exceeds the limit
-    run = np.flatnonzero(space[1:] & space[:-1] & ~((points[:-1] == 13) & (points[1:] == 10))) + 1
-    strength[run] = WORD
     return strength
 
 
