@@ -12,9 +12,10 @@ class Boost:
         x = np.asarray(x, float)
         y = np.asarray(y, float)
         self.depth, self.rate = depth, rate
-        # cuts at quantiles of the rows and of the distinct values, so that rare large values keep bins of their own
-        at = np.linspace(0, 1, bins // 2 + 1)[1:-1]
-        self.edges = [np.unique(np.r_[np.quantile(c, at), np.quantile(np.unique(c), at)]) if len(c) else np.zeros(0) for c in x.T]
+        # cuts at quantiles of the rows and of the distinct values, so that rare large values keep bins of their own, and at
+        # even distances, so that a gap between the classes is not left without one
+        at, even = np.linspace(0, 1, bins // 3 + 2)[1:-1], np.linspace(0, 1, bins // 3 + 1)[1:-1]
+        self.edges = [np.unique(np.r_[np.quantile(c, at), np.quantile(np.unique(c), at), c.min() + even * np.ptp(c)]) if len(c) else np.zeros(0) for c in x.T]
         codes = np.stack([np.searchsorted(e, c, "left") for e, c in zip(self.edges, x.T, strict=True)], 1) if len(x) else np.zeros((0, x.shape[1]), int)
         mean = np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)
         self.base = float(np.log(mean / (1 - mean)))
@@ -44,6 +45,10 @@ class Boost:
                 gain[(h < least * 0.05) | (ht - h < least * 0.05)] = 0
                 at = gain.argmax(1)
                 top = gain[np.arange(count), at]
+                # cuts that part the rows alike differ only in where new rows fall: the middle one keeps away from both sides
+                apart = gain < top[:, None] - 1e-9 * np.abs(top[:, None])
+                apart[np.arange(gain.shape[1])[None, :] < at[:, None]] = False
+                at = (at + np.where(apart.any(1), apart.argmax(1), gain.shape[1]) - 1) // 2
                 win = top > best
                 best[win] = top[win]
                 feature[first : first + count][win] = f

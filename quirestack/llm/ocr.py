@@ -8,6 +8,7 @@ characters were confused on purpose.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections import Counter
@@ -18,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from quirestack.llm.boost import Boost
 from quirestack.llm.canon import canonical_array
@@ -27,15 +29,21 @@ from quirestack.session import cut
 # What a scanner reads (left) for what is printed (right).
 CONFUSIONS = "c:e e:c 0:o o:a a:o f:t t:f 5:s ri:n !:i 1:l 1:i l:i i:l cl:d d:cl ii:u u:ii rn:m m:rn 6:b b:6 b:h h:b q:g g:q 9:g m:in in:m vv:w w:vv h:li li:h n:ri |:l nn:m 8:b 2:z 0:c w:vi"
 READ_AS = [tuple(x.split(":")) for x in CONFUSIONS.split()]
-#: Block types that are furniture by themselves, and those whose lines are compared with no template.
+#: Block types that are furniture by themselves, those that admit to it, and those that hold no prose unless their text says so.
 FURNITURE_TYPES = ("header", "footer", "page_number")
 ADMITTED = (*FURNITURE_TYPES, "title")
 NO_PROSE = ("code", "algorithm", "equation", "inline_equation")
-#: Rows that the classifiers are fitted on at most.
-LINE_SAMPLE, WORD_SAMPLE, RANK_SAMPLE = 20_000, 4_000, 1_500
+#: What the classifiers are fitted on at most: blocks of each kind, known words, words misread on purpose, and their pairs.
+BLOCK_SAMPLE, WORD_SAMPLE, RANK_SAMPLE, PAIR_SAMPLE = 5_000, 4_000, 1_500, 100_000
 #: Corrections up to so many go to every executor; beyond that they are joined by a shuffle.
 BROADCAST_ROWS = 300_000
-GRAM, RAREST = 3, 6
+GRAM = 3
+#: Two usual misreadings spoil at most so many of a word's grams, so one of its rarest is left.
+RAREST = 2 * (GRAM + 1) + 1
+#: Places in the reading order that one task looks through for the next block at a time.
+STRETCH = 4_096
+#: A line printed on so many pages of its paper counts as recurring.
+RECURS = 3
 KNOWN = 3
 #: A word is looked at if a word one usual confusion away is so many times as common in clean text, and not taken for known if RARER times.
 FAR, RARER = 20, 100
@@ -102,8 +110,8 @@ class Templates:
         self.exact = set(skeletons)
         self.grams = [(len(s), _grams(s)) for s in self.exact if len(s) >= 8]
 
-    def likeness(self, line: str) -> float:
-        s = skeleton(line)
+    def likeness(self, s: str) -> float:
+        """How like one of them the skeleton of a line is."""
         if len(s) < 5:
             return 0.0
         if s in self.exact:
@@ -116,13 +124,38 @@ class Templates:
         return best
 
 
-def line_features(lines: list[str], i: int, page: int, templates: Templates) -> tuple[float, ...]:
-    """What a line and its neighbours say about its being furniture."""
+@functools.lru_cache(maxsize=512)
+def _templates(skeletons: tuple[str, ...]) -> Templates:
+    """Blocks of a paper mostly come together, so its templates are made once."""
+    return Templates(list(skeletons))
+
+
+def line_features(lines: list[str], i: int, page: int, templates: Templates, shares: dict[str, float], sort: int) -> tuple[float, ...]:
+    """What a line and its neighbours say about its being furniture; ``shares`` has the recurring lines, ``sort`` what the block's type says."""
     line = lines[i].strip()
     before = lines[i - 1].rstrip() if i else ""
     after = lines[i + 1].lstrip() if i + 1 < len(lines) else ""
-    number = page_number(line)
-    return (templates.likeness(line), float(number >= 0), float(number == page + 1), float(bool(before) and before[-1] not in ".!?:"), float(bool(after) and after[:1].islower()), float(len(lines) == 1))
+    number, own = page_number(line), skeleton(line)
+    return (templates.likeness(own), float(number >= 0), float(number == page + 1), float(bool(before) and before[-1] not in ".!?:"), float(bool(after) and after[:1].islower()), float(len(lines) == 1), shares.get(own, 0.0), float(sort))
+
+
+LINE_FEATURES = 8
+
+
+def type_sort(kind: str) -> int:
+    """0: prose, 1: a table's cell, 2: code or formulas."""
+    return 1 if kind == "table_cell" else 2 if kind in NO_PROSE else 0
+
+
+_WORD = re.compile("^[(\"'“„«]*[^\\W\\d_][\\w'’-]*[)\"'”’».,;:!?­¬‐-]*$")
+
+
+def reads_as_prose(kind: str, lines: list[str]) -> bool:
+    """Whether joins and words are sought in a block: always but for code and formulas, whose text has to consist of words."""
+    if kind not in NO_PROSE:
+        return True
+    parts = " ".join(lines).split()
+    return len(parts) >= 8 and sum(bool(_WORD.match(x)) for x in parts) >= 0.85 * len(parts)
 
 
 SCAN_SCHEMA = "block_no long, paper_id string, generation int, doc_order int, body boolean, gone boolean, furniture array<int>, breaks array<struct<left:string,right:string,mark:string>>, tail_word string, tail_mark string, head_word string, words array<string>"
@@ -134,33 +167,41 @@ def _page_sample(blocks: DataFrame) -> Boost:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, hosts, marked = [], [], []
-            for text, kind, page, known in zip(*(b.column(c).to_pylist() for c in ("text", "block_type", "page_index", "templates")), strict=True):
-                t, lines = Templates(known or []), lines_of(text)
+            for text, kind, page, known, often in zip(*(b.column(c).to_pylist() for c in ("text", "block_type", "page_index", "templates", "recurring")), strict=True):
+                t, lines, shares = _templates(tuple(known or ())), lines_of(text), dict(often or [])
                 if kind in FURNITURE_TYPES:
                     for x in filter(str.strip, lines):
-                        marked.append((x, page or 0, t))
+                        marked.append((x, page or 0, t, shares))
                         # how like the paper's other headers it is, without itself
                         rest = Templates([k for k in known or [] if k != skeleton(x)])
-                        if rest.likeness(x) > 0.3:
-                            marked.append((x, page or 0, rest))
-                elif len(lines) > 2:
+                        if rest.likeness(skeleton(x)) > 0.5:
+                            marked.append((x, page or 0, rest, shares))
+                        if skeleton(x) in shares:  # as if the parser had marked none
+                            marked.append((x, page or 0, Templates([]), shares))
+                elif len(lines) > 2 and type_sort(kind) == 0:
                     hosts.append(lines)
                 for i in range(len(lines)):
-                    f = line_features(lines, i, page or 0, t)
-                    # lines elsewhere that look just like furniture may be furniture, so they teach nothing
-                    if lines[i].strip() and (kind in FURNITURE_TYPES or not (f[0] > 0.9 or f[2])):
+                    sort = type_sort(kind)
+                    f = line_features(lines, i, page or 0, t, shares, sort)
+                    # lines elsewhere that look just like furniture may be furniture, so they teach nothing; numbers in cells are none
+                    if lines[i].strip() and (kind in FURNITURE_TYPES or not (f[0] > 0.9 or (f[2] and not sort))):
                         rows.append((int(kind in FURNITURE_TYPES), f))
-            for k, (line, page, t) in enumerate(marked if hosts else []):  # the same lines between the lines of a paragraph
+            for k, (line, page, t, shares) in enumerate(marked if hosts else []):  # the same lines between the lines of a paragraph
                 host = hosts[k % len(hosts)]
                 at = 1 + k % (len(host) - 1)
-                rows += 2 * [(1, line_features([*host[:at], line, *host[at:]], at, page, t))]
+                rows += 2 * [(1, line_features([*host[:at], line, *host[at:]], at, page, t, shares, 0))]
+                # in blocks of a wrong type a head is one, but a number alone is a value
+                if t.likeness(skeleton(line)) > 0.9:
+                    rows += [(1, line_features(x, i, page, t, shares, 1 + k % 2)) for x, i in (([line], 0), ([*host[:at], line, *host[at:]], at))]
+                elif page_number(line) >= 0:
+                    rows += [(0, line_features([line], 0, page, t, shares, sort)) for sort in (1, 2)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([list(r[1]) for r in rows], pa.list_(pa.float64()))], names=["mark", "features"])
 
     # a bounded number of blocks of each kind, by hash
-    near = blocks.where(~F.col("block_type").isin("table_cell", "title", *NO_PROSE)).withColumn("mark", F.col("block_type").isin(*FURNITURE_TYPES))
-    parts = [near.where(cond).orderBy(F.xxhash64("block_no")).limit(LINE_SAMPLE // 4).drop("mark") for cond in ("mark", "not mark")]
+    near = blocks.where(F.col("block_type") != "title").withColumn("mark", F.col("block_type").isin(*FURNITURE_TYPES))
+    parts = [near.where(cond).orderBy(F.xxhash64("block_no")).limit(BLOCK_SAMPLE).drop("mark") for cond in ("mark", "not mark")]
     found = parts[0].union(parts[1]).coalesce(1).mapInArrow(run, "mark int, features array<double>").toArrow()
-    return Boost(_matrix(found.column("features"), 6), found.column("mark").to_numpy(), trees=40, depth=3)
+    return Boost(_matrix(found.column("features"), LINE_FEATURES), found.column("mark").to_numpy(), trees=40, depth=3)
 
 
 def _scan(blocks: DataFrame, model: Boost) -> DataFrame:
@@ -169,21 +210,19 @@ def _scan(blocks: DataFrame, model: Boost) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            cols = [b.column(c).to_pylist() for c in ("block_no", "paper_id", "generation", "doc_order", "flow_kind", "block_type", "page_index", "text", "templates")]
+            cols = [b.column(c).to_pylist() for c in ("block_no", "paper_id", "generation", "doc_order", "flow_kind", "block_type", "page_index", "text", "templates", "recurring")]
             asked, slots = [], []
             texts = []
-            for k, (kind, page, text, known) in enumerate(zip(*cols[5:], strict=True)):
+            for k, (kind, page, text, known, often) in enumerate(zip(*cols[5:], strict=True)):
                 lines = lines_of(text or "")
                 texts.append(lines)
-                if kind in ADMITTED or kind in ("table_cell", *NO_PROSE):
+                if kind in ADMITTED:
                     continue
-                t = Templates(known or [])
+                t, shares, sort = _templates(tuple(known or ())), dict(often or []), type_sort(kind)
                 for i, line in enumerate(lines):
-                    if line.strip() and (page_number(line) >= 0 or len(line) > 8):
-                        f = line_features(lines, i, page or 0, t)
-                        if f[0] > 0.3 or f[1]:
-                            asked.append(f)
-                            slots.append((k, i))
+                    if line.strip():
+                        asked.append(line_features(lines, i, page or 0, t, shares, sort))
+                        slots.append((k, i))
             odd: dict[int, set[int]] = {}
             if asked:
                 for (k, i), p in zip(slots, model.predict(np.array(asked)), strict=True):
@@ -195,7 +234,7 @@ def _scan(blocks: DataFrame, model: Boost) -> DataFrame:
                 gone = kind in FURNITURE_TYPES or not lines
                 breaks, words, tail, mark, head = [], [], None, None, None
                 carry = ""
-                if not gone and kind not in NO_PROSE:
+                if not gone and reads_as_prose(kind, lines):
                     for i, line in enumerate(lines):
                         parts = line.split()
                         if carry:
@@ -376,10 +415,14 @@ def _usual(read: str, printed: str, before: str, after: str) -> float:
 
 
 def _candidates(words: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs (word, known) that share one of the word's rarest q-grams at about the same place."""
+    """Pairs (word, known) that share one of the word's rarest q-grams at about the same place.
+
+    Any word of which at most two stretches were misread as usual shares one: the grams, places and lengths that two
+    such misreadings can change are allowed for.  Both sides are shuffled by gram, so hot grams are split as skew.
+    """
     padded = lambda c: F.concat(F.lit("^"), F.col(c), F.lit("$"))
     grams = lambda df, c: df.select("*", F.posexplode(F.transform(F.sequence(F.lit(1), F.length(padded(c)) - (GRAM - 1)), lambda i: F.substring(padded(c), i, F.lit(GRAM)))).alias("at", "gram"))
-    posts = cut(grams(known.select("known", "clean"), "known").repartition("gram"))
+    posts = cut(grams(known.select("known", "clean"), "known"))
     rare = posts.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     own = grams(words, "word").join(rare, "gram")
     few = own.groupBy("word", "seen", "own").agg(F.slice(F.sort_array(F.collect_list(F.struct("df", "gram", "at"))), 1, RAREST).alias("few"))
@@ -432,7 +475,9 @@ def _rank_model(known: DataFrame, sample: list[tuple[str, int]]) -> Boost:
             y = [float(truth.get(w) == k) for w, k in zip(*cols[:2], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float32())), pa.array(y, pa.float32())], names=["x", "y"])
 
-    found = _candidates(probes, known).mapInArrow(run, "x array<float>, y float").toArrow()
+    rows = _candidates(probes, known).mapInArrow(run, "x array<float>, y float")
+    # wrong candidates grow with the vocabulary; a bounded number is enough to learn from
+    found = rows.orderBy(F.desc("y"), F.xxhash64("x")).limit(PAIR_SAMPLE).toArrow()
     x, y = _matrix(found.column("x"), 13), found.column("y").to_numpy()
     return Boost(x, y, trees=60, depth=4)
 
@@ -452,7 +497,12 @@ class Repair:
         skeletons = F.pandas_udf(lambda s: s.map(lambda t: sorted({k for k in [*map(skeleton, lines_of(t)), skeleton(" ".join(lines_of(t)))] if len(k) >= 5})), "array<string>")
         shown = own.where(F.col("block_type").isin("header", "footer", "title")).select("paper_id", F.explode(skeletons("text")).alias("s"))
         templates = shown.groupBy("paper_id").agg(F.collect_set("s").alias("templates"))
-        self.blocks = cut(own.join(templates, "paper_id", "left"))
+        # lines that recur over the pages of a paper, with the share of its pages, whether or not the parser marked any
+        pages = own.groupBy("paper_id", "generation").agg(F.count_distinct("page_index").alias("pages"))
+        lines = own.select("paper_id", "generation", "page_index", F.explode(skeletons("text")).alias("s")).distinct()
+        often = lines.groupBy("paper_id", "generation", "s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= RECURS).join(pages, ["paper_id", "generation"])
+        often = often.groupBy("paper_id", "generation").agg(F.map_from_entries(F.collect_list(F.struct("s", F.col("n") / F.col("pages")))).alias("recurring"))
+        self.blocks = cut(own.join(templates, "paper_id", "left").join(often, ["paper_id", "generation"], "left"))
         self.scan = cut(_scan(self.blocks, _page_sample(self.blocks)))
         clean = blocks.where((F.col("source_kind") != "ocr") & F.col("text").isNotNull())
         self.vocabulary = cut(_rivals(cut(vocabulary(clean, "text"))))
@@ -477,17 +527,19 @@ class Repair:
     def _breaks(self) -> DataFrame:
         """All broken words: within blocks, and from a block's end to the next body block."""
         inner = self.scan.select("block_no", F.explode("breaks").alias("b")).select("block_no", "b.left", "b.right", "b.mark")
-        body = self.scan.where(F.col("body") & F.col("doc_order").isNotNull()).select("paper_id", "generation", F.col("doc_order").alias("at"), F.col("gone").alias("skip"), "head_word", F.col("block_no").alias("next_no"))
-        open_ = self.scan.where(F.col("tail_word").isNotNull() & F.col("body") & F.col("doc_order").isNotNull()).select("block_no", "paper_id", "generation", (F.col("doc_order") + 1).alias("at"), F.col("tail_word").alias("left"), F.col("tail_mark").alias("mark"))
-        found = None
-        # the next block is mostly the one that counts; where it is furniture, the search goes on behind it
-        while True:
-            met = cut(open_.join(body, ["paper_id", "generation", "at"]))
-            here = met.where(~F.col("skip") & F.col("head_word").isNotNull()).select("block_no", "left", F.col("head_word").alias("right"), "mark", "next_no")
-            found = here if found is None else found.union(here)
-            open_ = met.where(F.col("skip")).select("block_no", "paper_id", "generation", (F.col("at") + 1).alias("at"), "left", "mark")
-            if open_.isEmpty():
-                break
+        # the next body block that is neither furniture nor without words; papers of any size are cut into stretches, whose
+        # first such blocks are looked through where a stretch has none left
+        body = self.scan.where(F.col("body") & F.col("doc_order").isNotNull()).withColumn("stretch", F.floor(F.col("doc_order") / STRETCH))
+        body = body.withColumn("stop", F.when(~F.col("gone") & F.col("head_word").isNotNull(), F.struct("head_word", "block_no")))
+        body = body.select("paper_id", "generation", "stretch", "doc_order", "block_no", "stop", "tail_word", "tail_mark")
+        paper = ["paper_id", "generation"]
+        within = W.partitionBy(*paper, "stretch").orderBy("doc_order", "block_no").rowsBetween(1, W.unboundedFollowing)
+        beyond = W.partitionBy(*paper).orderBy("stretch").rowsBetween(1, W.unboundedFollowing)
+        heads = body.groupBy(*paper, "stretch").agg(F.min(F.when(F.col("stop").isNotNull(), F.struct("doc_order", "block_no", "stop")))["stop"].alias("first"))
+        heads = heads.withColumn("later", F.first("first", ignorenulls=True).over(beyond)).drop("first")
+        ahead = body.withColumn("next", F.first("stop", ignorenulls=True).over(within)).where(F.col("tail_word").isNotNull())
+        found = ahead.join(heads, [*paper, "stretch"]).withColumn("next", F.coalesce("next", "later")).where(F.col("next").isNotNull())
+        found = found.select("block_no", F.col("tail_word").alias("left"), F.col("next.head_word").alias("right"), F.col("tail_mark").alias("mark"), F.col("next.block_no").alias("next_no"))
         return inner.withColumn("next_no", F.lit(None).cast("long")).union(found)
 
     def _joins(self, sample: list[tuple[str, int]]) -> DataFrame:
@@ -579,11 +631,11 @@ def _put_right(token: str, fixes: dict[str, str]) -> str:
 
 
 def _continuous(kind: str, text: str, furniture: list[int] | None, fixes: list | None, joins: list | None, continued: int | None, headless: bool | None) -> str:
-    if kind in NO_PROSE:
-        return text
     gone, fixed = set(furniture or []), dict(fixes or [])
     whole = {(j["left"], j["right"]): j["joined"] for j in joins or []}
     lines = [x for i, x in enumerate(lines_of(text), 1) if i not in gone and x.strip()]
+    if not reads_as_prose(kind, lines):
+        return "\n".join(x for i, x in enumerate(lines_of(text), 1) if i not in gone) if gone else text
     out: list[str] = []
     carry = ""
     for i, line in enumerate(lines):

@@ -108,7 +108,7 @@ def test_parts():
     assert skeleton("Rnodern Clirnate  12") == skeleton("MODERN CLIMATE")
     assert plain("(Word-like,") == "word-like" and plain("!mproved.") == "!mproved" and plain("...") == ""
     assert lines_of("a\r\nb\rc\nd") == ["a", "b", "c", "d"]
-    assert line_features(["a", "x"], 0, 0, Templates([]))[0] == 0.0
+    assert line_features(["a", "x"], 0, 0, Templates([]), {}, 0)[0] == 0.0
 
 
 def test_boost_learns_a_rule():
@@ -146,3 +146,34 @@ def test_misreadings_that_clean_text_has_too(spark):
     assert {(x.block_no, x.right_word) for x in r.corrected_words().collect()} == {(0, "lattice"), (1, "lattice")}
     known = {x.known for x in r.known.collect()}
     assert "1attice" not in known and "lettice" in known
+
+
+def test_papers_without_marked_headers(spark, made):
+    """Running heads that the parser marked nowhere in their paper are found by their recurrence; short heads too."""
+    rows, _ = made
+    rows = [r for r in rows if r[0] is not None and r[1] not in ("scan9",)]
+    r, no, truth = random.Random(4), 50_000, set()
+    for p, head in enumerate(["Stochastic Kernel Variance", "SPECTRA"]):
+        for page in range(8):
+            for k in range(3):
+                no += 1
+                lines, _ = wrapped(r, sentence(r, 40), False)
+                if k == page % 3:
+                    at = r.randrange(1, len(lines))
+                    lines.insert(at, head)
+                    truth.add((no, str(at + 1)))
+                rows.append((no, f"bare{p}", 1, page, "paragraph", "body", "ocr", page * 3 + k, "\n".join(lines), ""))
+    got = {(x.block_no, x.found_value) for x in noise(spark.createDataFrame(rows, SCHEMA)).where("noise_kind = 'furniture_line' and block_no > 50000").collect()}
+    assert len(got & truth) >= 0.9 * len(truth) and len(got - truth) <= 2
+
+
+def test_wrong_types_and_gaps_in_the_order(spark, made):
+    """A head inside a block typed as code, prose typed as an algorithm, and a word that goes on behind a gap and a formula."""
+    rows, _ = made
+    rows = [r for r in rows if r[0] is not None]
+    title = next(r[8] for r in rows if r[1] == "scan1" and r[4] == "title")
+    at = lambda no, kind, order, text: (no, "scan1", 1, 7, kind, "body", "ocr", order, text, "")
+    rows += [at(60_001, "code", 800, f"x = kernel(3)\n{title}\ny = x + 1"), at(60_002, "algorithm", 801, "the kernel and the lattice is observed for every boundary uni-\nformly with a spectrum of the sample."), at(60_003, "table_cell", 802, "8")]
+    rows += [at(60_004, "paragraph", 810, "this is the mani-"), at(60_005, "paragraph", 812, None), at(60_006, "equation", 813, "y = 3"), at(60_007, "paragraph", 9_000, "fold of every kernel.")]
+    got = {(x.block_no, x.noise_kind, x.found_value) for x in noise(spark.createDataFrame(rows, SCHEMA)).where("block_no > 60000").collect()}
+    assert got == {(60_001, "furniture_line", "2"), (60_002, "joined_word", "uniformly"), (60_004, "joined_word", "manifold")}
