@@ -7,6 +7,7 @@ forests are merged in rounds of distributed joins, each of which doubles the hei
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,12 +16,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quirestack.session import cut
 
 #: Nodes of one scope that a single task may hold; larger scopes are spread over several tasks.
 SCOPE_LIMIT = 200_000
 BATCH_NODES = 50_000
+#: Entries of paths that are put together at a time.
+PATH_ENTRIES = 1_000_000
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], target: int) -> Iterator[pa.Table]:
@@ -213,30 +217,80 @@ def _merge(local: DataFrame) -> DataFrame:
     return joined.select("_scope", "_node", F.coalesce("_link", "_first").alias("_link"), F.when(has, F.col("_r2")).otherwise(F.col("_root")).alias("_root"), depth.cast("int").alias("_depth"))
 
 
-def tree_paths(trees: DataFrame, scope: list[str]) -> DataFrame:
+def _code_of(t: pa.Table, keys: list[str]) -> np.ndarray:
+    """One number for each combination of the values of ``keys``; null is a value."""
+    out = np.zeros(t.num_rows, np.int64)
+    for k in keys:
+        coded = t.column(k).combine_chunks().dictionary_encode()
+        out = np.unique(out * (len(coded.dictionary) + 1) + coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    return out
+
+
+def _path_slices(t: pa.Table, scope: list[str]) -> Iterator[pa.RecordBatch]:
+    """``t`` (whole scopes) with the path of each node, found by going up an index of parents for all nodes of a slice at once."""
+    code = _code_of(t, scope)
+    (node, link), _ = _ranked([t.column("node_id").combine_chunks(), t.column("link_parent").combine_chunks()])
+    parent = _lookup(code, node, link, link >= 0)
+    depth = t.column("node_depth").to_numpy().astype(np.int64)
+    names = t.column("node_id").combine_chunks()
+    size = np.where(depth >= 0, depth + 1, 0)
+    total = np.cumsum(size)
+    start = 0
+    while start < t.num_rows:
+        end = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + PATH_ENTRIES, "right")))
+        n = size[start:end]
+        last = np.cumsum(n) - 1
+        flat = np.empty(int(n.sum()), np.int64)
+        live = np.flatnonzero(n)
+        at, here = last[live], live + start
+        while len(live):
+            flat[at] = here
+            up = np.flatnonzero(depth[here] > 0)
+            live, at, here = live[up], at[up] - 1, parent[here[up]]
+        offsets = pa.array(np.r_[0, last + 1].astype(np.int32), mask=np.r_[n == 0, False])
+        paths = pa.ListArray.from_arrays(offsets, names.take(pa.array(flat)).cast(pa.string()))
+        part = t.slice(start, end - start)
+        yield pa.RecordBatch.from_arrays([*(part.column(c).combine_chunks() for c in part.column_names), paths], names=[*part.column_names, "node_path"])
+        start = end
+
+
+def tree_paths(trees: DataFrame, scope: list[str], limit: int = SCOPE_LIMIT) -> DataFrame:
     """``trees`` as ``hierarchy`` gives it, with ``node_path``: the node ids from the root down to the node.
 
-    Nodes without a root have a null path.  Paths grow level by level through joins on the parent, so no task holds a
-    whole tree; each level's rows are read once.
+    Nodes without a root have a null path.  A scope of at most ``limit`` nodes is in one task, which goes up an index of
+    parents; the paths themselves are never shuffled.  In larger scopes paths grow through joins on the parent, the
+    settled height doubling each round, so that no task holds a scope.
     """
-    trees = cut(trees.withColumn("_key", F.xxhash64(*scope, F.lit(0))))
-    ok = trees.where(F.col("node_depth") >= 0)
-    deepest = ok.agg(F.max("node_depth")).first()[0]
-    # ancestors at distances that are powers of two: the path is put together from doubling pieces
-    piece = ok.select(*scope, "node_id", "link_parent", F.when(F.col("link_parent").isNotNull(), F.col("link_parent")).alias("_up"), F.array("node_id").alias("node_path"))
+    columns = [*scope, "node_id", "link_parent", "root_id", "node_depth"]
+    trees = cut(trees.select(*columns))
+    large = trees.groupBy(*scope).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*scope)
+    large = cut(large)
+    spread = not large.isEmpty()
+    same = lambda left, right: functools.reduce(lambda x, y: x & y, [left[c].eqNullSafe(right[c]) for c in scope])
+    small = trees.join(large, same(trees, large), "left_anti") if spread else trees
+    schema = T.StructType([*trees.schema.fields, T.StructField("node_path", T.ArrayType(T.StringType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, scope, BATCH_NODES):
+            yield from _path_slices(t, scope)
+
+    done = small.repartition(*scope).sortWithinPartitions(*scope).mapInArrow(run, schema)
+    return done.union(_joined_paths(trees.join(large, same(trees, large), "left_semi"), scope)) if spread else done
+
+
+def _joined_paths(trees: DataFrame, scope: list[str]) -> DataFrame:
+    """Paths through joins; only nodes whose path has not reached the root yet go into a round."""
+    trees = cut(trees)
+    piece = trees.where(F.col("node_depth") >= 0).select(*scope, "node_id", F.col("link_parent").alias("_up"), F.array("node_id").alias("node_path"))
+    deepest = trees.agg(F.max("node_depth")).first()[0]
     for _ in range(max(0, deepest or 0).bit_length()):
         ahead = piece.select(*(F.col(c).alias(f"_a_{c}") for c in scope), F.col("node_id").alias("_a_node"), F.col("_up").alias("_a_up"), F.col("node_path").alias("_a_path"))
-        on = [F.col(c).eqNullSafe(F.col(f"_a_{c}")) for c in scope] + [F.col("_up") == F.col("_a_node")]
-        cond = on[0]
-        for x in on[1:]:
-            cond = cond & x
-        piece = piece.join(ahead, cond, "left").select(*scope, "node_id", "link_parent", F.col("_a_up").alias("_up"), F.when(F.col("_a_node").isNotNull(), F.concat("_a_path", "node_path")).otherwise(F.col("node_path")).alias("node_path"))
-        piece = cut(piece)
+        on = functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_a_{c}")) for c in scope], F.col("_up") == F.col("_a_node"))
+        moved = piece.where(F.col("_up").isNotNull()).join(ahead, on).select(*scope, "node_id", F.col("_a_up").alias("_up"), F.concat("_a_path", "node_path").alias("node_path"))
+        piece = cut(piece.where(F.col("_up").isNull()).union(moved))
     back = piece.select(*(F.col(c).alias(f"_a_{c}") for c in scope), F.col("node_id").alias("_a_node"), "node_path")
-    cond = F.col("node_id") == F.col("_a_node")
-    for c in scope:
-        cond = cond & F.col(c).eqNullSafe(F.col(f"_a_{c}"))
-    return trees.join(back, cond, "left").select(*scope, "node_id", "link_parent", "root_id", "node_depth", "node_path")
+    on = functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_a_{c}")) for c in scope], F.col("node_id") == F.col("_a_node"))
+    return trees.join(back, on, "left").select(*scope, "node_id", "link_parent", "root_id", "node_depth", "node_path")
 
 
 def descendants(paths: DataFrame, scope: list[str]) -> DataFrame:

@@ -1,41 +1,61 @@
 """Lookups, joins, aggregations, windows, set operations and state changes over the document tables, as SQL that Spark
-plans by itself.  Repeated deliveries of a record count once, so each base view is distinct over a record's own columns."""
+plans by itself.  Repeated deliveries of a record count once, so each base view is distinct over a record's key and those
+of its columns that the query uses."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("papers", "paper_pages", "blocks", "relations", "retrieved_blocks", "canvas_nodes", "book_sections", "documents", "doc_labels", "eval_items", "events", "embeddings", "customer", "orders", "lineitem", "nation", "region", "supplier", "part")
 
-BASE = {
-    "b": "SELECT DISTINCT owner_id, paper_id, generation, block_id, block_no, page_index, block_type, flow_kind, sibling_order, doc_order, parent_id, text, content_hash, source_kind, confidence FROM blocks",
-    "g": "SELECT DISTINCT paper_id, generation, block_id, block_no, page_index, block_type, flow_kind, doc_order, bbox[0] AS x0, bbox[1] AS y0, bbox[2] AS x1, bbox[3] AS y1 FROM blocks",
-    "pp": "SELECT DISTINCT owner_id, paper_id, generation, page_id, page_index, width, height, rotation, user_unit, has_text_layer, is_scanned, confidence FROM paper_pages",
-    "p": "SELECT DISTINCT owner_id, paper_id, generation, source_hash, ir_version, parser_name, parser_version, parser_profile, parsed_at, status, partial_reason, confidence, needs_review, created_at FROM papers",
-    "r": "SELECT DISTINCT owner_id, paper_id, generation, rel_type, from_block, to_block, confidence, provenance FROM relations",
-    "n": "SELECT DISTINCT paper_id, node_id, node_type, pos_x, pos_y, node_data, parent_id, created_at, updated_at FROM canvas_nodes",
-    "rb": "SELECT DISTINCT retrieval_no, question_id, owner_id, paper_id, generation, block_id, ladder_stage, reason, page_index, block_type, flow_kind, text, proposed_repairs, distance, retrieved_at FROM retrieved_blocks",
-    "bs": "SELECT DISTINCT section_no, owner_id, paper_id, section_id, title, section_level, content, model_name, generated_at FROM book_sections",
+#: Base view: (key, the record's other columns, table).  A column may be given as "expression AS name".
+BASE: dict[str, tuple[str, str, str]] = {
+    "b": ("paper_id, generation, block_id, block_no", "owner_id, page_index, block_type, flow_kind, sibling_order, doc_order, parent_id, text, text_normalised, text IS NOT NULL AS has_text, content_hash, source_kind, confidence, created_at", "blocks"),
+    "g": ("paper_id, generation, block_id, block_no", "page_index, block_type, flow_kind, doc_order, bbox[0] AS x0, bbox[1] AS y0, bbox[2] AS x1, bbox[3] AS y1", "blocks"),
+    "pp": ("paper_id, generation, page_index", "owner_id, page_id, width, height, rotation, user_unit, has_text_layer, is_scanned, confidence", "paper_pages"),
+    "p": ("owner_id, paper_id, generation", "source_hash, ir_version, parser_name, parser_version, parser_profile, parsed_at, status, partial_reason, confidence, needs_review, created_at", "papers"),
+    "r": ("paper_id, generation, rel_type, from_block, to_block, confidence, provenance", "owner_id", "relations"),
+    "n": ("paper_id, node_id", "node_type, pos_x, pos_y, node_data, parent_id, created_at, updated_at", "canvas_nodes"),
+    "rb": ("retrieval_no", "question_id, owner_id, paper_id, generation, block_id, ladder_stage, reason, page_index, block_type, flow_kind, text, proposed_repairs, distance, retrieved_at", "retrieved_blocks"),
+    "bs": ("section_no", "owner_id, paper_id, section_id, title, section_level, content, model_name, generated_at", "book_sections"),
+}
+DERIVED = {
     "promoted": "SELECT owner_id, paper_id, min(generation) AS generation FROM papers GROUP BY owner_id, paper_id",
     "ord": "SELECT *, (row_number() OVER (PARTITION BY paper_id, generation ORDER BY doc_order, block_no) - 1) AS reading_rank FROM b WHERE doc_order IS NOT NULL",
 }
 NEEDS = {"ord": ["b"]}
 
 
-def views(spark: SparkSession, d: str) -> None:
-    """The input tables as temporary views."""
+def views(spark: SparkSession, d: str, text: str) -> None:
+    """The input tables that ``text`` names, as temporary views."""
+    words = set(re.findall(r"\w+", text))
     for t in TABLES:
-        spark.read.parquet(f"{d}/{t}.parquet").createOrReplaceTempView(t)
+        if t in words:
+            spark.read.parquet(f"{d}/{t}.parquet").createOrReplaceTempView(t)
+
+
+def _split(columns: str) -> list[tuple[str, str]]:
+    """(name, text) of each column."""
+    return [(c.rsplit(" ", 1)[-1], c) for c in columns.split(", ")]
+
+
+def _base(name: str, words: set[str] | None) -> str:
+    """A base view: each record once.  With ``words`` only the key and the columns among them are read and shuffled."""
+    key, rest, source = BASE[name]
+    columns = _split(key) + [c for c in _split(rest) if words is None or c[0] in words]
+    return f"SELECT DISTINCT {', '.join(t for _, t in columns)} FROM {source}"
 
 
-def expand(uses: str, body: str, recursive: str = "") -> str:
+def expand(uses: str, body: str, recursive: str = "", pruned: bool = True) -> str:
     """``body`` with the base views that it uses in front; ``recursive`` holds recursive views that come after them."""
     names: list[str] = []
     for u in uses.split():
         names += [x for x in (*NEEDS.get(u, []), u) if x not in names]
-    parts = [f"{n} AS ({BASE[n]})" for n in names] + ([recursive] if recursive else [])
+    words = set(re.findall(r"\w+", " ".join([body, recursive, *(DERIVED[n] for n in names if n in DERIVED)]))) if pruned else None
+    parts = [f"{n} AS ({DERIVED[n] if n in DERIVED else _base(n, words)})" for n in names] + ([recursive] if recursive else [])
     if parts and body.startswith("WITH "):
         body = ", " + body[5:]
     return ("WITH " + ("RECURSIVE " if recursive else "") + ", ".join(parts) + " " if parts else "") + body
@@ -50,7 +70,7 @@ def duck(text: str) -> str:
 
 def query(text: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        views(spark, d)
+        views(spark, d, text)
         return spark.sql(text)
 
     return run
@@ -151,6 +171,7 @@ COMMON: dict[str, tuple[str, ...]] = {
 SQL = {}
 QUERIES = {}
 for _name, _parts in COMMON.items():
-    _text = expand(*_parts)
+    # the other engine reads whole records, so what is pruned here is compared with what is not
+    _text, _whole = expand(*_parts), expand(*_parts, pruned=False)
     QUERIES[_name] = query(_text.replace(", 'g')", ")").replace("encode(content)", "content").replace("encode(coalesce(content, ''))", "coalesce(content, '')"))
-    SQL[_name] = duck(_text).replace("\\\\", "\\")
+    SQL[_name] = duck(_whole).replace("\\\\", "\\")

@@ -32,7 +32,7 @@ RULES: dict[str, tuple[str, ...]] = {
     "cites_reference_entry": ("r b", f"SELECT x.paper_id, x.generation, x.to_block FROM r x JOIN b q ON {SAME} AND q.block_id = x.to_block WHERE x.rel_type = 'cites' AND q.block_type <> 'reference_entry'"),
     "known_flow": ("b", f"SELECT {SELF} FROM b x WHERE x.flow_kind NOT IN ('body', 'caption', 'footnote', 'header', 'footer', 'margin')"),
     "confidence_range": ("b", f"SELECT {SELF} FROM b x WHERE x.confidence IS NULL OR x.confidence < 0 OR x.confidence > 1"),
-    "text_layer_has_hash": ("b", f"SELECT {SELF} FROM b x WHERE x.source_kind = 'pdf_text_layer' AND x.text IS NOT NULL AND x.content_hash IS NULL"),
+    "text_layer_has_hash": ("b", f"SELECT {SELF} FROM b x WHERE x.source_kind = 'pdf_text_layer' AND x.has_text AND x.content_hash IS NULL"),
     "right_angle_rotation": ("pp", "SELECT x.paper_id, x.generation, x.page_id FROM pp x WHERE x.rotation NOT IN (0, 90, 180, 270)"),
     "self_parent": ("b", f"SELECT {SELF} FROM b x WHERE x.parent_id = x.block_id"),
     "section_heading_resolves": ("b s", f"SELECT x.paper_id, x.generation, x.heading_id FROM s x WHERE NOT EXISTS (SELECT 1 FROM b q WHERE {SAME} AND q.block_id = x.heading_id AND q.block_type = 'heading')"),
@@ -46,18 +46,16 @@ EXTRA = {
 
 
 def _text(uses: str, body: str, engine: int) -> str:
+    """The rule with its base views in front: pruned to what it uses for Spark (engine 0), whole for the other one."""
     names = uses.split()
-    base = " ".join(n for n in names if n not in EXTRA)
     more = ", ".join(EXTRA[n][engine] for n in names if n in EXTRA)
-    text = expand(base, "@")
-    head = text[:-1].strip()
+    text = expand(" ".join(n for n in names if n not in EXTRA), "@ " + body, pruned=engine == 0)
+    head = text[: text.index("@ ")].strip()
     if more:
-        head = f"{head}, {more} " if head else f"WITH {more} "
+        head = f"{head}, {more}" if head else f"WITH {more}"
     return f"{head} {body}"
 
 
-
-
 QUERIES = {}
 SQL = {}
 
@@ -73,7 +71,11 @@ for _rule, (_uses, _sql) in RULES.items():
     QUERIES[f"rule_{_rule}"] = query(_text(_uses, _body(_rule, _sql), 0))
     SQL[f"rule_{_rule}"] = duck(_text(_uses, _body(_rule, _sql), 1))
 
-_ALL = " ".join(dict.fromkeys(n for u, _ in RULES.values() for n in u.split()))
-_COUNTS = "SELECT rule_id, CAST(count(*) AS BIGINT) AS violations FROM (" + " UNION ALL ".join(_body(r, s) for r, (_, s) in RULES.items()) + ") t GROUP BY rule_id"
-QUERIES["violations_by_rule"] = query(_text(_ALL, _COUNTS, 0))
-SQL["violations_by_rule"] = duck(_text(_ALL, _COUNTS, 1))
+
+def _counts(engine: int) -> str:
+    """Violations by rule; every rule keeps base views of its own, so none reads another's columns."""
+    return "SELECT rule_id, CAST(count(*) AS BIGINT) AS violations FROM (" + " UNION ALL ".join(f"SELECT * FROM ({_text(u, _body(r, q), engine)}) AS t_{r}" for r, (u, q) in RULES.items()) + ") t GROUP BY rule_id"
+
+
+QUERIES["violations_by_rule"] = query(_counts(0))
+SQL["violations_by_rule"] = duck(_counts(1))

@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int = 8, memory: str = "12g") -> SparkSession:
@@ -46,6 +47,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bounded(df: DataFrame, most: int, *keys: str) -> DataFrame:
+    """A sample of about ``most`` rows by the hash of ``keys``, whatever the split into tasks; all rows where they are no more.
+
+    The threshold comes from a count, so no task gathers more than its share (an ordered limit would bring ``most`` rows
+    of every task to one).
+    """
+    rows = df.count()
+    if rows <= most:
+        return df
+    return df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < int((1 << 30) * most / rows))
+
+
 def free_names(wanted: list[str], taken: list[str]) -> dict[str, str]:
     """New names for those of ``wanted`` that an operator's own output columns already use."""
     low = {t.lower() for t in taken}

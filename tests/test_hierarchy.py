@@ -71,6 +71,31 @@ def test_paths_and_descendants(spark):
     assert below == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1), ("a", "d", 1)}
 
 
+@pytest.mark.parametrize("limit", [1000, 6])
+def test_paths_go_down_the_links(spark, limit):
+    rows = rows_of(5, 60, ["a", "b", None])
+    trees = hierarchy(spark.createDataFrame(rows, SCHEMA), ["sc"], "node", "par", "kids")
+    paths = tree_paths(trees, ["sc"], limit=limit).collect()
+    up = {(r.sc, r.node_id): r.link_parent for r in trees.collect()}
+    assert len(paths) == len(up)
+    for r in paths:
+        if r.node_depth < 0:
+            assert r.node_path is None
+            continue
+        want = [r.node_id]
+        while up[r.sc, want[0]] is not None:
+            want.insert(0, up[r.sc, want[0]])
+        assert r.node_path == want and want[0] == r.root_id
+
+
+def test_deep_chain(spark):
+    """A chain of 200,000 links, and the paths of one of 2,000."""
+    df = spark.range(200_001).select(F.lit("s").alias("sc"), F.col("id").cast("string").alias("node"), F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("par"))
+    assert hierarchy(df, ["sc"], "node", "par").agg(F.max("node_depth")).first()[0] == 200_000
+    paths = tree_paths(hierarchy(df.where("id <= 2000"), ["sc"], "node", "par"), ["sc"])
+    assert paths.agg(F.max(F.size("node_path")), F.sum(F.size("node_path"))).first()[:] == (2001, 2001 * 2002 // 2)
+
+
 def test_long_chain(spark):
     df = spark.range(3000).select(F.lit("s").alias("sc"), F.col("id").cast("string").alias("node"), F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("par"))
     assert hierarchy(df, ["sc"], "node", "par").agg(F.max("node_depth")).first()[0] == 2999
