@@ -20,11 +20,12 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from quirestack.llm.boost import Boost
 from quirestack.llm.canon import canonical_array
 from quirestack.operators.nested import byte_chunks
-from quirestack.session import cut
+from quirestack.session import bounded, cut
 
 # What a scanner reads (left) for what is printed (right).
 CONFUSIONS = "c:e e:c 0:o o:a a:o f:t t:f 5:s ri:n !:i 1:l 1:i l:i i:l cl:d d:cl ii:u u:ii rn:m m:rn 6:b b:6 b:h h:b q:g g:q 9:g m:in in:m vv:w w:vv h:li li:h n:ri |:l nn:m 8:b 2:z 0:c w:vi"
@@ -40,6 +41,8 @@ BROADCAST_ROWS = 300_000
 GRAM = 3
 #: Two usual misreadings spoil at most so many of a word's grams, so one of its rarest is left.
 RAREST = 2 * (GRAM + 1) + 1
+#: Edits that two usual misreadings make at most.
+EDITS = 4
 #: Places in the reading order that one task looks through for the next block at a time.
 STRETCH = 4_096
 #: A line printed on so many pages of its paper counts as recurring.
@@ -68,8 +71,9 @@ def plain(word: str) -> str:
 
 def skeleton(line: str) -> str:
     """What is left of a line when case, accents, page numbers, signs and what scanners confuse make no difference."""
-    s = unicodedata.normalize("NFKD", line.lower())
-    s = "".join(c for c in s if not unicodedata.combining(c))
+    s = line.lower()
+    if not s.isascii():
+        s = "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
     s = re.sub(r"^[\W_]*(?:p\.?|page)?\s*\d+[\W_]+|[\W_]+(?:p\.?|page)?\s*\d+[\W_]*$", "", s)
     s = re.sub(r"[^\w!|]+", "", s)
     for a, b in _FOLD_PAIRS:
@@ -93,7 +97,7 @@ def _roman(s: str) -> int:
 
 def page_number(line: str) -> int:
     """The number of a line that is nothing but a page number, else -1."""
-    m = _PAGE.match(line.strip())
+    m = _PAGE.match(line.strip()) if len(line) < 60 else None
     if not m:
         return -1
     x = next(g for g in m.groups() if g is not None).lower()
@@ -130,12 +134,12 @@ def _templates(skeletons: tuple[str, ...]) -> Templates:
     return Templates(list(skeletons))
 
 
-def line_features(lines: list[str], i: int, page: int, templates: Templates, shares: dict[str, float], sort: int) -> tuple[float, ...]:
-    """What a line and its neighbours say about its being furniture; ``shares`` has the recurring lines, ``sort`` what the block's type says."""
+def line_features(lines: list[str], i: int, page: int, templates: Templates, shares: dict[str, float], sort: int, own: str | None = None) -> tuple[float, ...]:
+    """What a line and its neighbours say about its being furniture; ``shares`` has the recurring lines, ``sort`` what the block's type says, ``own`` the line's skeleton if it is known."""
     line = lines[i].strip()
     before = lines[i - 1].rstrip() if i else ""
     after = lines[i + 1].lstrip() if i + 1 < len(lines) else ""
-    number, own = page_number(line), skeleton(line)
+    number, own = page_number(line), skeleton(line) if own is None else own
     return (templates.likeness(own), float(number >= 0), float(number == page + 1), float(bool(before) and before[-1] not in ".!?:"), float(bool(after) and after[:1].islower()), float(len(lines) == 1), shares.get(own, 0.0), float(sort))
 
 
@@ -158,6 +162,19 @@ def reads_as_prose(kind: str, lines: list[str]) -> bool:
     return len(parts) >= 8 and sum(bool(_WORD.match(x)) for x in parts) >= 0.85 * len(parts)
 
 
+def _with_skeletons(blocks: DataFrame) -> DataFrame:
+    """``blocks`` with the skeletons of each text's lines, and of the text as one line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for batch in batches for part in byte_chunks(batch, "text")):
+            texts = [lines_of(t) for t in b.column("text").to_pylist()]
+            bones = pa.array([[skeleton(x) for x in lines] for lines in texts], pa.list_(pa.string()))
+            whole = pa.array([skeleton(" ".join(lines)) if len(lines) > 1 else None for lines in texts], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, bones, whole], names=[*b.schema.names, "skeletons", "whole"])
+
+    return blocks.mapInArrow(run, T.StructType([*blocks.schema.fields, T.StructField("skeletons", T.ArrayType(T.StringType())), T.StructField("whole", T.StringType())]))
+
+
 SCAN_SCHEMA = "block_no long, paper_id string, generation int, doc_order int, body boolean, gone boolean, furniture array<int>, breaks array<struct<left:string,right:string,mark:string>>, tail_word string, tail_mark string, head_word string, words array<string>"
 
 
@@ -199,7 +216,7 @@ def _page_sample(blocks: DataFrame) -> Boost:
 
     # a bounded number of blocks of each kind, by hash
     near = blocks.where(F.col("block_type") != "title").withColumn("mark", F.col("block_type").isin(*FURNITURE_TYPES))
-    parts = [near.where(cond).orderBy(F.xxhash64("block_no")).limit(BLOCK_SAMPLE).drop("mark") for cond in ("mark", "not mark")]
+    parts = [bounded(near.where(cond), BLOCK_SAMPLE, "block_no").drop("mark") for cond in ("mark", "not mark")]
     found = parts[0].union(parts[1]).coalesce(1).mapInArrow(run, "mark int, features array<double>").toArrow()
     return Boost(_matrix(found.column("features"), LINE_FEATURES), found.column("mark").to_numpy(), trees=40, depth=3)
 
@@ -210,10 +227,10 @@ def _scan(blocks: DataFrame, model: Boost) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            cols = [b.column(c).to_pylist() for c in ("block_no", "paper_id", "generation", "doc_order", "flow_kind", "block_type", "page_index", "text", "templates", "recurring")]
+            cols = [b.column(c).to_pylist() for c in ("block_no", "paper_id", "generation", "doc_order", "flow_kind", "block_type", "page_index", "text", "skeletons", "templates", "recurring")]
             asked, slots = [], []
             texts = []
-            for k, (kind, page, text, known, often) in enumerate(zip(*cols[5:], strict=True)):
+            for k, (kind, page, text, bones, known, often) in enumerate(zip(*cols[5:], strict=True)):
                 lines = lines_of(text or "")
                 texts.append(lines)
                 if kind in ADMITTED:
@@ -221,7 +238,7 @@ def _scan(blocks: DataFrame, model: Boost) -> DataFrame:
                 t, shares, sort = _templates(tuple(known or ())), dict(often or []), type_sort(kind)
                 for i, line in enumerate(lines):
                     if line.strip():
-                        asked.append(line_features(lines, i, page or 0, t, shares, sort))
+                        asked.append(line_features(lines, i, page or 0, t, shares, sort, bones[i]))
                         slots.append((k, i))
             odd: dict[int, set[int]] = {}
             if asked:
@@ -428,7 +445,8 @@ def _candidates(words: DataFrame, known: DataFrame) -> DataFrame:
     few = own.groupBy("word", "seen", "own").agg(F.slice(F.sort_array(F.collect_list(F.struct("df", "gram", "at"))), 1, RAREST).alias("few"))
     probe = few.select("word", "seen", "own", F.explode("few").alias("g")).select("word", "seen", "own", F.col("g.gram").alias("gram"), F.col("g.at").alias("at_w"))
     near = (F.abs(F.col("at") - F.col("at_w")) <= 2) & (F.abs(F.length("known") - F.length("word")) <= 2) & (F.col("word") != F.col("known"))
-    return probe.join(posts, "gram").where(near).groupBy("word", "seen", "own", "known", "clean").agg(F.count(F.lit(1)).alias("shared"))
+    pairs = probe.join(posts, "gram").where(near).groupBy("word", "seen", "own", "known", "clean").agg(F.count(F.lit(1)).alias("shared"))
+    return pairs.where(F.levenshtein("word", "known", EDITS) >= 0)
 
 
 def _rank(pairs: DataFrame, model: Boost) -> DataFrame:
@@ -475,9 +493,8 @@ def _rank_model(known: DataFrame, sample: list[tuple[str, int]]) -> Boost:
             y = [float(truth.get(w) == k) for w, k in zip(*cols[:2], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float32())), pa.array(y, pa.float32())], names=["x", "y"])
 
-    rows = _candidates(probes, known).mapInArrow(run, "x array<float>, y float")
     # wrong candidates grow with the vocabulary; a bounded number is enough to learn from
-    found = rows.orderBy(F.desc("y"), F.xxhash64("x")).limit(PAIR_SAMPLE).toArrow()
+    found = bounded(cut(_candidates(probes, known)), PAIR_SAMPLE, "word", "known").mapInArrow(run, "x array<float>, y float").toArrow()
     x, y = _matrix(found.column("x"), 13), found.column("y").to_numpy()
     return Boost(x, y, trees=60, depth=4)
 
@@ -494,15 +511,16 @@ class Repair:
     def __init__(self, blocks: DataFrame) -> None:
         keep = ["block_no", "paper_id", "generation", "page_index", "block_type", "flow_kind", "doc_order", "text"]
         own = blocks.where((F.col("source_kind") == "ocr") & F.col("text").isNotNull() & F.col("block_no").isNotNull()).select(*keep).dropDuplicates(["block_no"])
-        skeletons = F.pandas_udf(lambda s: s.map(lambda t: sorted({k for k in [*map(skeleton, lines_of(t)), skeleton(" ".join(lines_of(t)))] if len(k) >= 5})), "array<string>")
-        shown = own.where(F.col("block_type").isin("header", "footer", "title")).select("paper_id", F.explode(skeletons("text")).alias("s"))
+        own = cut(_with_skeletons(own))
+        heads = F.filter(F.concat("skeletons", F.array("whole")), lambda x: F.length(x) >= 5)
+        shown = own.where(F.col("block_type").isin("header", "footer", "title")).select("paper_id", F.explode(heads).alias("s"))
         templates = shown.groupBy("paper_id").agg(F.collect_set("s").alias("templates"))
         # lines that recur over the pages of a paper, with the share of its pages, whether or not the parser marked any
         pages = own.groupBy("paper_id", "generation").agg(F.count_distinct("page_index").alias("pages"))
-        lines = own.select("paper_id", "generation", "page_index", F.explode(skeletons("text")).alias("s")).distinct()
+        lines = own.select("paper_id", "generation", "page_index", F.explode("skeletons").alias("s")).where("length(s) >= 5").distinct()
         often = lines.groupBy("paper_id", "generation", "s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= RECURS).join(pages, ["paper_id", "generation"])
         often = often.groupBy("paper_id", "generation").agg(F.map_from_entries(F.collect_list(F.struct("s", F.col("n") / F.col("pages")))).alias("recurring"))
-        self.blocks = cut(own.join(templates, "paper_id", "left").join(often, ["paper_id", "generation"], "left"))
+        self.blocks = cut(own.drop("whole").join(templates, "paper_id", "left").join(often, ["paper_id", "generation"], "left"))
         self.scan = cut(_scan(self.blocks, _page_sample(self.blocks)))
         clean = blocks.where((F.col("source_kind") != "ocr") & F.col("text").isNotNull())
         self.vocabulary = cut(_rivals(cut(vocabulary(clean, "text"))))
