@@ -14,41 +14,51 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quirestack.llm.canon import canonical_points
 from quirestack.operators.nested import byte_chunks
-from quirestack.session import cut
+from quirestack.session import bounded, cut
 
-#: Labelled documents, and sentences with and without a vote, that the models are fitted on at most.
+#: Labelled documents, and distinct sentences with and without a vote, that the models are fitted on at most.
 LABELLED, VOTED_SAMPLE, SILENT_SAMPLE = 20_000, 60_000, 20_000
-#: Sentences that one task puts forward for the sample at most.
-TASK_SAMPLE = 4_000
+#: Distinct sentences that the classifier is fitted on at most of documents that annotators call unsafe, of others, and voted ones of others.
+UNSAFE_SAMPLE, SAFE_SAMPLE, SAFE_VOTED_SAMPLE = 60_000, 20_000, 20_000
+#: How much more a sentence of a judged document weighs than one that only voters spoke on.
+JUDGED = 50.0
 BITS = 18
 THRESHOLD = 0.5
 #: Features added to a sentence's size, so that a few words alone weigh little.
 SHORT = 8
 
-# The voters' word lists.  Several words in a row are a phrase; words are lower case, without accents.
+# The voters' word lists, common words of each kind in several languages.  Several words in a row are a
+# phrase; words are lower case, without accents.
 LISTS = {
-    "you": "you your youre yours yourself u ur du dich dir dein deine deiner euch ihr tu toi te ta ton tes vous votre vos tuyo eres tus ti contigo usted",
-    "person": "he she him her his hers everybody nobody somebody people man woman men women girl girls boy boys guy guys mother wife person personne alguien jemand referee reviewer",
-    "group": "people folk folks race races kind tribe breed stock the_lot all_of_them every_last_one blood born tous toute_cette cette_race todos ellos dieses_pack gehoren_aus",
-    "insult": "idiot idiots moron morons stupid dumb fool imbecile imbeciles cretin cretins bastard bastards halfwit halfwits dimwit dimwits maggot scum garbage trash worthless pathetic ugly disgusting clown loser pig swine worm parasite vermin rat rats filthy dirty filth liar liars thief thieves cheat disgust disgrace animal animals inferior retard freak creep jerk ass asshole bitch whore slut cunt dick prick wanker twat shit fuck fucking damn brainless subhuman thick scumbag",
-    "strong": "scumbag scumbags pervert creep moron morons imbecile imbeciles cretin cretins bastard bastards halfwit halfwits dimwit dimwits maggot maggots scum asshole bitch whore slut cunt wanker twat retard subhuman fucking fucker connard connasse salaud salope ordure encule arschloch wichser fotze hurensohn missgeburt hijo_de_puta cabron gilipollas pendejo puta mierda bastardo",
-    "foreign_insult": "dummer idiot trottel versager widerlicher abschaum dreckig drecksau schwein maul schlampe pack ungeziefer lugt stiehlt imbecile connard ordure sale pauvre gueule vermine voleur voleurs race crever imbecil inutil maldito asco basura idiota ladrones estupido cerdo asqueroso hurensohn salope putain raus crapule dechet",
-    "threat": "where_you_live break_your watch_your_back get_hurt on_a_stretcher never_wake wake_up_again walked_into_the_sea would_miss_you choke_on_your i_hope_you hope_you_die kill_you kill_yourself beat_you hurt_you find_you burn_the_houses run_over sterilised wiped_out_long driven_out wiped_out shoot_them hang_them gas_them send_the back_where_they_came in_boxes breche_ich_dir die_finger bring_dich_um ta_mort va_crever creve te_mueras ojala_te vete_al_infierno muerete i_know_where i_know_which sleep_well cut_your slit_your your_throat bash_your you_will_regret rot_in_hell should_be_shot deserve_to_die",
-    "dismiss": "shut_your shut_up your_mouth get_lost go_to_hell crawl_under crawl_back under_your_rock drop_dead screw_you fuck_off fuck_you piss_off nobody_asked ferme_ta la_gueule halt_endlich dein_maul verschwinde cierra_la la_boca largate kicked_out_of_every better_off_if keep_them_away",
-    "dehuman": "vermin liars thieves filthy pigsty inferior cheat steal smell worm worms rats driven wiped back boxes burn houses cannot no_place never_trust stupid_faces ungeziefer vertrieben lugt stiehlt pack vermine chasse voleur voleurs ne_vaut basura ladrones pisar parasites sterilised hire contaminate plague",
-    "sex_strong": "porn porno orgasm orgasms horny nudes blowjob cumshot dildo masturbate masturbating pussy tits boobs cock uncensored erotic xxx uncut climaxed cam_girls nude_bodies geile geil nackte cachonda desnuda desnudo caliente nue nues baise baiser chaude bite chatte fick ficken titten sexo",
-    "sex": "naked nude nudes sex sexual bed undressed undress stripped strip unzips unzipped thighs thigh breasts breast legs lips mouth knees thrust climax climaxed orgasm orgasmic wet sweaty bodies body rode moaned moaning screaming night touch touched kiss kissed lick sucked erotic nackt nackte korper wilder sexo desnuda noche toda_la nue nuit seins cuisses",
-    "violence": "break fingers bones neck hurt choke stretcher die dead kill beat burn stab shoot hell mother ashamed blood sea face head dropped brains finger brechen mort crever mueras infierno muerte tot tod",
-    "technical": "cohort corpus classes class process processes screening rates mice singularity collector baseline model models retrain prefix zombie watchdog tablets catalogued stores counts posts recall threads thread bus file pass section style guide acronyms argument vole behaviour scope image disk dump collected sampler master slave replica segment input inputs proof notation theorem equation figure table trial experiment dataset classifier detector filter algorithm poetry iron metre metres seconds samples horizon burst differed",
+    "you": "you your youre yours yourself yourselves u ur du dich dir dein deine deinen deiner euch ihr eure tu toi te ta ton tes vous votre vos tuyo eres tus ti contigo usted ustedes vosotros voce sei tuo tua je jij jouw ty twoj sen senin ты тебя тебе твой твоя вы вас",
+    "person": "he she him her his hers everybody nobody somebody people man men woman women girl girls boy boys guy guys lady mother mom wife husband sister brother son daughter neighbour neighbor mutter frau mann mere femme homme fille madre mujer hombre alguien personne jemand who_should he_is she_is",
+    "group": "peoples folk folks race races breed tribe immigrants migrants foreigners refugees muslims jews christians blacks whites asians arabs gypsies gays lesbians homosexuals disabled all_of_them they_all these_people those_people that_lot every_one_of_them their_kind your_kind your_lot alle_diese auslander fremde tous_ces ces_gens etrangers immigres todos_esos esa_gente inmigrantes people their_race that_race whole_race their_blood their_sort",
+    "insult": "idiot idiots idiotic moron morons stupid dumb fool fools imbecile cretin bastard bastards halfwit dimwit nitwit maggot scum garbage trash worthless pathetic ugly disgusting clown loser losers pig pigs swine worm cockroach parasite parasites vermin rat rats filthy dirty filth liar liars thief thieves coward cowards disgrace animals inferior retard retarded freak creep jerk asshole bitch bitches whore slut cunt dick prick wanker twat shit shithead fucker fucking dumbass brainless subhuman scumbag lowlife degenerate savages repulsive vile stinking",
+    "strong": "scumbag scumbags pervert perverts creep moron morons imbecile cretin bastard bastards halfwit dimwit nitwit asshole assholes bitch bitches whore whores slut sluts cunt cunts wanker wankers twat retard retards subhuman subhumans untermensch fucker motherfucker dickhead shithead dumbass douchebag jackass lowlife connard connasse salaud salope ordure encule batard abruti arschloch wichser fotze hurensohn missgeburt schlampe drecksau dummkopf vollidiot hijo_de_puta cabron gilipollas pendejo puta puto bastardo maricon mierda_de filho_da_puta caralho stronzo bastardo vaffanculo klootzak kurwa сука блядь мразь ублюдок",
+    "foreign_insult": "dumm dumme dummer blod idioten trottel depp versager widerlich widerlicher ekelhaft abschaum dreck dreckig drecksau schwein schweine maul schlampe gesindel ungeziefer lugner feigling wertlos cretin connard ordure pauvre gueule vermine voleur voleurs menteur crapule dechet racaille degueulasse imbecil inutil maldito asco basura idiota ladron ladrones mentiroso cobarde estupido estupida cerdo cerda asqueroso escoria hurensohn salope putain idiota cretino schifo feccia lixo идиот дурак тварь урод",
+    "threat": "where_you_live watch_your_back get_hurt get_you_for_this come_for_you coming_for_you never_wake wake_up_dead i_hope_you hope_you_die hope_you_suffer hope_he_dies hope_she_dies hope_they kill_you kill_him kill_her kill_them kill_yourself kill_your murder_you beat_you beat_you_up hurt_you find_you hunt_you break_your break_every cut_your slit_your your_throat smash_your bash_your punch_you stab_you shoot_you shoot_them hang_them gas_them burn_them burn_you_alive exterminate_them wiped_out driven_out send_them_back back_where_they_came deport_them should_be_shot should_be_hanged should_all_die deserve_to_die deserves_to_die better_off_dead you_are_dead you_will_regret you_will_pay make_you_pay rot_in_hell burn_in_hell drop_dead go_die bringe_dich_um bring_dich_um schlage_dich breche_dir ich_finde_dich verrecke stirb_endlich je_vais_te_tuer te_tuer te_casser va_crever creve va_mourir te_voy_a_matar te_mato te_mataria ojala_te muerete vete_al_infierno te_voy_a_encontrar ti_ammazzo vou_te_matar",
+    "dismiss": "shut_your shut_up your_mouth get_lost go_to_hell crawl_back screw_you fuck_off fuck_you piss_off get_out_of_here nobody_wants_you nobody_likes_you ferme_ta ta_gueule la_gueule degage va_te_faire halt_dein halt_die dein_maul die_fresse verschwinde verpiss_dich hau_ab cierra_la la_boca largate vete_a_la callate cala_a_boca",
+    "dehuman": "vermin parasites liars thieves filthy inferior criminals rapists savages animals cockroaches plague infest infestation invaders subhuman contaminate sterilised sterilized exterminated deported driven wiped cleansed no_place never_trust cannot_be_trusted all_the_same ungeziefer vertrieben raus abschieben verbrecher schmarotzer vermine parasites chasse dehors voleurs criminels basura parasitos ladrones fuera expulsar pigsty have_no_place cannot_even dirty lie steal smell keep_them keep_them_away kicked_out better_off_without less_than_human",
+    "sex_strong": "porn porno pornographic orgasm orgasms orgasmic horny nudes blowjob handjob cumshot dildo masturbate masturbating masturbation pussy tits titties boobs uncensored erotic xxx milf threesome gangbang hardcore_sex anal_sex oral_sex camgirl camgirls cam_girls escort_girls sexting geile geile_frauen nackte nackt cachonda cachondo desnuda desnudo desnudas baise baiser chatte fick ficken titten muschi polla tetas foder buceta scopare troia порно секс singles_near naked_girls naked_women hot_girls hot_singles hot_horny",
+    "sex": "naked nude nudes nudity sex sexual sexy bed undressed undress undressing stripped strip striptease thigh thighs breast breasts nipples buttocks panties lingerie kiss kissed kissing lick licked licking suck sucked moan moaned moaning thrusting climaxed aroused arousal seduce seduced lust caress caressed grope groped genitals nackt nackte brust bruste schenkel stohnen sexo pechos piernas beso gemidos seins cuisses caresse caresser gemir bodies sweaty wet lips legs lover lovers mouth",
+    "violence": "break bones neck hurt choke die dead death kill killed murder beat burn stab shoot hell blood throat knife gun bullet corpse strangle drown smash brechen tot tod toten blut messer mort mourir tuer sang couteau muerte morir matar sangre cuchillo",
+    "technical": "data dataset model models algorithm method methods analysis study studies experiment experiments results result figure table section theorem lemma proof equation sample samples variable variables parameter parameters process processes system systems server memory code software file files function class classes network training test tests baseline patients clinical cells cell mice species protein gene temperature pressure reaction solvent energy statistical estimate estimates measured measurement corpus annotation classifier detector filter paper authors literature quoted dictionary linguistics",
 }
 VOTERS = ("insult_you", "strong", "foreign_you", "foreign_pair", "threat", "threat_pair", "dismiss", "group", "group_pair", "insult_person", "insult_pair", "sex_strong", "sex_person", "sex_pair", "sex_triple", "violence_you", "masked", "technical", "number", "nobody", "annotated_safe", "annotated_unsafe")
 FIRST_NEGATIVE = VOTERS.index("technical")
+#: The voters for each kind of unsafe sentence: insults, threats and contempt of groups, sexual ones.
+KINDS = (
+    {"insult_you", "strong", "foreign_you", "foreign_pair", "dismiss", "insult_person", "insult_pair", "masked", "annotated_unsafe"},
+    {"threat", "threat_pair", "group", "group_pair", "foreign_pair", "violence_you", "annotated_unsafe"},
+    {"sex_strong", "sex_person", "sex_pair", "sex_triple", "masked", "annotated_unsafe"},
+)
 NEGATIVE = {"technical", "number", "nobody", "annotated_safe"}
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -205,6 +215,19 @@ class Sentences:
         f = np.concatenate([_slot(self.values), _slot(pair ^ np.uint64(0xABCDEF))])
         return f, np.concatenate([self.sentence, at])
 
+    def features_of(self, i: int) -> np.ndarray:
+        """The feature numbers of one sentence."""
+        v = self.values[self.first[i] : self.first[i] + self.size[i]]
+        return np.concatenate([_slot(v), _slot((v[:-1] * _MIX + v[1:]) ^ np.uint64(0xABCDEF))]).astype(np.int32)
+
+    def priority(self) -> np.ndarray:
+        """A random order of the sentences that depends on their words alone: sentences of the same words share a place."""
+        if not len(self.first):
+            return np.zeros(0, np.int64)
+        x = np.add.reduceat(self.values * np.uint64(0xD6E8FEB86659FD93), self.first)
+        x = (x ^ (x >> np.uint64(31))) * _MIX
+        return (x >> np.uint64(1)).astype(np.int64)
+
 
 def _mix(chars: np.ndarray, place: np.ndarray) -> np.ndarray:
     x = (chars + (place.astype(np.uint64) << np.uint64(21)) + np.uint64(1)) * _MIX
@@ -249,52 +272,60 @@ def _gapped() -> np.ndarray:
 
 
 class LabelModel:
-    """Two latent classes; each voter speaks with a probability of its own in each.  Voters that stay correlated within
-    the classes share their weight."""
+    """Latent classes: safe sentences and three kinds of unsafe ones; each voter speaks with a probability of its own in each.
+
+    The kinds account for voters that go together (a sexual sentence says nothing about threats).  Voters that stay
+    correlated within the classes share their weight.  A voter against that is silent says nothing.
+    """
 
     def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> None:
-        k = len(VOTERS)
-        x = (patterns[:, None] >> np.arange(k) & 1).astype(float)
+        x = (patterns[:, None] >> np.arange(len(VOTERS)) & 1).astype(float)
         w = counts.astype(float)
-        against = np.array([v in NEGATIVE for v in VOTERS])
+        self.against = np.array([v in NEGATIVE for v in VOTERS])
         base = (x * w[:, None]).sum(0) / w.sum()
-        # before any data: voters for speak far more often on such sentences than on others, those against less than half as often
-        self.p1 = np.clip(np.where(against, base * 0.4, np.maximum(base * 20, 0.12)), 1e-4, 0.9)
-        self.p0 = np.clip(np.where(against, base, base * 0.2), 1e-6, 0.98)
-        self.prior = 0.005
-        self.share = np.ones(k)
-        first1, first0 = self.p1.copy(), self.p0.copy()
+        # before any data: voters for a kind speak far more often on its sentences than on others, those against less than half as often
+        self.p = np.empty((1 + len(KINDS), len(VOTERS)))
+        self.p[0] = np.clip(np.where(self.against, base, base * 0.2), 1e-6, 0.98)
+        for c, kind in enumerate(KINDS, 1):
+            own = np.array([v in kind for v in VOTERS])
+            self.p[c] = np.clip(np.where(self.against, base * 0.4, np.where(own, np.maximum(base * 20, 0.2), np.maximum(base * 2, 0.02))), 1e-4, 0.9)
+        self.prior = np.array([1 - 0.002 * len(KINDS), *[0.002] * len(KINDS)])
+        self.share = np.ones(len(VOTERS))
+        first, weight = self.p.copy(), np.array([300.0, *[30.0] * len(KINDS)])  # the starting values count like so many sentences
         for r in range(rounds):
-            q = self.posterior(patterns)
-            a, b = (w * q).sum(), (w * (1 - q)).sum()
-            # the starting values count like so many sentences
-            m1, m0 = 30.0, 300.0
-            self.p1 = np.clip(((w * q) @ x + m1 * first1) / (a + m1), 1e-4, 0.995)
-            self.p0 = np.clip(((w * (1 - q)) @ x + m0 * first0) / (b + m0), 1e-6, 0.995)
-            self.prior = float(np.clip(a / w.sum(), 1e-5, 0.05))
+            q = self.classes(patterns)
+            each = (w[:, None] * q).sum(0)
+            self.p = np.clip(((w[:, None] * q).T @ x + weight[:, None] * first) / (each + weight)[:, None], 1e-6, 0.995)
+            self.prior = (each + 1) / (w.sum() + len(self.p))
             if r % 10 == 9:
                 self._shares(x, w, q)
 
     def _shares(self, x: np.ndarray, w: np.ndarray, q: np.ndarray) -> None:
-        """The more a voter is correlated with others within the classes, the less of its weight counts."""
+        """The more a voter is correlated with others within a class, the less of its weight counts."""
         total = np.zeros((x.shape[1], x.shape[1]))
-        for p, share in ((self.p1, q), (self.p0, 1 - q)):
-            d = x - p
-            ww = w * share
-            cov = (d * ww[:, None]).T @ d
+        for c in range(len(self.p)):
+            d = x - self.p[c]
+            cov = (d * (w * q[:, c])[:, None]).T @ d
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
             total = np.maximum(total, cov / sd[:, None] / sd[None, :])
         self.correlation = np.where(total > 0.3, total, 0.0)
         np.fill_diagonal(self.correlation, 1.0)
         self.share = np.maximum(1 / np.sqrt(self.correlation.sum(1)), 0.5)
 
-    def posterior(self, patterns: np.ndarray) -> np.ndarray:
+    def classes(self, patterns: np.ndarray) -> np.ndarray:
+        """The probability of each class for each vote pattern."""
         x = (patterns[:, None] >> np.arange(len(VOTERS)) & 1).astype(bool)
-        yes = np.log(self.p1 / self.p0)
-        # a voter against that is silent says nothing
-        no = np.where([v in NEGATIVE for v in VOTERS], 0.0, np.log((1 - self.p1) / (1 - self.p0)))
-        score = np.log(self.prior / (1 - self.prior)) + (np.where(x, yes, no) * self.share).sum(1)
-        return 1 / (1 + np.exp(-np.clip(score, -50, 50)))
+        score = np.log(self.prior)[None, :].repeat(len(x), 0)
+        for c in range(len(self.p)):
+            yes = np.log(self.p[c] / self.p[0])
+            no = np.where(self.against, 0.0, np.log((1 - self.p[c]) / (1 - self.p[0])))
+            score[:, c] += (np.where(x, yes, no) * self.share).sum(1)
+        score = np.exp(score - score.max(1, keepdims=True))
+        return score / score.sum(1, keepdims=True)
+
+    def posterior(self, patterns: np.ndarray) -> np.ndarray:
+        """The probability of each vote pattern that its sentences are unsafe."""
+        return 1 - self.classes(patterns)[:, 0]
 
 
 class Linear:
@@ -329,6 +360,13 @@ class Linear:
         self.w = np.zeros(1 << BITS)
         self.w[slots] = w
 
+    def score_rows(self, rows: list[np.ndarray]) -> np.ndarray:
+        """The scores of sentences given by their features."""
+        size = np.array([len(r) for r in rows], np.int64)
+        at = np.repeat(np.arange(len(rows)), size)
+        z = np.bincount(at, self.w[np.concatenate(rows)], len(rows)) / np.sqrt(size + SHORT) + self.b
+        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
     def score(self, s: Sentences) -> np.ndarray:
         f, at = s.features()
         size = np.bincount(at, minlength=len(s.first))
@@ -336,60 +374,117 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-GATHERED = "voted int, pattern long, sentences long, priority long, slots array<int>"
+#: What a gathered sentence stands for: one with or without a vote, one of a document that annotators call unsafe or not.
+VOTED, SILENT, IN_UNSAFE, IN_SAFE, SAFE_VOTED = range(5)
+BOUNDS = (VOTED_SAMPLE, SILENT_SAMPLE, UNSAFE_SAMPLE, SAFE_SAMPLE, SAFE_VOTED_SAMPLE)
+GATHERED = "kind int, pattern long, sentences long, priority long, document long, slots array<int>"
+
+
+class _Pool:
+    """The distinct sentences of least priority, at most ``most`` of them."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.held, self.least = most, {}, None
+
+    def add(self, s: Sentences, at: np.ndarray, priority: np.ndarray, votes: np.ndarray, document: np.ndarray) -> None:
+        if self.least is not None:
+            at = at[priority[at] < self.least]
+        at = at[np.argsort(priority[at], kind="stable")[: self.most]]
+        for i in at.tolist():
+            p = int(priority[i])
+            if p not in self.held:
+                self.held[p] = (int(votes[i]), int(document[i]), s.features_of(i))
+        if len(self.held) > 2 * self.most:
+            kept = sorted(self.held)[: self.most]
+            self.held, self.least = {p: self.held[p] for p in kept}, kept[-1]
+
+    def rows(self) -> list[tuple]:
+        return [(*self.held[p][:1], p, *self.held[p][1:]) for p in sorted(self.held)[: self.most]]
 
 
 def fit(docs: DataFrame, text: str, key: str, labels: DataFrame | None = None, label: str = "unsafe") -> tuple[LabelModel, Linear]:
-    """Both models for a corpus.  Vote patterns are counted over every sentence; the classifier sees a bounded sample of
-    them, chosen by hash, and at most LABELLED annotated documents."""
-    shares: dict[int, float] = {}
+    """Both models for a corpus.
+
+    Vote patterns are counted over every sentence.  The classifier sees bounded samples of distinct sentences, those of
+    least hash in the whole corpus however it is split: sentences with and without a vote, and the sentences of at most
+    LABELLED annotated documents.  Of a document that annotators call unsafe at least one sentence is, so the one that a
+    first fit finds worst is taught as such; the sentences of the others are taught as safe.
+    """
+    shares: dict[int, tuple[float, int]] = {}
+    error = 0.1
     if labels is not None:
-        told = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(key, "annotator", label).distinct().groupBy(key).agg(F.avg(label).alias("_share"))
-        shares = {r[0]: r[1] for r in told.orderBy(F.xxhash64(key)).limit(LABELLED).collect()}
+        told = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(key, "annotator", label).distinct().groupBy(key).agg(F.sum(F.col(label).cast("long")).alias("_yes"), F.count(F.lit(1)).alias("_all"))
+        shares = {r[0]: (r[1] / r[2], 2 * r[1] - r[2]) for r in bounded(told, LABELLED, key).collect()}
+        # how often an annotator errs: two of them disagree in 2 e (1 - e) of all cases
+        pairs, apart = told.agg(F.sum(F.col("_all") * (F.col("_all") - 1) / 2), F.sum(F.col("_yes") * (F.col("_all") - F.col("_yes")))).first()
+        if pairs:
+            error = float(np.clip((1 - np.sqrt(max(0.0, 1 - 2 * apart / pairs))) / 2, 0.01, 0.4))
     known = docs.sparkSession.sparkContext.broadcast(shares)
     src = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, int] = {}
-        pool: dict[int, list] = {0: [], 1: []}
+        pools = [_Pool(n) for n in BOUNDS]
         for batch in batches:
             for part in byte_chunks(batch, "_text"):
                 keys = part.column("_key").to_pylist()
                 s = Sentences(part.column("_text"))
-                votes = s.votes(np.array([known.value.get(k, np.nan) for k in keys], float))
+                share = np.array([known.value.get(k, (np.nan,))[0] for k in keys], float)
+                votes = s.votes(share)
                 for p, c in zip(*np.unique(votes, return_counts=True), strict=True):
                     counts[int(p)] = counts.get(int(p), 0) + int(c)
-                f, at = s.features()
-                order = np.argsort(at, kind="stable")
-                f, edge = f[order], np.r_[0, np.cumsum(np.bincount(at, minlength=len(s.first)))]
-                # an order that depends on the words alone, so that any split into tasks gives one sample
-                mix = np.add.reduceat(s.values * (np.arange(len(s.values)).astype(np.uint64) * np.uint64(0) + np.uint64(0xD6E8FEB86659FD93)), s.first) if len(s.first) else np.zeros(0, np.uint64)
-                mix = (mix ^ (mix >> np.uint64(31))) * _MIX
-                priority = (mix >> np.uint64(1)).astype(np.int64)
                 spoken = (votes & ((1 << FIRST_NEGATIVE) - 1)) > 0
-                for kind, flag in ((1, spoken), (0, ~spoken)):
-                    idx = np.flatnonzero(flag)
-                    best = idx[np.argsort(priority[idx])[:TASK_SAMPLE]]
-                    pool[kind] += [(int(priority[i]), int(votes[i]), f[edge[i] : edge[i + 1]].astype(np.int32)) for i in best]
-                    if len(pool[kind]) > 3 * TASK_SAMPLE:
-                        pool[kind] = sorted(pool[kind], key=lambda x: x[0])[:TASK_SAMPLE]
-        rows = [(-1, p, c, None, None) for p, c in counts.items()]
-        for kind in (0, 1):
-            rows += [(kind, v, None, p, f) for p, v, f in sorted(pool[kind], key=lambda x: x[0])[:TASK_SAMPLE]]
+                told, owner = share[s.text], np.array([k if isinstance(k, int) else i for i, k in enumerate(keys)], np.int64)[s.text]
+                for pool, flag in zip(pools, (spoken, ~spoken, told > 0.5, told < 0.5, (told < 0.5) & spoken), strict=True):
+                    pool.add(s, np.flatnonzero(flag), s.priority(), votes, owner)
+        rows = [(-1, p, c, None, None, None) for p, c in counts.items()]
+        rows += [(kind, v, None, p, d, f) for kind, pool in enumerate(pools) for v, p, d, f in pool.rows()]
         for i in range(0, len(rows), 5000):
-            some = rows[i : i + 5000]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int32()), pa.array([r[1] for r in some], pa.int64()), pa.array([r[2] for r in some], pa.int64()), pa.array([r[3] for r in some], pa.int64()), pa.array([r[4] for r in some], pa.list_(pa.int32()))], names=["voted", "pattern", "sentences", "priority", "slots"])
+            some = list(zip(*rows[i : i + 5000], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(some, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], names=["kind", "pattern", "sentences", "priority", "document", "slots"])
 
     found = cut(src.mapInArrow(gather, GATHERED))
-    patterns = found.where("voted < 0").groupBy("pattern").agg(F.sum("sentences").alias("n")).toPandas()
+    patterns = found.where("kind < 0").groupBy("pattern").agg(F.sum("sentences").alias("n")).toPandas()
     model = LabelModel(patterns["pattern"].to_numpy(np.int64), patterns["n"].to_numpy(np.int64)) if len(patterns) else None
-    sample = []
-    for kind, most in ((1, VOTED_SAMPLE), (0, SILENT_SAMPLE)):
-        sample += found.where(F.col("voted") == kind).select("pattern", "slots", "priority").orderBy("priority", "pattern").limit(most).collect()
-    rows = [np.array(r["slots"], np.int64) for r in sample]
-    q = model.posterior(np.array([r["pattern"] for r in sample], np.int64)) if sample else np.zeros(0)
+    parts = [_least(found.where(F.col("kind") == kind), most) for kind, most in enumerate(BOUNDS)]
+    rows, q, kind, owner = [], np.zeros(0), np.zeros(0, int), np.zeros(0, np.int64)
+    for k, t in enumerate(parts):
+        if t.num_rows:
+            rows += np.split(t.column("slots").combine_chunks().flatten().to_numpy().astype(np.int64), np.cumsum(pa.compute.list_value_length(t.column("slots")).to_numpy())[:-1])
+            q = np.r_[q, model.posterior(t.column("pattern").to_numpy())]
+            kind, owner = np.r_[kind, np.full(t.num_rows, k)], np.r_[owner, t.column("document").to_numpy()]
+    # what annotators call safe is, but for their errors; what they judged counts for more than what voters guess
+    told = kind >= IN_UNSAFE
+    q = np.where(kind >= IN_SAFE, np.minimum(q, 0.02), q)
+    weigh = lambda q: np.where(told, JUDGED, 1.0) * (1 + 5 * q)
+    linear = Linear(rows, q, weigh(q), rounds=20)
+    if told.any():
+        score = linear.score_rows(rows)
+        # a voted sentence that reads like judged ones follows them half the way
+        clear = lambda v: np.clip(v, 1e-4, 1 - 1e-4)
+        odds = np.sqrt(clear(q) / (1 - clear(q)) * clear(score) / (1 - clear(score)))
+        q = np.where(told, q, odds / (1 + odds))
+        mine = np.flatnonzero(kind == IN_UNSAFE)
+        order = mine[np.lexsort((-score[mine], owner[mine]))]
+        worst = order[np.r_[True, np.diff(owner[order]) != 0]] if len(order) else order
+        # what the words say and what the annotators say, each vote as far as annotators are right
+        says = np.maximum(score[worst], 0.02)
+        votes = np.array([shares.get(int(d), (0, 0))[1] for d in owner[worst]], float)
+        q[worst] = np.maximum(q[worst], 1 / (1 + (1 - says) / says * (error / (1 - error)) ** votes))
     # unsafe sentences are rare; each counts as several
-    return model, Linear(rows, q, 1 + 5 * q)
+    return model, Linear(rows, q, weigh(q))
+
+
+def _least(rows: DataFrame, most: int) -> pa.Table:
+    """The ``most`` distinct rows of least priority.  A histogram on a logarithmic scale names the cut, so that little more
+    than the sample leaves the executors."""
+    each = rows.groupBy("priority").agg(F.min_by(F.struct("pattern", "document", "slots"), F.struct("pattern", "document")).alias("r"))
+    step = F.floor(F.log2(F.col("priority") + F.lit(1.0)) * 128)
+    counts = rows.select("priority").distinct().groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("step")
+    enough = counts[counts["n"].cumsum() >= most]
+    if len(enough):
+        each = each.where(step <= int(enough["step"].iloc[0]))
+    return each.select("priority", "r.pattern", "r.document", "r.slots").toArrow().sort_by("priority").slice(0, most)
 
 
 def scored(docs: DataFrame, text: str, key: str, extra: list[str], linear: Linear) -> DataFrame:
