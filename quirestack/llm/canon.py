@@ -114,8 +114,11 @@ def _composite(base: np.ndarray, mark: np.ndarray, t: dict[str, np.ndarray]) ->
     return np.where((syllable >= 0) & (syllable < 11172) & (syllable % 28 == 0) & (tail > 0) & (tail < 28), base + tail, out)
 
 
-def canonical_points(texts: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """The code points of all consistent forms in a row, and where each text's begin; null is like an empty text."""
+def canonical_points(texts: pa.Array, fold: bool = True, tidy: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all consistent forms in a row, and where each text's begin; null is like an empty text.
+
+    Without ``tidy`` accents stay apart from their letters and blanks at line ends stay, for callers that drop both.
+    """
     t = tables(fold)
     texts = texts.cast(pa.large_string()).fill_null("")
     n = len(texts)
@@ -134,6 +137,8 @@ def canonical_points(texts: pa.Array, fold: bool = True) -> tuple[np.ndarray, np
         at = np.repeat(new_off[many] - np.r_[0, np.cumsum(size[many])[:-1]], size[many]) + np.arange(size[many].sum())
         out[at] = t["flat"][np.repeat(t["start"][points[many]], size[many]) + (at - np.repeat(new_off[many], size[many]))]
     row_end = new_off[ends]
+    if not tidy:
+        return out, row_end
     if fold:
         out, row_end = _blanks(out, row_end)
     joins = t["joins"][out]

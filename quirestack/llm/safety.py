@@ -89,7 +89,7 @@ class Sentences:
     """The words of a batch of texts, by sentence: word values, and for each sentence its text, first word and flags."""
 
     def __init__(self, texts: pa.Array) -> None:
-        points, ends = canonical_points(texts)
+        points, ends = canonical_points(texts, tidy=False)
         kind = _letters()[points]
         space = kind == 1
         # letters set apart by single blanks are one word
@@ -102,13 +102,15 @@ class Sentences:
         stop = (points == ord(".")) | (points == ord("!")) | (points == ord("?"))
         first_char = np.zeros(len(points), bool)
         first_char[ends[:-1][ends[:-1] < len(points)]] = True
-        newline = points == 10
-        blank_line = newline & np.r_[False, newline[:-1]]
+        newline = (points == 10) | ((points == 13) & np.r_[points[1:] != 10, True]) if len(points) else points == 10
+        # a line end after nothing but white space since the one before
+        ink = np.maximum.accumulate(np.where(space & ~newline, -1, np.arange(len(points)))) if len(points) else newline
+        blank_line = newline & np.r_[False, newline[ink[:-1]]] if len(points) else newline
         closes = (np.r_[False, stop[:-1]] & space) | blank_line | first_char
         sentence = np.cumsum(closes)
         word = np.cumsum(space | first_char)
         digit = (kind > 1) & (kind < 12)
-        sign = np.isin(points, [ord(c) for c in "@$!|"])
+        sign = (points == ord("@")) | (points == ord("$")) | (points == ord("!")) | (points == ord("|"))
         letter = kind > 11
         # a word with a letter reads its digits and signs as letters; a word of digits is a number
         has = np.zeros(int(word[-1]) + 1 if len(word) else 1, bool)
