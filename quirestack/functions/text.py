@@ -147,17 +147,13 @@ def truncated(c: Column | str, length: int) -> Column:
     return F.when(F.length(t) > length, F.concat(F.substring(t, 1, length - 1), F.lit("…"))).otherwise(t)
 
 
-def content_hash(c: Column | str) -> Column:
-    return F.concat(F.lit("sha256:"), F.sha2(collapse_blanks(c), 256))
-
-
 def strip_reasoning(c: Column | str) -> Column:
     return F.regexp_replace(_col(c), r"(?s)^\s*<think>.*?</think>\s*", "")
 
 
 def camel_case(c: Column | str) -> Column:
     parts = F.split(_col(c), "_")
-    return F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, 1000), lambda p: F.initcap(p)), ""))
+    return F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.initcap(p)), ""))
 
 
 def three_classes(c: Column | str) -> Column:

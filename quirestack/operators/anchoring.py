@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from quirestack.functions import geometry as G
-from quirestack.functions.text import collapse_blanks
+from quirestack.functions.normal import normal_text
 
 CONTEXT = 64
 TIERS = ("block", "hash", "quote", "shape", "orphan")
@@ -66,7 +66,7 @@ def match_score(errors: Column, length: Column, before: Column, after: Column, p
 def selectors(blocks: DataFrame) -> DataFrame:
     """``exact``, ``prefix`` and ``suffix`` (CONTEXT characters of the neighbours in document order) and ``text_hash`` of each block."""
     w = W.partitionBy("paper_id", "generation").orderBy("doc_order", "block_no")
-    text = collapse_blanks(F.coalesce("text", F.lit("")))
+    text = normal_text(F.coalesce("text", F.lit("")))
     rows = blocks.where("doc_order is not null").withColumn("exact", text)
     before, after = F.lag("exact").over(w), F.lead("exact").over(w)
     return rows.select("paper_id", "generation", "block_no", "block_id", "page_index", "bbox", "exact", F.coalesce(before.substr(F.greatest(F.length(before) - CONTEXT + 1, F.lit(1)), F.lit(CONTEXT)), F.lit("")).alias("prefix"), F.coalesce(F.substring(after, 1, CONTEXT), F.lit("")).alias("suffix"), F.sha2("exact", 256).alias("text_hash"))

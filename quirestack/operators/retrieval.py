@@ -1,4 +1,4 @@
-"""Nearest vectors, evidence packing, grounding checks, greedy matching and section outlines."""
+"""Nearest vectors, grounding checks, greedy matching and section outlines."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from quirestack.functions.text import content_tokens, coverage, estimate_tokens, fabricated_numbers
+from quirestack.functions.text import content_tokens, coverage, fabricated_numbers
 
 
 def nearest_vectors(vectors: DataFrame, queries: DataFrame, key: str, vector: str, part: list[str], k: int) -> DataFrame:
@@ -69,8 +69,11 @@ def _distances(shared, part: list[str], vector: str, k: int):  # noqa: ANN001, A
                 if p not in shared.value:
                     continue
                 q, v = shared.value[p]
+                own, here = (x[at] ** 2).sum(1), x[at]
                 for s in range(0, len(q), 256):
-                    d = np.round(np.sqrt(((v[s : s + 256, None, :] - x[None, at, :]) ** 2).sum(2)), 6)
+                    some = v[s : s + 256]
+                    squares = (some**2).sum(1)[:, None] + own[None, :] - 2 * some @ here.T
+                    d = np.round(np.sqrt(np.maximum(squares, 0)), 6)
                     order = np.lexsort((np.broadcast_to(ids[at], d.shape), d))[:, :k]
                     n = order.shape[1]
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q[s : s + 256], n)), pa.array(ids[at][order].ravel()), pa.array(np.take_along_axis(d, order, 1).ravel())], names=["query_id", "hit_id", "distance"])
@@ -78,28 +81,6 @@ def _distances(shared, part: list[str], vector: str, k: int):  # noqa: ANN001, A
     return run
 
 
-def pack_evidence(items: DataFrame, group: list[str], component: str, order: list[str], text: str, budgets: dict[str, int], floor: int = 1) -> DataFrame:
-    """Greedy packing in order: an item that does not fit is skipped and later, smaller ones may still fit.
-
-    Adds ``tokens``, ``kept`` and ``used_after`` for each item.  Each group's items are scanned in order by one state
-    machine inside an array expression, so no Python is involved; a group is a question's evidence, which the retrieval
-    caps keep small.  An unknown component has budget 0; null text costs nothing.
-    """
-    budget = F.coalesce(F.create_map(*(x for k, v in budgets.items() for x in (F.lit(k), F.lit(v))))[F.col(component)], F.lit(0))
-    rows = items.withColumn("tokens", estimate_tokens(text, floor))
-    listed = rows.groupBy(*group, component).agg(F.sort_array(F.collect_list(F.struct(*order, "tokens"))).alias("_i"))
-    start = F.struct(F.lit(0).alias("used"), F.expr("cast(array() as array<struct<used:int,kept:boolean>>)").alias("log"))
-
-    def step(s, i):  # noqa: ANN001, ANN202
-        fits = s["used"] + i["tokens"] <= budget
-        used = F.when(fits, s["used"] + i["tokens"]).otherwise(s["used"])
-        return F.struct(used.alias("used"), F.concat(s["log"], F.array(F.struct(used.alias("used"), fits.alias("kept")))).alias("log"))
-
-    log = F.aggregate("_i", start, step)["log"]
-    out = listed.withColumn("_z", F.explode(F.arrays_zip(F.col("_i").alias("i"), log.alias("l"))))
-    return out.select(*group, component, *(F.col(f"_z.i.{o}").alias(o) for o in order), F.col("_z.i.tokens").alias("tokens"), F.col("_z.l.kept").alias("kept"), F.col("_z.l.used").alias("used_after"))
-
-
 def verify_claims(claims: DataFrame, claim: str, evidence: str, threshold: float = 0.6) -> DataFrame:
     """Adds ``claim_coverage``, ``missing_numbers`` and ``supported``: covered enough and no number made up.  No claim is dropped."""
     return claims.withColumns({"claim_coverage": F.round(coverage(claim, evidence), 6), "missing_numbers": fabricated_numbers(claim, evidence)}).withColumn("supported", F.col(evidence).isNotNull() & (F.col("claim_coverage") >= threshold) & (F.size("missing_numbers") == 0))
@@ -126,14 +107,28 @@ def greedy_match(pairs: DataFrame, group: list[str], left: str, right: str, scor
     return pairs.select(*schema.names).groupBy(*group).applyInPandas(run, schema)
 
 
-def section_outline(headings: DataFrame, group: list[str], place: str, level: str, key: str) -> DataFrame:
-    """The parent of each heading: the nearest one before it of a lower level.
+def section_outline(headings: DataFrame, group: list[str], order: list[str], level: str, key: str) -> DataFrame:
+    """``headings`` with ``parent_heading``: the nearest one before it of a lower level, null for none.
 
-    For every level one running window remembers the last heading of that level; the parent is the latest among the
-    lower levels.  Levels are 1 to 9, as heading numbers go.
+    The open headings are carried on from row to row of the sorted partition, so levels of any number and groups of any
+    size will do.  A heading without a level has no parent and is none's.
     """
-    w = W.partitionBy(*group).orderBy(place).rowsBetween(W.unboundedPreceding, -1)
-    last = [F.last(F.when(F.col(level) == n, F.struct(F.col(place).alias("p"), F.col(key).alias("k"))), ignorenulls=True).over(w) for n in range(1, 10)]
-    out = headings.withColumns({f"_l{n}": c for n, c in enumerate(last, 1)})
-    lower = F.greatest(*(F.when(F.col(level) > n, F.col(f"_l{n}")) for n in range(1, 10)))
-    return out.withColumn("parent_heading", lower["k"]).drop(*(f"_l{n}" for n in range(1, 10)))
+    schema = T.StructType([*headings.schema.fields, T.StructField("parent_heading", headings.schema[key].dataType)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, open_ = None, []
+        for b in batches:
+            out = []
+            for *head, own, name in zip(*(b.column(g).to_pylist() for g in group), b.column(level).to_pylist(), b.column(key).to_pylist(), strict=True):
+                if head != held:
+                    held, open_ = head, []
+                if own is None:
+                    out.append(None)
+                    continue
+                while open_ and open_[-1][0] >= own:
+                    open_.pop()
+                out.append(open_[-1][1] if open_ else None)
+                open_.append((own, name))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, b.schema.field(key).type)], names=schema.names)
+
+    return headings.repartition(*group).sortWithinPartitions(*group, *order).mapInArrow(run, schema)

@@ -6,17 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirestack.functions import geometry as G
+from quirestack.functions import normal as N
 from quirestack.functions import text as X
 from quirestack.operators import layout
 from quirestack.operators.anchoring import resolve, selectors
 from quirestack.operators.memory import canonical_json, gated, verbatim
-from quirestack.operators.retrieval import greedy_match, nearest_vectors, pack_evidence, section_outline, verify_claims
-from quirestack.plans.records import p2_paths
+from quirestack.operators.order import longest_prefix, pack
+from quirestack.operators.retrieval import greedy_match, nearest_vectors, section_outline, verify_claims
+from quirestack.plans.fields import _id_sql, _normal
+from quirestack.plans.records import _TREES, p2_paths
 from quirestack.session import table
 from quirestack.sources.documents import nest_pages, shred_pages
 from quirestack.streaming.queue import drain, job_states, read_events, windowed_counts
 
-BUDGETS = {"selected": 2200, "adjacency": 1500, "structure": 1300, "related": 1100, "citation": 900, "semantic": 600}
+BUDGETS = {"selected": 2200, "adjacent": 1500, "structure": 1300, "relation": 1100, "citation": 900, "semantic": 600}
 
 
 def knn_in_partition(spark: SparkSession, d: str) -> DataFrame:
@@ -36,12 +39,19 @@ def _evidence(spark: SparkSession, d: str) -> DataFrame:
 
 def evidence_pack(spark: SparkSession, d: str) -> DataFrame:
     """What of each question's evidence fits its stage's budget, in order of retrieval."""
-    return pack_evidence(_evidence(spark, d), ["question_id"], "ladder_stage", ["retrieval_no"], "text", BUDGETS, floor=4)
+    return pack(_evidence(spark, d), ["question_id"], "ladder_stage", ["retrieval_no"], "text", BUDGETS, cut=("selected",), floor=4)
+
+
+def evidence_cuts(spark: SparkSession, d: str) -> DataFrame:
+    """How many characters are left of each item that was cut to its budget, and that one more would not fit."""
+    cut = evidence_pack(spark, d).where("cut_to is not null").join(_evidence(spark, d), ["question_id", "ladder_stage", "retrieval_no"])
+    cut = cut.withColumn("kept_chars", longest_prefix(F.col("text"), F.col("cut_to"), 4))
+    return cut.select("question_id", "retrieval_no", "cut_to", "kept_chars", (X.estimate_tokens(F.left("text", F.col("kept_chars")), 4) <= F.col("cut_to")).alias("fits"), (X.estimate_tokens(F.left("text", F.col("kept_chars") + 1), 4) > F.col("cut_to")).alias("is_longest"))
 
 
 def evidence_usage(spark: SparkSession, d: str) -> DataFrame:
     kept = F.col("kept").cast("long")
-    return evidence_pack(spark, d).groupBy("question_id", "ladder_stage").agg(F.sum(F.when(F.col("kept"), F.col("tokens")).otherwise(0)).alias("used_tokens"), F.sum(kept).alias("items_kept"), F.sum(1 - kept).alias("items_dropped"))
+    return evidence_pack(spark, d).groupBy("question_id", "ladder_stage").agg(F.max("used_after").cast("long").alias("used_tokens"), F.sum(kept).alias("items_kept"), F.sum(1 - kept).alias("items_dropped"))
 
 
 def evidence_text(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +86,7 @@ def text_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_cleaning(spark: SparkSession, d: str) -> DataFrame:
-    return _texts(spark, d).select("block_no", X.sanitise("text").alias("clean_text"), X.dehyphenate("text").alias("joined_text"), X.truncated("text", 80).alias("short_text"), X.content_hash("text").alias("text_hash"), X.mixed_script("text").alias("mixed_script"), X.looks_unterminated("text").alias("unterminated"), X.opens_mid_sentence("text").alias("mid_sentence"), X.three_classes("text").alias("three_classes"), X.is_name_list("text").alias("name_list"), F.round(X.symbol_density("text"), 6).alias("symbol_density"))
+    return _texts(spark, d).select("block_no", X.sanitise("text").alias("clean_text"), X.dehyphenate("text").alias("joined_text"), X.truncated("text", 80).alias("short_text"), N.content_hash(N.normal_text("text")).alias("text_hash"), X.mixed_script("text").alias("mixed_script"), X.looks_unterminated("text").alias("unterminated"), X.opens_mid_sentence("text").alias("mid_sentence"), X.three_classes("text").alias("three_classes"), X.is_name_list("text").alias("name_list"), F.round(X.symbol_density("text"), 6).alias("symbol_density"))
 
 
 def content_token_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -86,8 +96,8 @@ def content_token_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def derived_block_ids(spark: SparkSession, d: str) -> DataFrame:
     """Ids from page, place and type on a one-point grid, the way the store derives them."""
-    g = table(spark, d, "blocks").select("block_no", "paper_id", "page_index", "bbox", "block_type", "text").distinct()
-    parts = (F.sha2("paper_id", 256), F.col("page_index").cast("string"), G.quantise(F.col("bbox")[0]).cast("string"), G.quantise(F.col("bbox")[1]).cast("string"), F.col("block_type"), F.substring(F.coalesce(X.collapse_blanks("text"), F.lit("")), 1, 8))
+    g = table(spark, d, "blocks").select("block_no", "paper_id", "page_index", "bbox", "block_type", "text").distinct().withColumn("form", N.normal_text("text"))
+    parts = (F.sha2("paper_id", 256), F.col("page_index").cast("string"), G.quantise(F.col("bbox")[0]).cast("string"), G.quantise(F.col("bbox")[1]).cast("string"), F.col("block_type"), F.substring(F.coalesce("form", F.lit("")), 1, 8))
     return g.select("block_no", X.base32_id("blk_", 16, *parts).alias("derived_id"))
 
 
@@ -115,7 +125,7 @@ def region_matches(spark: SparkSession, d: str) -> DataFrame:
 def heading_parents(spark: SparkSession, d: str) -> DataFrame:
     h = table(spark, d, "blocks").where("block_type = 'heading' and doc_order is not null").select("paper_id", "generation", "block_id", "doc_order", "text").distinct()
     level = F.coalesce(F.size(F.split(X.section_number("text"), r"\.")), F.lit(1))
-    out = section_outline(h.withColumn("heading_level", F.least(level, F.lit(9))).withColumn("place", F.struct("doc_order", "block_id")), ["paper_id", "generation"], "place", "heading_level", "block_id")
+    out = section_outline(h.withColumn("heading_level", level), ["paper_id", "generation"], ["doc_order", "block_id"], "heading_level", "block_id")
     return out.select("paper_id", "generation", "block_id", "heading_level", "parent_heading")
 
 
@@ -228,9 +238,10 @@ def citation_links(spark: SparkSession, d: str) -> DataFrame:
 
 def paper_metadata(spark: SparkSession, d: str) -> DataFrame:
     """Bibliographic fields, and whether the title stands in the paper's title block after both are normalised."""
-    p = table(spark, d, "papers").select("paper_id", "generation", F.col("metadata.title").alias("title"), F.size("metadata.authors").alias("author_count"), F.col("metadata.pub_year").alias("pub_year"), F.coalesce("metadata.doi", F.lit("")).alias("doi")).distinct()
-    shown = table(spark, d, "blocks").where("block_type = 'title'").select("paper_id", "generation", F.lower(X.collapse_blanks("text")).alias("shown")).groupBy("paper_id", "generation").agg(F.collect_set("shown").alias("shown"))
-    has = F.exists(F.coalesce("shown", F.expr("cast(array() as array<string>)")), lambda x: F.contains(x, F.lower(X.collapse_blanks("title"))))
+    p = table(spark, d, "papers").select("paper_id", "generation", F.col("metadata.title").alias("title"), F.coalesce(F.size("metadata.authors"), F.lit(-1)).alias("author_count"), F.col("metadata.pub_year").alias("pub_year"), F.coalesce("metadata.doi", F.lit("")).alias("doi")).distinct()
+    shown = table(spark, d, "blocks").where("block_type = 'title'").select("paper_id", "generation", N.normal_text("text").alias("shown")).groupBy("paper_id", "generation").agg(F.collect_set("shown").alias("shown"))
+    p = p.withColumn("wanted", N.normal_text("title"))
+    has = F.exists(F.coalesce("shown", F.expr("cast(array() as array<string>)")), lambda x: F.contains(x, F.col("wanted")))
     return p.join(shown, ["paper_id", "generation"], "left").select("paper_id", "generation", "title", "author_count", "pub_year", "doi", F.coalesce(has, F.lit(False)).alias("title_shown"))
 
 
@@ -248,7 +259,7 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 
 def stream_window_counts(spark: SparkSession, d: str) -> DataFrame:
     counts = windowed_counts(read_events(spark, d, EVENTS, "events.parquet"), "ts", "event_type")
-    out = drain(counts, "complete")
+    out = drain(counts, "update").groupBy("window", "event_type").agg(F.max_by("events", "batch_no").alias("events"))
     return out.select(F.date_format("window.start", "yyyy-MM-dd HH").alias("window_hour"), "event_type", "events")
 
 
@@ -258,12 +269,28 @@ def stream_job_states(spark: SparkSession, d: str) -> DataFrame:
     return newest.select(F.col("key").alias("user_id"), "s.state", "s.attempts", "s.last_event")
 
 
-QUERIES = {f.__name__: f for f in (knn_in_partition, knn_global, evidence_pack, evidence_usage, evidence_text, token_estimate, claim_grounding, grounding_totals, text_features, text_cleaning, content_token_counts, derived_block_ids, geometry_features, page_frames, region_matches, heading_parents, branch_context, nested_pages, nest_round_trip, highlight_export, page_columns, column_order, suppressed_regions, region_clusters, page_coverage, anchor_selectors, anchor_resolution, anchor_rates, proposal_gates, evidence_verbatim, canonical_node_data, float_references, citation_links, paper_metadata, id_churn, stream_window_counts, stream_job_states)}
+QUERIES = {f.__name__: f for f in (knn_in_partition, knn_global, evidence_pack, evidence_cuts, evidence_usage, evidence_text, token_estimate, claim_grounding, grounding_totals, text_features, text_cleaning, content_token_counts, derived_block_ids, geometry_features, page_frames, region_matches, heading_parents, branch_context, nested_pages, nest_round_trip, highlight_export, page_columns, column_order, suppressed_regions, region_clusters, page_coverage, anchor_selectors, anchor_resolution, anchor_rates, proposal_gates, evidence_verbatim, canonical_node_data, float_references, citation_links, paper_metadata, id_churn, stream_window_counts, stream_job_states)}
 
 _STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
 _TOKENS = f"list_filter(list_transform(regexp_extract_all(%s, '{X.TOKEN}'), lambda t: trim(lower(t), '._-')), lambda t: t <> '' AND t NOT IN ({_STOP}))"
 _DISTANCE = "round(list_distance(a.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6)"
+_COST = "coalesce(list_sum(list_transform(regexp_extract_all(text, '(?s)[ \\t]*[A-Za-z0-9]+|.'), lambda a: CASE WHEN regexp_matches(a, '[A-Za-z0-9]$') THEN greatest(1, CAST(ceil(octet_length(encode(a)) / 4.0) AS BIGINT)) ELSE octet_length(encode(a)) END)), 0)::INTEGER"
+_LIMITS = "CASE ladder_stage " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in BUDGETS.items()) + " ELSE 0 END"
+#: Each stage's items taken one after the other.
+_PACK = f"""WITH RECURSIVE i AS (SELECT question_id, ladder_stage, retrieval_no, text, {_COST} AS tokens, {_LIMITS} AS most, row_number() OVER (PARTITION BY question_id, ladder_stage ORDER BY retrieval_no) AS k FROM (SELECT DISTINCT question_id, ladder_stage, retrieval_no, text FROM retrieved_blocks)),
+    w AS (SELECT i.*, k AS at, tokens <= most OR (ladder_stage = 'selected' AND most > 0) AS kept, 0 AS used_before, CASE WHEN tokens <= most THEN tokens WHEN ladder_stage = 'selected' THEN most ELSE 0 END AS used_after, CASE WHEN tokens > most AND ladder_stage = 'selected' THEN most END AS cut_to FROM i WHERE k = 1
+        UNION ALL SELECT i.*, i.k, w.used_after + i.tokens <= i.most OR (i.ladder_stage = 'selected' AND w.used_after < i.most), w.used_after, CASE WHEN w.used_after + i.tokens <= i.most THEN w.used_after + i.tokens WHEN i.ladder_stage = 'selected' THEN i.most ELSE w.used_after END, CASE WHEN w.used_after + i.tokens > i.most AND i.ladder_stage = 'selected' AND w.used_after < i.most THEN i.most - w.used_after END
+        FROM w JOIN i ON i.question_id = w.question_id AND i.ladder_stage = w.ladder_stage AND i.k = w.at + 1)"""
+_B = "(SELECT DISTINCT paper_id, generation, page_index, block_no, block_id, block_type, flow_kind, sibling_order, doc_order, parent_id, text, bbox FROM blocks)"
 SQL = {
+    "evidence_pack": _PACK + " SELECT question_id, ladder_stage, retrieval_no, tokens, kept, used_before::INTEGER AS used_before, used_after::INTEGER AS used_after, cut_to::INTEGER AS cut_to FROM w",
+    "evidence_usage": _PACK + " SELECT question_id, ladder_stage, max(used_after)::BIGINT AS used_tokens, count(*) FILTER (kept) AS items_kept, count(*) FILTER (NOT kept) AS items_dropped FROM w GROUP BY ALL",
+    "evidence_text": _PACK + " SELECT question_id, ladder_stage, string_agg('[' || retrieval_no || '] ' || coalesce(text, '') || chr(10), '' ORDER BY retrieval_no) AS evidence FROM w WHERE kept GROUP BY ALL",
+    "grounding_totals": "@GROUNDING@",
+    "branch_context": "@BRANCH@",
+    "highlight_export": "SELECT question_id, string_agg(CASE WHEN prior IS DISTINCT FROM page_index THEN '## Page ' || (page_index + 1) || chr(10) ELSE '' END || '> ' || CASE WHEN length(t) > 120 THEN t[1:119] || '…' ELSE t END, chr(10) ORDER BY page_index, retrieval_no) AS markdown FROM (SELECT question_id, page_index, retrieval_no, trim(regexp_replace(coalesce(text, ''), '[\\r\\n]+', ' ', 'g'), ' ') AS t, lag(page_index) OVER (PARTITION BY question_id ORDER BY page_index, retrieval_no) AS prior FROM (SELECT DISTINCT question_id, page_index, retrieval_no, text FROM retrieved_blocks)) GROUP BY question_id",
+    "paper_metadata": "WITH p AS (SELECT DISTINCT paper_id, generation, metadata.title AS title, coalesce(len(metadata.authors), -1)::INTEGER AS author_count, metadata.pub_year AS pub_year, coalesce(metadata.doi, '') AS doi FROM papers) SELECT *, EXISTS (FROM blocks b WHERE (b.paper_id, b.generation) = (p.paper_id, p.generation) AND block_type = 'title' AND contains(@TEXT@, @TITLE@)) AS title_shown FROM p",
+    "derived_block_ids": "@IDS@",
     "knn_in_partition": f"SELECT query_id, hit_id, distance, place::INTEGER AS place FROM (SELECT a.vec_id AS query_id, c.vec_id AS hit_id, {_DISTANCE} AS distance, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DISTANCE}, c.vec_id) AS place FROM embeddings a JOIN embeddings c ON a.label = c.label WHERE a.vec_id % 100 = 0) WHERE place <= 5",
     "knn_global": f"SELECT query_id, hit_id, distance, place::INTEGER AS place FROM (SELECT a.vec_id AS query_id, c.vec_id AS hit_id, {_DISTANCE} AS distance, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DISTANCE}, c.vec_id) AS place FROM embeddings a CROSS JOIN embeddings c WHERE a.vec_id % 100 = 0) WHERE place <= 10",
     "token_estimate": "SELECT DISTINCT retrieval_no, coalesce(list_sum(list_transform(regexp_extract_all(text, '(?s)[ \\t]*[A-Za-z0-9]+|.'), lambda a: CASE WHEN regexp_matches(a, '[A-Za-z0-9]$') THEN greatest(1, CAST(ceil(octet_length(encode(a)) / 4.0) AS BIGINT)) ELSE octet_length(encode(a)) END)), 0)::BIGINT AS tokens FROM retrieved_blocks",
@@ -276,5 +303,10 @@ SQL = {
     "evidence_verbatim": "SELECT r.retrieval_no, coalesce(b.body[1:length(r.text)] = r.text, false) AS is_verbatim FROM (SELECT DISTINCT retrieval_no, paper_id, generation, block_id, text FROM retrieved_blocks) r LEFT JOIN (SELECT DISTINCT paper_id, generation, block_id, text AS body FROM blocks) b ON r.paper_id = b.paper_id AND r.generation = b.generation AND r.block_id = b.block_id",
     "citation_links": "WITH t AS (SELECT DISTINCT paper_id, generation, block_id, text FROM blocks WHERE text IS NOT NULL), m AS (SELECT paper_id, generation, block_id, unnest(list_distinct(list_filter(flatten(list_transform(regexp_extract_all(text, '\\[([0-9][0-9,\\s–-]*)\\]', 1), lambda m: regexp_split_to_array(m, '[,\\s–-]+'))), lambda x: x <> ''))) AS label FROM t) SELECT *, count(*) OVER (PARTITION BY paper_id, generation, label) AS cited_by FROM m",
     "float_references": "WITH t AS (SELECT DISTINCT paper_id, generation, block_id, block_type, text FROM blocks WHERE text IS NOT NULL), k AS (SELECT paper_id, generation, CASE WHEN lower(regexp_extract(text, '" + X.CAPTION + "', 1)) LIKE 'fig%' THEN 'figure' ELSE lower(regexp_extract(text, '" + X.CAPTION + "', 1)) END AS kind, regexp_extract(text, '" + X.CAPTION + "', 2) AS number, min(block_id) AS caption_id FROM t WHERE block_type = 'caption' GROUP BY ALL HAVING count(*) = 1), c AS (SELECT DISTINCT paper_id, generation, block_id, CASE WHEN lower(call) LIKE 'fig%' THEN 'figure' ELSE 'table' END AS kind, regexp_extract(call, '([0-9]+)$', 1) AS number FROM (SELECT paper_id, generation, block_id, unnest(regexp_extract_all(text, '(?i)\\b(?:figure|fig\\.?|table)\\s*[0-9]+')) AS call FROM t WHERE block_type <> 'caption')) SELECT c.*, k.caption_id FROM c JOIN k USING (paper_id, generation, kind, number)",
-    "heading_parents": "WITH h AS (SELECT DISTINCT paper_id, generation, block_id, doc_order, least(9, coalesce(len(string_split(nullif(regexp_extract(text, '" + X.SECTION + "', 1), ''), '.')), 1))::INTEGER AS heading_level FROM blocks WHERE block_type = 'heading' AND doc_order IS NOT NULL), k AS (SELECT a.paper_id, a.generation, a.block_id, a.heading_level, c.block_id AS parent_heading, row_number() OVER (PARTITION BY a.paper_id, a.generation, a.block_id ORDER BY c.doc_order DESC, c.block_id DESC) AS n FROM h a LEFT JOIN h c ON a.paper_id = c.paper_id AND a.generation = c.generation AND (c.doc_order, c.block_id) < (a.doc_order, a.block_id) AND c.heading_level < a.heading_level) SELECT paper_id, generation, block_id, heading_level, parent_heading FROM k WHERE n = 1",
+    "heading_parents": "WITH h AS (SELECT DISTINCT paper_id, generation, block_id, doc_order, coalesce(len(string_split(nullif(regexp_extract(text, '" + X.SECTION + "', 1), ''), '.')), 1)::INTEGER AS heading_level FROM blocks WHERE block_type = 'heading' AND doc_order IS NOT NULL), k AS (SELECT a.paper_id, a.generation, a.block_id, a.heading_level, c.block_id AS parent_heading, row_number() OVER (PARTITION BY a.paper_id, a.generation, a.block_id ORDER BY c.doc_order DESC, c.block_id DESC) AS n FROM h a LEFT JOIN h c ON a.paper_id = c.paper_id AND a.generation = c.generation AND (c.doc_order, c.block_id) < (a.doc_order, a.block_id) AND c.heading_level < a.heading_level) SELECT paper_id, generation, block_id, heading_level, parent_heading FROM k WHERE n = 1",
 }
+SQL["grounding_totals"] = f"SELECT count(*) AS claims_total, count(*) FILTER (NOT supported) AS claims_flagged, bool_and(supported) AS fully_grounded FROM ({SQL['claim_grounding']})"
+SQL["branch_context"] = _TREES + "SELECT paper_id, node_id, array_to_string(node_path[greatest(len(node_path) - 5, 1):-2], '>') AS context FROM down WHERE forest = 'canvas'"
+SQL["paper_metadata"] = SQL["paper_metadata"].replace("@TEXT@", _normal("b.text")).replace("@TITLE@", _normal("p.title"))
+_GRID = "floor(bbox[{i}] + 0.5)::BIGINT"
+SQL["derived_block_ids"] = f"SELECT block_no, 'blk_' || {_id_sql('h', 16, 0, 'abcdefghijklmnopqrstuvwxyz234567', 20)} AS derived_id FROM (SELECT DISTINCT block_no, sha256(concat_ws('|', sha256(paper_id), page_index, {_GRID.format(i=1)}, {_GRID.format(i=2)}, block_type, substr(coalesce({_normal('text')}, ''), 1, 8))) AS h FROM blocks)"

@@ -100,11 +100,11 @@ COMMON: dict[str, tuple[str, ...]] = {
     "channel_privilege": ("b", "SELECT DISTINCT source_kind, source_kind IN ('pdf_text_layer', 'pdf_vector') AND source_kind NOT LIKE '%ocr' AS is_high_privilege FROM b"),
     "page_kind": ("pp b", "SELECT x.paper_id, x.generation, x.page_index, CASE WHEN x.is_scanned THEN 'SCANNED' WHEN x.has_text_layer AND count(b.block_id) > 0 THEN 'DIGITAL' WHEN count(b.block_id) > 0 THEN 'VECTOR_ONLY' WHEN x.is_scanned IS NULL THEN 'UNKNOWN' ELSE 'BLANK' END AS page_kind, CAST(count(b.block_id) AS BIGINT) AS blocks FROM pp x LEFT JOIN b ON b.paper_id = x.paper_id AND b.generation = x.generation AND b.page_index = x.page_index GROUP BY x.paper_id, x.generation, x.page_index, x.is_scanned, x.has_text_layer"),
     "session_rows_alive": ("rb", "SELECT question_id, retrieval_no, retrieved_at FROM rb WHERE retrieved_at IS NULL OR retrieved_at > TIMESTAMP '2025-01-01 00:00:00'"),
-    "highlight_search": ("rb", "SELECT retrieval_no, paper_id, page_index, block_type FROM rb WHERE page_index BETWEEN 1 AND 4 AND block_type IN ('paragraph', 'list_item') AND lower(text) LIKE '%sample%'"),
+    "highlight_search": ("rb", "SELECT retrieval_no, paper_id, page_index, block_type FROM rb WHERE lower(text) LIKE '%sample%'"),
     "job_list": ("", "SELECT user_id, event_id, event_type, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS BIGINT) AS newest FROM events"),
     # joins
     "resolve_highlights": ("rb b p", "SELECT rb.question_id, rb.retrieval_no, b.block_id, b.page_index, b.block_type, p.status FROM rb JOIN b ON rb.owner_id = b.owner_id AND rb.paper_id = b.paper_id AND rb.generation = b.generation AND rb.block_id = b.block_id JOIN p ON p.owner_id = b.owner_id AND p.paper_id = b.paper_id AND p.generation = b.generation"),
-    "three_way_owner_join": ("", "SELECT c.c_custkey, o.o_orderkey, l.l_linenumber, l.l_quantity FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey JOIN lineitem l ON l.l_orderkey = o.o_orderkey WHERE c.c_mktsegment = 'BUILDING'"),
+    "three_way_owner_join": ("", "SELECT c.c_custkey, o.o_orderkey, l.l_linenumber, l.l_quantity FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey JOIN lineitem l ON l.l_orderkey = o.o_orderkey"),
     "relations_from_block": ("b r", "SELECT b.paper_id, b.generation, b.block_id, r.rel_type, r.to_block FROM b JOIN r ON b.paper_id = r.paper_id AND b.generation = r.generation AND b.block_id = r.from_block"),
     "relations_to_block": ("b r", "SELECT b.paper_id, b.generation, b.block_id, r.rel_type, r.from_block FROM b JOIN r ON b.paper_id = r.paper_id AND b.generation = r.generation AND b.block_id = r.to_block"),
     "reference_by_label": ("b", f"SELECT {KEY}, label, block_id FROM (SELECT {KEY}, block_id, regexp_extract(text, '^\\\\s*\\\\[([0-9]+)\\\\]', 1) AS label, row_number() OVER (PARTITION BY {KEY}, regexp_extract(text, '^\\\\s*\\\\[([0-9]+)\\\\]', 1) ORDER BY block_no) AS k FROM b WHERE block_type = 'reference_entry') t WHERE k = 1"),
@@ -127,12 +127,8 @@ COMMON: dict[str, tuple[str, ...]] = {
     "warnings_by_kind": ("p", "SELECT status, coalesce(partial_reason, 'none') AS reason, CAST(count(*) AS BIGINT) AS papers FROM p GROUP BY status, coalesce(partial_reason, 'none')"),
     "annotator_scores": ("", "WITH l AS (SELECT DISTINCT doc_id, annotator, unsafe FROM doc_labels WHERE unsafe IS NOT NULL), m AS (SELECT doc_id, CASE WHEN avg(unsafe) > 0.5 THEN 1 ELSE 0 END AS gold FROM l GROUP BY doc_id), c AS (SELECT l.annotator, CAST(sum(CASE WHEN l.unsafe = 1 AND m.gold = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp, CAST(sum(l.unsafe) AS BIGINT) AS predicted, CAST(sum(m.gold) AS BIGINT) AS actual FROM l JOIN m ON l.doc_id = m.doc_id GROUP BY l.annotator) SELECT annotator, tp, predicted, actual, CASE WHEN predicted > 0 THEN round(tp / CAST(predicted AS DOUBLE), 6) ELSE 0.0 END AS p, CASE WHEN actual > 0 THEN round(tp / CAST(actual AS DOUBLE), 6) END AS r FROM c"),
     "operational_rates": ("", "SELECT event_type, CAST(count(*) AS BIGINT) AS runs, CAST(sum(CASE WHEN value < 1 THEN 1 ELSE 0 END) AS BIGINT) AS empty_runs, round(sum(CASE WHEN value > 90 THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE), 6) AS failure_rate FROM events GROUP BY event_type"),
-    "value_intervals": ("", "SELECT event_type, min(value) AS low, round(median(value), 6) AS mid, max(value) AS high FROM events GROUP BY event_type"),
     "ratio_intervals": ("", "WITH i AS (SELECT event_type, min(value) AS low, median(value) AS mid, max(value) AS high FROM events WHERE value > 0 GROUP BY event_type) SELECT a.event_type AS slow, c.event_type AS fast, round(a.low / c.high, 6) AS ratio_low, round(a.mid / c.mid, 6) AS ratio_mid, round(a.high / c.low, 4) AS ratio_high, CASE WHEN a.mid / c.mid >= 1 AND a.high / c.low - a.low / c.high <= abs(a.mid / c.mid - 1) THEN 'MET' WHEN a.mid / c.mid < 1 AND a.high / c.low - a.low / c.high <= abs(a.mid / c.mid - 1) THEN 'NOT MET' ELSE 'NOT ESTABLISHED' END AS verdict FROM i a JOIN i c ON a.event_type <> c.event_type"),
-    "nearest_rank_quantile": ("", "SELECT event_type, min(CASE WHEN k = CAST(floor(0.5 * n) AS BIGINT) + 1 THEN value END) AS p50, min(CASE WHEN k = least(n, CAST(floor(0.95 * n) AS BIGINT) + 1) THEN value END) AS p95 FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) t GROUP BY event_type"),
     "mode_smallest": ("b", f"SELECT {KEY}, page_index, min(block_type) AS modal_type FROM (SELECT {KEY}, page_index, block_type, rank() OVER (PARTITION BY {KEY}, page_index ORDER BY count(*) DESC) AS k FROM b GROUP BY {KEY}, page_index, block_type) t WHERE k = 1 GROUP BY {KEY}, page_index"),
-    "reading_order_concordance": ("g", "SELECT a.paper_id, a.generation, a.page_index, CAST(count(*) AS BIGINT) AS pairs, round(avg(CASE WHEN a.doc_order < c.doc_order THEN CAST(CASE WHEN a.y0 <= c.y0 THEN 1 ELSE 0 END AS DOUBLE) ELSE CAST(CASE WHEN a.y0 >= c.y0 THEN 1 ELSE 0 END AS DOUBLE) END), 6) AS concordance FROM g a JOIN g c ON a.paper_id = c.paper_id AND a.generation = c.generation AND a.page_index = c.page_index AND a.block_no < c.block_no WHERE a.doc_order IS NOT NULL AND c.doc_order IS NOT NULL GROUP BY a.paper_id, a.generation, a.page_index"),
-    "macro_f1_by_type": ("b", "WITH o AS (SELECT paper_id, block_id, block_type FROM b WHERE generation = 1), w AS (SELECT paper_id, block_id, block_type FROM b WHERE generation = 2), k AS (SELECT o.block_type, CAST(count(*) AS BIGINT) AS gold, CAST(sum(CASE WHEN w.block_type = o.block_type THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM o LEFT JOIN w ON o.paper_id = w.paper_id AND o.block_id = w.block_id GROUP BY o.block_type) SELECT block_type, gold, hits, round(hits / CAST(gold AS DOUBLE), 6) AS recall FROM k"),
     "mixes_columns": ("g rb", "SELECT rb.question_id, max(CASE WHEN a.x1 < c.x0 OR c.x1 < a.x0 THEN 1 ELSE 0 END) AS mixes FROM rb JOIN rb s ON rb.question_id = s.question_id AND rb.paper_id = s.paper_id AND rb.generation = s.generation AND rb.page_index = s.page_index AND rb.retrieval_no < s.retrieval_no JOIN g a ON a.paper_id = rb.paper_id AND a.generation = rb.generation AND a.block_id = rb.block_id JOIN g c ON c.paper_id = s.paper_id AND c.generation = s.generation AND c.block_id = s.block_id GROUP BY rb.question_id"),
     "source_rates": ("", "SELECT source, CAST(count(*) AS BIGINT) AS documents, CAST(sum(CASE WHEN text IS NULL OR trim(text) = '' THEN 1 ELSE 0 END) AS BIGINT) AS blank FROM documents GROUP BY source"),
     # windows
@@ -145,11 +141,9 @@ COMMON: dict[str, tuple[str, ...]] = {
     "stream_offsets": ("ord", f"SELECT {KEY}, block_id, CAST(coalesce(sum(length(coalesce(text, '')) + 1) OVER (PARTITION BY {KEY} ORDER BY doc_order, block_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS stream_start FROM ord"),
     "island_grouping": ("g", f"SELECT {KEY}, page_index, block_id, CAST(sum(starts) OVER (PARTITION BY {KEY}, page_index ORDER BY y0, x0, block_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS island FROM (SELECT *, CASE WHEN lag(y1) OVER (PARTITION BY {KEY}, page_index ORDER BY y0, x0, block_no) IS NULL OR y0 - lag(y1) OVER (PARTITION BY {KEY}, page_index ORDER BY y0, x0, block_no) > 12 THEN 1 ELSE 0 END AS starts FROM g) t"),
     "continuation_pairs": ("ord", f"SELECT {KEY}, block_id, next_id FROM (SELECT {KEY}, block_id, text, page_index, lead(block_id) OVER w AS next_id, lead(text) OVER w AS next_text, lead(page_index) OVER w AS next_page FROM ord WHERE block_type = 'paragraph' AND text IS NOT NULL WINDOW w AS (PARTITION BY {KEY} ORDER BY doc_order, block_no)) t WHERE next_page = page_index + 1 AND NOT (text LIKE '%.' OR text LIKE '%!' OR text LIKE '%?') AND substring(next_text, 1, 1) BETWEEN 'a' AND 'z'"),
-    "budget_rows_kept": ("rb", "SELECT question_id, retrieval_no, place <= CAST(floor(8 / 3.0) AS BIGINT) AS kept FROM (SELECT question_id, retrieval_no, row_number() OVER (PARTITION BY question_id ORDER BY retrieval_no) AS place FROM rb) t"),
     # top-k and set operations
-    "earliest_due_job": ("", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'signup') t WHERE k = 1"),
+    "earliest_due_job": ("", "SELECT user_id, event_type, event_id FROM (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events) t WHERE k = 1"),
     "newest_audit_rows": ("", "SELECT event_id, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 200"),
-    "section_siblings_nearest": ("ord", f"SELECT {KEY}, block_id, near_id FROM (SELECT a.paper_id, a.generation, a.block_id, c.block_id AS near_id, row_number() OVER (PARTITION BY a.paper_id, a.generation, a.block_id ORDER BY abs(a.reading_rank - c.reading_rank), c.reading_rank) AS k FROM ord a JOIN ord c ON a.paper_id = c.paper_id AND a.generation = c.generation AND a.parent_id = c.parent_id AND a.block_id <> c.block_id) t WHERE k <= 6"),
     "relations_capped": ("r", f"SELECT {KEY}, rel_type, from_block, to_block FROM (SELECT *, row_number() OVER (PARTITION BY {KEY}, from_block ORDER BY CASE rel_type WHEN 'explains' THEN 0 WHEN 'references' THEN 1 WHEN 'caption_of' THEN 2 ELSE 9 END, rel_type, to_block, provenance, confidence) AS k FROM r WHERE rel_type NOT IN ('parent_of', 'cites')) t WHERE k <= 12"),
     "first_claim_union": ("rb", "SELECT question_id, block_id, ladder_stage, retrieval_no FROM (SELECT *, row_number() OVER (PARTITION BY question_id, block_id ORDER BY CASE ladder_stage WHEN 'selected' THEN 0 WHEN 'adjacency' THEN 1 WHEN 'structure' THEN 2 WHEN 'related' THEN 3 WHEN 'citation' THEN 4 WHEN 'semantic' THEN 5 ELSE 9 END, retrieval_no) AS k FROM rb) t WHERE k = 1"),
     "relation_dedupe": ("r b", "SELECT r.paper_id, r.generation, r.rel_type, r.from_block, r.to_block, max(r.confidence) AS confidence FROM r WHERE EXISTS (SELECT 1 FROM b WHERE b.paper_id = r.paper_id AND b.generation = r.generation AND b.block_id = r.from_block) AND EXISTS (SELECT 1 FROM b WHERE b.paper_id = r.paper_id AND b.generation = r.generation AND b.block_id = r.to_block) GROUP BY r.paper_id, r.generation, r.rel_type, r.from_block, r.to_block"),
@@ -160,10 +154,8 @@ COMMON: dict[str, tuple[str, ...]] = {
     "upsert_latest_paper": ("p", "SELECT owner_id, paper_id, generation, status FROM (SELECT *, row_number() OVER (PARTITION BY owner_id, paper_id ORDER BY parsed_at DESC, generation DESC) AS k FROM p) t WHERE k = 1"),
     "cascade_delete_blocks": ("b p", "SELECT b.paper_id, b.generation, b.block_id FROM b WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.paper_id = b.paper_id AND p.status = 'failed')"),
     "idempotent_enqueue": ("", "SELECT user_id, min(event_id) AS event_id, event_type FROM events GROUP BY user_id, event_type"),
-    "audit_append": ("bs", "SELECT owner_id, section_id, 'insert' AS action, generated_at AS at_time FROM bs UNION ALL SELECT owner_id, section_id, 'confirm', generated_at FROM bs WHERE model_name IS NOT NULL"),
     "cap_gate": ("bs", "SELECT owner_id, section_no, CASE WHEN place > 200 THEN 'rows' WHEN bytes > 102400 THEN 'bytes' ELSE 'ok' END AS gate FROM (SELECT owner_id, section_no, row_number() OVER (PARTITION BY owner_id ORDER BY generated_at, section_no) AS place, sum(octet_length(encode(coalesce(content, '')))) OVER (PARTITION BY owner_id ORDER BY generated_at, section_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bytes FROM bs) t"),
     "ttl_purge": ("rb", "SELECT question_id, count(*) AS kept FROM rb WHERE retrieved_at > TIMESTAMP '2024-12-01 00:00:00' GROUP BY question_id"),
-    "cancel_state": ("", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'cancelled' WHEN event_type = 'purchase' THEN 'done' ELSE 'running' END AS state FROM events"),
     "backoff_delay": ("", "SELECT event_id, least(300.0, 2.0 * power(2.0, event_id % 10)) AS delay_s FROM events"),
     "generate_only_missing": ("pp b", "SELECT pp.paper_id, pp.generation, pp.page_index FROM pp WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.paper_id = pp.paper_id AND b.generation = pp.generation AND b.page_index = pp.page_index)"),
 }

@@ -62,4 +62,4 @@ def drain(stream: DataFrame, mode: str, checkpoint: str | None = None) -> DataFr
 
     query = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint or f"{shared}/at").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{shared}/out/batch=*").drop("batch")
+    return spark.read.parquet(f"{shared}/out").drop("batch")

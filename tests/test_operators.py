@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from quirestack.functions import geometry as G
 from quirestack.functions import text as X
-from quirestack.operators.retrieval import greedy_match, nearest_vectors, pack_evidence, section_outline, verify_claims
+from quirestack.operators.order import pack
+from quirestack.operators.retrieval import greedy_match, nearest_vectors, section_outline, verify_claims
 from quirestack.sources.documents import asset_uri, last_page, nest_pages, page_text, read_lines, shred_pages, write_csv, write_lines
 
 
@@ -34,7 +35,7 @@ def test_nearest_vectors(spark):
 def test_packing_skips_what_does_not_fit(spark):
     rows = [("q", "selected", 1, "aaaa"), ("q", "selected", 2, "b" * 40), ("q", "selected", 3, "cc"), ("q", "selected", 4, None), ("q", "other", 5, "x"), ("r", "selected", 1, "z" * 9)]
     df = spark.createDataFrame(rows, "question string, stage string, no int, text string")
-    got = {(r.question, r.stage, r.no): (r.tokens, r.kept, r.used_after) for r in pack_evidence(df, ["question"], "stage", ["no"], "text", {"selected": 8}).collect()}
+    got = {(r.question, r.stage, r.no): (r.tokens, r.kept, r.used_after) for r in pack(df, ["question"], "stage", ["no"], "text", {"selected": 8}).collect()}
     assert got == {("q", "selected", 1): (4, True, 4), ("q", "selected", 2): (40, False, 4), ("q", "selected", 3): (2, True, 6), ("q", "selected", 4): (0, True, 6), ("q", "other", 5): (1, False, 0), ("r", "selected", 1): (9, False, 0)}
 
 
@@ -88,9 +89,9 @@ def test_greedy_match(spark):
 
 
 def test_outline(spark):
-    rows = [("d", 1, 1, "a"), ("d", 2, 2, "b"), ("d", 3, 3, "c"), ("d", 4, 2, "e"), ("d", 5, 1, "f"), ("d", 6, 3, "g")]
-    got = {r.k: r.parent_heading for r in section_outline(spark.createDataFrame(rows, "d string, place int, level int, k string"), ["d"], "place", "level", "k").collect()}
-    assert got == {"a": None, "b": "a", "c": "b", "e": "a", "f": None, "g": "f"}
+    rows = [("d", 1, 1, "a"), ("d", 2, 2, "b"), ("d", 3, 3, "c"), ("d", 4, 2, "e"), ("d", 5, 1, "f"), ("d", 6, 3, "g"), ("d", 7, 14, "h"), ("d", 8, None, "i"), ("d", 9, 15, "j")]
+    got = {r.k: r.parent_heading for r in section_outline(spark.createDataFrame(rows, "d string, place int, level int, k string"), ["d"], ["place"], "level", "k").collect()}
+    assert got == {"a": None, "b": "a", "c": "b", "e": "a", "f": None, "g": "f", "h": "g", "i": None, "j": "h"}
 
 
 def test_documents(spark, tmp_path):
