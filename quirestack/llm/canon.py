@@ -249,19 +249,34 @@ def consistent_form(df: DataFrame, text: str, keys: list[str], output: str = "te
     return src.mapInArrow(run, schema)
 
 
-def alike_pairs(df: DataFrame, text: str, group: str, number: str) -> DataFrame:
-    """Pairs of rows of one ``group`` whose texts differ in their characters but print the same.
+def alike_classes(df: DataFrame, text: str, group: str, number: str) -> DataFrame:
+    """One row for each row of a ``group`` whose text prints like another text of the group with other characters.
 
-    Columns: ``<number>_a`` < ``<number>_b``.  Rows with null text, group or number take no part; an empty text is a text.
-    Repeated rows count once.  Only forms that occur with different texts are joined, so exact copies meet only there.
+    Columns: ``group``, ``number``, ``form_id`` (digest of the form), ``text_id`` (digest of the text), ``representative``
+    (the least number with this very text), ``variants`` (texts of the class) and ``members`` (rows of the class, each
+    once).  Rows with null text, group or number take no part; an empty text is a text.  Repeated rows count once.
     """
     rows = df.where(F.col(text).isNotNull() & F.col(group).isNotNull() & F.col(number).isNotNull())
     rows = rows.select(F.col(group).alias("_g"), F.col(number).alias("_n"), F.col(text).alias("_t"))
-    # both digests in place of the texts: 128 bits of the form, 64 of the characters
-    slim = consistent_form(rows, "_t", ["_g", "_n", "_t"], "_form").select("_g", "_n", F.unhex(F.md5("_form")).alias("_f"), F.xxhash64("_t").alias("_h"))
-    slim = cut(slim)
+    # digests of 128 bits in place of the form and the text
+    slim = cut(consistent_form(rows, "_t", ["_g", "_n", "_t"], "_form").select("_g", "_n", F.unhex(F.md5("_form")).alias("_f"), F.unhex(F.md5("_t")).alias("_h")))
     mixed = slim.groupBy("_g", "_f").agg(F.min("_h").alias("_lo"), F.max("_h").alias("_hi")).where("_lo <> _hi").select("_g", "_f")
     part = slim.join(mixed, ["_g", "_f"], "left_semi").distinct()
-    other = part.select("_g", "_f", F.col("_n").alias("_n2"), F.col("_h").alias("_h2"))
-    pairs = part.join(other, ["_g", "_f"]).where((F.col("_n") < F.col("_n2")) & (F.col("_h") != F.col("_h2")))
-    return pairs.select(F.col("_n").alias(f"{number}_a"), F.col("_n2").alias(f"{number}_b")).distinct()
+    texts = part.groupBy("_g", "_f", "_h").agg(F.min("_n").alias("representative"), F.count(F.lit(1)).alias("_m"))
+    classes = texts.groupBy("_g", "_f").agg(F.count(F.lit(1)).alias("variants"), F.sum("_m").alias("members"))
+    out = part.join(texts.drop("_m"), ["_g", "_f", "_h"]).join(classes, ["_g", "_f"])
+    return out.select(F.col("_g").alias(group), F.col("_n").alias(number), F.lower(F.hex("_f")).alias("form_id"), F.lower(F.hex("_h")).alias("text_id"), "representative", "variants", "members")
+
+
+def alike_pairs(df: DataFrame, text: str, group: str, number: str) -> DataFrame:
+    """Pairs of rows of one ``group`` whose texts differ in their characters but print the same: the classes of
+    ``alike_classes`` with the pairs between their different texts spelled out.
+
+    Columns: ``<number>_a`` < ``<number>_b``.  Only different texts of a class are joined with each other, by their
+    representatives; copies of a text meet through it and never one another.
+    """
+    part = cut(alike_classes(df, text, group, number).select(F.col(group).alias("_g"), F.col(number).alias("_n"), F.col("form_id").alias("_f"), F.col("representative").alias("_r")))
+    texts = part.select("_g", "_f", "_r").distinct()
+    links = texts.join(texts.select("_g", "_f", F.col("_r").alias("_r2")), ["_g", "_f"]).where("_r < _r2")
+    pairs = links.join(part, ["_g", "_f", "_r"]).join(part.select("_g", "_f", F.col("_n").alias("_n2"), F.col("_r").alias("_r2")), ["_g", "_f", "_r2"])
+    return pairs.where("_n <> _n2").select(F.least("_n", "_n2").alias(f"{number}_a"), F.greatest("_n", "_n2").alias(f"{number}_b")).distinct()

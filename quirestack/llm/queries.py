@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirestack.llm.bpe import encode_corpus
-from quirestack.llm.canon import alike_pairs, consistent_form
+from quirestack.llm.canon import alike_classes, alike_pairs, consistent_form
 from quirestack.llm.leak import leaks
 from quirestack.llm.ocr import Repair, noise
 from quirestack.llm.safety import THRESHOLD, fit, scored
@@ -28,6 +28,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return alike_pairs(printed, "text", "paper_id", "block_no")
 
 
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every block that prints like another text of its paper, with its class, its text's representative and the class's size."""
+    printed = table(spark, d, "blocks").where(F.col("source_kind") != "ocr")
+    return alike_classes(printed, "text", "paper_id", "block_no")
+
+
 def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     """The consistent form of every printed block, and whether ``text_normalised`` still belongs to it."""
     printed = table(spark, d, "blocks").where((F.col("source_kind") != "ocr") & F.col("text").isNotNull()).select("block_no", "text", "text_normalised").distinct()
@@ -94,7 +100,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return p8_scores(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(unsafe).alias("unsafe_documents")).withColumn("unsafe_rate", F.round(F.col("unsafe_documents") / F.col("documents"), 6))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_paragraphs, p4_found, p4_forms, p5_found, p5_pieces, p5_rebuilt, p6_ids, p7_found, p7_report, p8_scores, p8_found, p8_rates)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_paragraphs, p4_found, p4_classes, p4_forms, p5_found, p5_pieces, p5_rebuilt, p6_ids, p7_found, p7_report, p8_scores, p8_found, p8_rates)}
 
 SQL = {
     "p5_rebuilt": """

@@ -391,11 +391,13 @@ class _Pool:
     def add(self, s: Sentences, at: np.ndarray, priority: np.ndarray, votes: np.ndarray, document: np.ndarray) -> None:
         if self.least is not None:
             at = at[priority[at] < self.least]
-        at = at[np.argsort(priority[at], kind="stable")[: self.most]]
+        order = at[np.lexsort((document[at], votes[at], priority[at]))]
+        at = order[np.r_[True, np.diff(priority[order]) != 0]][: self.most] if len(order) else order
         for i in at.tolist():
-            p = int(priority[i])
-            if p not in self.held:
-                self.held[p] = (int(votes[i]), int(document[i]), s.features_of(i))
+            p, mine = int(priority[i]), (int(votes[i]), int(document[i]))
+            old = self.held.get(p)
+            if old is None or mine < old[:2]:  # of equal sentences the same one wherever they come from
+                self.held[p] = (*mine, s.features_of(i) if old is None else old[2])
         if len(self.held) > 2 * self.most:
             kept = sorted(self.held)[: self.most]
             self.held, self.least = {p: self.held[p] for p in kept}, kept[-1]
@@ -446,7 +448,7 @@ def fit(docs: DataFrame, text: str, key: str, labels: DataFrame | None = None, l
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(some, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], names=["kind", "pattern", "sentences", "priority", "document", "slots"])
 
     found = cut(src.mapInArrow(gather, GATHERED))
-    patterns = found.where("kind < 0").groupBy("pattern").agg(F.sum("sentences").alias("n")).toPandas()
+    patterns = found.where("kind < 0").groupBy("pattern").agg(F.sum("sentences").alias("n")).toPandas().sort_values("pattern")
     model = LabelModel(patterns["pattern"].to_numpy(np.int64), patterns["n"].to_numpy(np.int64)) if len(patterns) else None
     parts = [_least(found.where(F.col("kind") == kind), most) for kind, most in enumerate(BOUNDS)]
     rows, q, kind, owner = [], np.zeros(0), np.zeros(0, int), np.zeros(0, np.int64)

@@ -4,7 +4,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quirestack.llm.canon import alike_pairs, canonical_array, consistent_form
+from quirestack.llm.canon import alike_classes, alike_pairs, canonical_array, consistent_form
 
 
 def form(*texts):
@@ -41,3 +41,13 @@ def test_pairs(spark):
     assert got == {(1, 2), (1, 3), (7, 8)}
     assert alike_pairs(df.limit(0), "text", "paper_id", "block_no").count() == 0
     assert consistent_form(df.withColumnRenamed("block_no", "text_form"), "text", ["text_form"]).columns == ["in_text_form", "text_form"]
+
+
+def test_classes_and_pairs_agree(spark):
+    variants = ["five", "\ufb01ve", "f\u200bive", "\uff46ive"]
+    rows = [(k, "p", variants[k % 7 % 4]) for k in range(60)] + [(100 + k, "q", "five") for k in range(9)]
+    df = spark.createDataFrame(rows, "block_no long, paper_id string, text string")
+    pairs = {tuple(r) for r in alike_pairs(df, "text", "paper_id", "block_no").collect()}
+    assert pairs == {(a, b) for a, g, s in rows for b, h, t in rows if a < b and g == h and s != t}
+    got = {r.block_no: (r.representative, r.variants, r.members) for r in alike_classes(df, "text", "paper_id", "block_no").collect()}
+    assert got == {a: (min(b for b, h, t in rows if h == "p" and t == s), 4, 60) for a, g, s in rows if g == "p"}

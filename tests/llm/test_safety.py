@@ -73,3 +73,36 @@ def test_linear():
     rows = [np.array([1, 5]), np.array([2, 5])] * 50
     m = Linear(rows, np.array([1.0, 0.0] * 50), np.ones(100))
     assert m.w[1] > 0 > m.w[2]
+
+
+def test_the_prior_has_no_cap():
+    """A corpus in which three sentences of ten are unsafe."""
+    rng = np.random.default_rng(3)
+    true = rng.random(30000) < 0.3
+    bits = np.zeros(30000, np.int64)
+    for name in ("insult_you", "strong", "insult_pair", "insult_person", "dismiss"):
+        bits |= np.where(rng.random(30000) < np.where(true, 0.6, 0.01), 1 << VOTERS.index(name), 0)
+    p, c = np.unique(bits, return_counts=True)
+    m = LabelModel(p, c)
+    assert 0.2 < 1 - m.prior[0] < 0.4
+    assert ((m.posterior(bits) > 0.5) == true).mean() > 0.95
+
+
+def test_one_model_whatever_the_split(spark):
+    """The same sentences in one part and in nine; one sentence ten thousand times takes one place."""
+    texts = [" ".join(t.format(THINGS[(k + j) % 8]) for j, t in enumerate(CALM)) + (" " + HARSH[k % 4].format(THINGS[k % 8]) if k % 9 == 0 else "") for k in range(300)]
+    texts += 2000 * [" ".join(5 * ["Shut your mouth you pathetic moron."])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, f"a{a}", int(k % 9 == 0)) for k in range(0, 90, 3) for a in range(2)], "doc_id long, annotator string, unsafe int")
+    one, nine = (fit(docs.repartition(n), "text", "doc_id", labels)[1] for n in (1, 9))
+    assert np.array_equal(np.flatnonzero(one.w), np.flatnonzero(nine.w)) and np.allclose(one.w, nine.w)
+
+
+def test_sentences_of_other_make():
+    """Sentences that no table holds: some voter for speaks on each harmful one, none on the others."""
+    harmful = ["You are nothing but a useless bastard, get lost.", "I will find you and cut your throat.", "Those people are vermin and should be driven out.", "Halt die Fresse, du dummes Schwein!", "Ta gueule, sale connard.", "Vete al infierno, hijo de puta.", "Vaffanculo, stronzo.", "She moaned as he kissed her naked breasts in bed.", "Send me nudes, I am so horny.", "What a f**king l.o.s.e.r you are, you m0ron."]
+    harmless = ["The committee met on Tuesday and approved the budget.", "Der Zug hält um neun Uhr in Bremen.", "We thank the editors for their patience.", "The garden opens at noon.", "Les résultats sont présentés plus loin."]
+    for t in harmful:
+        assert any(x - {"technical", "number", "nobody"} for x in votes(t)), t
+    for t in harmless:
+        assert not any(x - {"technical", "number", "nobody"} for x in votes(t)), t
