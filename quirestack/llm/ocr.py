@@ -30,6 +30,8 @@ from quirestack.session import bounded, cut
 # What a scanner reads (left) for what is printed (right).
 CONFUSIONS = "c:e e:c 0:o o:a a:o f:t t:f 5:s ri:n !:i 1:l 1:i l:i i:l cl:d d:cl ii:u u:ii rn:m m:rn 6:b b:6 b:h h:b q:g g:q 9:g m:in in:m vv:w w:vv h:li li:h n:ri |:l nn:m 8:b 2:z 0:c w:vi"
 READ_AS = [tuple(x.split(":")) for x in CONFUSIONS.split()]
+#: What a letter may be read as besides.
+STRANGE = "abcdefghijklmnopqrstuvwxyz0123456789!|@"
 #: Block types that are furniture by themselves, those that admit to it, and those that hold no prose unless their text says so.
 FURNITURE_TYPES = ("header", "footer", "page_number")
 ADMITTED = (*FURNITURE_TYPES, "title")
@@ -477,6 +479,9 @@ def _rank_model(known: DataFrame, sample: list[tuple[str, int]]) -> Boost:
             truth.setdefault(w, "")
             continue
         fits = [(i, r, p) for r, p in READ_AS for i in range(len(w)) if w.startswith(p, i)]
+        if k % 12 in (1, 7):  # now and then a misreading of no usual kind: any letter or sign in place of one letter
+            i = int(rng.integers(0, len(w)))
+            fits = [(i, r, w[i]) for r in STRANGE[int(rng.integers(0, len(STRANGE)))] if r != w[i]]
         if fits:
             i, r, p = fits[int(rng.integers(0, len(fits)))]
             made = w[:i] + r + w[i + len(p) :]
@@ -593,7 +598,10 @@ class Repair:
         odd = read.groupBy("word").agg(F.count(F.lit(1)).alias("seen")).join(self.vocabulary, "word", "left").where((F.coalesce("clean", F.lit(0)) * 20 < F.col("seen")) | F.col("rival").isNotNull()).select("word", "seen", F.coalesce("clean", F.lit(0)).alias("own"))
         # a compound that no clean text has is put right part by part
         parts = cut(odd.where("word like '%-%'").select(F.col("word").alias("whole"), F.posexplode(F.split("word", "-")).alias("at", "word")))
-        more = parts.where(F.length("word") > 2).groupBy("word").agg(F.count(F.lit(1)).alias("seen")).join(self.vocabulary, "word", "left").where("clean is null or rival is not null").select("word", "seen", F.coalesce("clean", F.lit(0)).alias("own"))
+        # a part that compounds of clean text have is a word of its own
+        held = self.vocabulary.where("word like '%-%'").select(F.explode(F.split("word", "-")).alias("word"), "clean").groupBy("word").agg(F.sum("clean").alias("inside"))
+        more = parts.where(F.length("word") > 2).groupBy("word").agg(F.count(F.lit(1)).alias("seen")).join(self.vocabulary, "word", "left").join(held, "word", "left")
+        more = more.withColumn("own", F.coalesce("clean", F.lit(0)) + F.coalesce("inside", F.lit(0))).where("own * 20 < seen or rival is not null").select("word", "seen", "own")
         best = cut(_rank(_candidates(cut(odd.union(more).groupBy("word").agg(F.max("seen").alias("seen"), F.max("own").alias("own"))), self.known), _rank_model(self.known, sample)))
         put = parts.join(best, "word", "left").groupBy("whole").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("right", "word").alias("w")))).alias("p"), F.min("sureness").alias("sureness"))
         compounds = put.where("sureness is not null").select(F.col("whole").alias("word"), F.array_join(F.transform("p", lambda e: e["w"]), "-").alias("right"), "sureness")

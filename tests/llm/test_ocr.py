@@ -177,3 +177,22 @@ def test_wrong_types_and_gaps_in_the_order(spark, made):
     rows += [at(60_004, "paragraph", 810, "this is the mani-"), at(60_005, "paragraph", 812, None), at(60_006, "equation", 813, "y = 3"), at(60_007, "paragraph", 9_000, "fold of every kernel.")]
     got = {(x.block_no, x.noise_kind, x.found_value) for x in noise(spark.createDataFrame(rows, SCHEMA)).where("block_no > 60000").collect()}
     assert got == {(60_001, "furniture_line", "2"), (60_002, "joined_word", "uniformly"), (60_004, "joined_word", "manifold")}
+
+
+def test_misreadings_that_are_not_usual(spark):
+    """Misreadings that are in no list: three of four are put right, what is put right is right, and real words stay."""
+    r = random.Random(9)
+    kinds = [("v", "y"), ("y", "v"), ("s", "z"), ("r", "v"), ("k", "lc"), ("p", "q"), ("e", "6"), ("a", "@")]
+    long = [w for w in BASE if len(w) > 6 and w.isalpha()]
+    texts, truth = [], {}
+    for k in range(60):
+        w = r.choice(long)
+        fits = [(a, b) for a, b in kinds if a in w]
+        if fits:
+            a, b = r.choice(fits)
+            bad = w.replace(a, b, 1)
+            texts.append(("paragraph", k, f"this is the {bad} of every {r.choice(long)} in a sample"))
+            truth[len(texts) - 1, plain(bad)] = w
+    found = {(x.block_no, x.read_word): x.right_word for x in Repair(spark.createDataFrame(scans(texts, clean_texts()), SCHEMA)).corrected_words().collect()}
+    assert all(truth.get(k) == v for k, v in found.items())
+    assert sum(found.get(k) == w for k, w in truth.items()) >= 0.75 * len(truth)
