@@ -33,7 +33,7 @@ def visible(spans: DataFrame, views: DataFrame, group: list[str], overscan: int
     share = F.least(F.col("top") + F.col("height"), F.col("view_top") + F.col("view_height")) - F.greatest("top", "view_top")
     last = spans.groupBy(*group).agg(F.max("place").alias("_last"))
     shown = both.withColumn("_share", share).where("_share > 0").groupBy(*views.columns).agg(F.min("place").alias("_a"), F.max("place").alias("_z"), F.max(F.struct("_share", (-F.col("place")).alias("p"))).alias("_m"))
-    return views.join(shown, views.columns, "left").join(last, group, "left").select(*views.columns, F.greatest(F.col("_a") - overscan, F.lit(0)).cast("int").alias("first_place"), F.least(F.col("_z") + overscan, F.col("_last")).cast("int").alias("last_place"), (-F.col("_m.p")).cast("int").alias("main_place"))
+    return views.join(shown, views.columns, "left").join(last, group, "left").select(*views.columns, F.when(F.col("_a").isNotNull(), F.greatest(F.col("_a") - overscan, F.lit(0))).cast("int").alias("first_place"), F.when(F.col("_z").isNotNull(), F.least(F.col("_z") + overscan, F.col("_last"))).cast("int").alias("last_place"), (-F.col("_m.p")).cast("int").alias("main_place"))
 
 
 def box_at(points: DataFrame, boxes: DataFrame, page: list[str], near: float = 0.0) -> DataFrame:

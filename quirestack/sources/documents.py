@@ -52,3 +52,32 @@ def page_text(text: Column, number: int) -> Column:
 def last_page(text: Column) -> Column:
     """The largest page marker, 1 if there is none."""
     return F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit(r"\[Page ([0-9]+)\]"), F.lit(1)), lambda n: n.cast("int"))), F.lit(1))
+
+
+RELATION = "rel_type from_block to_block confidence provenance".split()
+PAGE = "page_index page_id width height rotation user_unit media_box has_text_layer is_scanned confidence".split()
+
+
+def nest(rows: DataFrame, keys: list[str], fields: list[str], name: str) -> DataFrame:
+    """One row for each value of ``keys`` with its rows as an array of structs, repeated rows once."""
+    return rows.select(*keys, *fields).distinct().groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))
+
+
+def shred(documents: DataFrame, keys: list[str], column: str, schema: str) -> DataFrame:
+    """The rows of a JSON array of objects, one each, with ``keys`` and ``array_position``; what is no such array gives none."""
+    return documents.select(*keys, F.posexplode(F.from_json(column, f"array<struct<{schema}>>")).alias("array_position", "b")).where("b is not null").select(*keys, "array_position", "b.*")
+
+
+def without_nulls(row: Column) -> Column:
+    """A struct as JSON without its null fields."""
+    return F.to_json(row, {"ignoreNullFields": "true"})
+
+
+def keyed_answers(documents: DataFrame, column: str, schema: str) -> DataFrame:
+    """A JSON object of answers by question id as rows ``question_id`` and the answer's fields; null answers are left out."""
+    return documents.select(F.explode(F.from_json(column, f"map<string,struct<{schema}>>")).alias("question_id", "a")).where("a is not null").select("question_id", "a.*")
+
+
+def statements(text: Column) -> Column:
+    """The statements of a script, parted by lines that hold nothing but --;; , without those that are blank."""
+    return F.filter(F.transform(F.split(text, r"(?m)^[ \t]*--;;[ \t]*$"), lambda s: F.trim(F.regexp_replace(s, r"^\s+|\s+$", ""))), lambda s: s != "")
