@@ -119,7 +119,21 @@ WITH RECURSIVE b AS (SELECT DISTINCT ON (paper_id, generation, block_id) 'block'
         JOIN rings g ON (g.forest, g.paper_id, g.generation, g.node_id) = (r.forest, r.paper_id, r.generation, r.cur) GROUP BY ALL)
 """
 
+_PLAIN = "CASE WHEN json_valid({0}) AND json_type({0}) = 'VARCHAR' THEN {0}->>'$' ELSE {0} END"
+#: The records as objects, read through up to three serialisations, and all objects and arrays in them with their pointers.
+_OBJECTS = f"""WITH RECURSIVE raw AS (SELECT DISTINCT 'block' AS record_kind, paper_id, generation, block_id AS record_id, payload AS j0 FROM blocks WHERE payload IS NOT NULL
+        UNION ALL SELECT DISTINCT 'canvas', paper_id, 0, node_id, node_data FROM canvas_nodes WHERE node_data IS NOT NULL),
+    one AS (SELECT * EXCLUDE j0, {_PLAIN.format('j0')} AS j1 FROM raw), two AS (SELECT * EXCLUDE j1, {_PLAIN.format('j1')} AS j2 FROM one), three AS (SELECT * EXCLUDE j2, {_PLAIN.format('j2')} AS j3 FROM two),
+    o AS (SELECT * EXCLUDE j3, j3::JSON AS body, row_number() OVER () AS rid FROM three WHERE json_valid(j3) AND json_type(j3) = 'OBJECT'),
+    t AS (SELECT o.rid, j.id, j.parent, j.key, j.type, j.value FROM o, json_tree(o.body) j WHERE j.type IN ('OBJECT', 'ARRAY')),
+    p AS (SELECT rid, id, type, value, '' AS ptr, '' AS up FROM t WHERE parent IS NULL
+        UNION ALL SELECT t.rid, t.id, t.type, t.value, p.ptr || '/' || replace(replace(t.key, '~', '~0'), '/', '~1'), CASE WHEN p.type = 'OBJECT' THEN p.ptr ELSE p.up END FROM p JOIN t ON t.rid = p.rid AND t.parent = p.id)"""
+_RECORD = "record_kind, paper_id, generation::INTEGER AS generation, record_id"
+
 SQL = {
+    "p1_found": _OBJECTS + f" SELECT DISTINCT {_RECORD}, up AS parent_path, ptr AS object_path FROM p JOIN o USING (rid) WHERE type = 'OBJECT' AND ptr <> ''",
+    "p1_cells": _OBJECTS + f" SELECT {_RECORD}, up AS parent_path, ptr AS object_path, value->>'$.cell_id' AS cell_id, try_cast(value->>'$.r' AS INTEGER) AS row_no, try_cast(value->>'$.c' AS INTEGER) AS col_no, value->>'$.text' AS cell_text, try_cast(value->>'$.is_header' AS BOOLEAN) AS is_header FROM p JOIN o USING (rid) WHERE type = 'OBJECT' AND regexp_full_match(ptr, '/grid/cells/[0-9]+')",
+    "p1_figure_panels": _OBJECTS + f" SELECT {_RECORD}, ptr AS object_path, regexp_extract(ptr, '([0-9]+)$', 1)::INTEGER AS array_position, value->>'$.label' AS panel_label, value->>'$.source' AS panel_source, try_cast(value->>'$.confidence' AS DOUBLE) AS panel_confidence FROM p JOIN o USING (rid) WHERE type = 'OBJECT' AND regexp_full_match(ptr, '/panels/[0-9]+')",
     "p2_found": _TREES + "SELECT forest, paper_id, generation, node_id, root_id, node_depth::INTEGER AS node_depth FROM down UNION ALL SELECT forest, paper_id, generation, node_id, root_id, -1 FROM cyc",
     "ancestors_of_block": _TREES + "SELECT paper_id, generation, node_id AS block_id, unnest(node_path[1:-2]) AS ancestor_id, (unnest(range(len(node_path) - 1, 0, -1)))::INTEGER AS distance FROM down WHERE node_depth > 0 AND forest = 'block'",
     "top_level_ancestor": _TREES + "SELECT paper_id, generation, node_id AS block_id, root_id AS top_id, node_depth::INTEGER AS node_depth FROM down WHERE forest = 'block'",
