@@ -38,16 +38,16 @@ SHORT = 8
 # phrase; words are lower case, without accents.
 LISTS = {
     "you": "you your youre yours yourself yourselves u ur du dich dir dein deine deinen deiner euch ihr eure tu toi te ta ton tes vous votre vos tuyo eres tus ti contigo usted ustedes vosotros voce sei tuo tua je jij jouw ty twoj sen senin ты тебя тебе твой твоя вы вас",
-    "person": "he she him her his hers everybody nobody somebody people man men woman women girl girls boy boys guy guys lady mother mom wife husband sister brother son daughter neighbour neighbor mutter frau mann mere femme homme fille madre mujer hombre alguien personne jemand who_should he_is she_is",
+    "person": "he she him her his hers everybody nobody somebody people man men woman women girl girls boy boys guy guys lady mother mom wife husband sister brother son daughter neighbour neighbor mutter frau mann mere femme homme fille madre mujer hombre alguien personne jemand",
     "group": "peoples folk folks race races breed tribe immigrants migrants foreigners refugees muslims jews christians blacks whites asians arabs gypsies gays lesbians homosexuals disabled all_of_them they_all these_people those_people that_lot every_one_of_them their_kind your_kind your_lot alle_diese auslander fremde tous_ces ces_gens etrangers immigres todos_esos esa_gente inmigrantes people their_race that_race whole_race their_blood their_sort",
     "insult": "idiot idiots idiotic moron morons stupid dumb fool fools imbecile cretin bastard bastards halfwit dimwit nitwit maggot scum garbage trash worthless pathetic ugly disgusting clown loser losers pig pigs swine worm cockroach parasite parasites vermin rat rats filthy dirty filth liar liars thief thieves coward cowards disgrace animals inferior retard retarded freak creep jerk asshole bitch bitches whore slut cunt dick prick wanker twat shit shithead fucker fucking dumbass brainless subhuman scumbag lowlife degenerate savages repulsive vile stinking",
     "strong": "scumbag scumbags pervert perverts creep moron morons imbecile cretin bastard bastards halfwit dimwit nitwit asshole assholes bitch bitches whore whores slut sluts cunt cunts wanker wankers twat retard retards subhuman subhumans untermensch fucker motherfucker dickhead shithead dumbass douchebag jackass lowlife connard connasse salaud salope ordure encule batard abruti arschloch wichser fotze hurensohn missgeburt schlampe drecksau dummkopf vollidiot hijo_de_puta cabron gilipollas pendejo puta puto bastardo maricon mierda_de filho_da_puta caralho stronzo bastardo vaffanculo klootzak kurwa сука блядь мразь ублюдок",
     "foreign_insult": "dumm dumme dummer blod idioten trottel depp versager widerlich widerlicher ekelhaft abschaum dreck dreckig drecksau schwein schweine maul schlampe gesindel ungeziefer lugner feigling wertlos cretin connard ordure pauvre gueule vermine voleur voleurs menteur crapule dechet racaille degueulasse imbecil inutil maldito asco basura idiota ladron ladrones mentiroso cobarde estupido estupida cerdo cerda asqueroso escoria hurensohn salope putain idiota cretino schifo feccia lixo идиот дурак тварь урод",
-    "threat": "where_you_live watch_your_back get_hurt get_you_for_this come_for_you coming_for_you never_wake wake_up_dead i_hope_you hope_you_die hope_you_suffer hope_he_dies hope_she_dies hope_they kill_you kill_him kill_her kill_them kill_yourself kill_your murder_you beat_you beat_you_up hurt_you find_you hunt_you break_your break_every cut_your slit_your your_throat smash_your bash_your punch_you stab_you shoot_you shoot_them hang_them gas_them burn_them burn_you_alive exterminate_them wiped_out driven_out send_them_back back_where_they_came deport_them should_be_shot should_be_hanged should_all_die deserve_to_die deserves_to_die better_off_dead you_are_dead you_will_regret you_will_pay make_you_pay rot_in_hell burn_in_hell drop_dead go_die bringe_dich_um bring_dich_um schlage_dich breche_dir ich_finde_dich verrecke stirb_endlich je_vais_te_tuer te_tuer te_casser va_crever creve va_mourir te_voy_a_matar te_mato te_mataria ojala_te muerete vete_al_infierno te_voy_a_encontrar ti_ammazzo vou_te_matar",
+    "threat": "where_you_live watch_your_back get_hurt get_you_for_this come_for_you coming_for_you i_hope_you hope_you_die hope_you_suffer hope_he_dies hope_she_dies hope_they kill_you kill_him kill_her kill_them kill_yourself kill_your murder_you beat_you beat_you_up hurt_you find_you hunt_you break_your break_every cut_your slit_your your_throat smash_your bash_your punch_you stab_you shoot_you shoot_them hang_them gas_them burn_them burn_you_alive exterminate_them wiped_out driven_out send_them_back back_where_they_came deport_them should_be_shot should_be_hanged should_all_die deserve_to_die deserves_to_die better_off_dead you_are_dead you_will_regret you_will_pay make_you_pay rot_in_hell burn_in_hell drop_dead go_die bringe_dich_um bring_dich_um schlage_dich breche_dir ich_finde_dich verrecke stirb_endlich je_vais_te_tuer te_tuer te_casser va_crever creve va_mourir te_voy_a_matar te_mato te_mataria ojala_te muerete vete_al_infierno te_voy_a_encontrar ti_ammazzo vou_te_matar",
     "dismiss": "shut_your shut_up your_mouth get_lost go_to_hell crawl_back screw_you fuck_off fuck_you piss_off get_out_of_here nobody_wants_you nobody_likes_you ferme_ta ta_gueule la_gueule degage va_te_faire halt_dein halt_die dein_maul die_fresse verschwinde verpiss_dich hau_ab cierra_la la_boca largate vete_a_la callate cala_a_boca",
-    "dehuman": "vermin parasites liars thieves filthy inferior criminals rapists savages animals cockroaches plague infest infestation invaders subhuman contaminate sterilised sterilized exterminated deported driven wiped cleansed no_place never_trust cannot_be_trusted all_the_same ungeziefer vertrieben raus abschieben verbrecher schmarotzer vermine parasites chasse dehors voleurs criminels basura parasitos ladrones fuera expulsar pigsty have_no_place cannot_even dirty lie steal smell keep_them keep_them_away kicked_out better_off_without less_than_human",
-    "sex_strong": "porn porno pornographic orgasm orgasms orgasmic horny nudes blowjob handjob cumshot dildo masturbate masturbating masturbation pussy tits titties boobs uncensored erotic xxx milf threesome gangbang hardcore_sex anal_sex oral_sex camgirl camgirls cam_girls escort_girls sexting geile geile_frauen nackte nackt cachonda cachondo desnuda desnudo desnudas baise baiser chatte fick ficken titten muschi polla tetas foder buceta scopare troia порно секс singles_near naked_girls naked_women hot_girls hot_singles hot_horny",
-    "sex": "naked nude nudes nudity sex sexual sexy bed undressed undress undressing stripped strip striptease thigh thighs breast breasts nipples buttocks panties lingerie kiss kissed kissing lick licked licking suck sucked moan moaned moaning thrusting climaxed aroused arousal seduce seduced lust caress caressed grope groped genitals nackt nackte brust bruste schenkel stohnen sexo pechos piernas beso gemidos seins cuisses caresse caresser gemir bodies sweaty wet lips legs lover lovers mouth",
+    "dehuman": "vermin parasites liars thieves filthy inferior criminals rapists savages animals cockroaches plague infest infestation invaders subhuman exterminated deported driven wiped cleansed never_trust cannot_be_trusted all_the_same ungeziefer vertrieben raus abschieben verbrecher schmarotzer vermine parasites chasse dehors voleurs criminels basura parasitos ladrones fuera expulsar less_than_human",
+    "sex_strong": "porn porno pornographic orgasm orgasms orgasmic horny nudes blowjob handjob cumshot dildo masturbate masturbating masturbation pussy tits titties boobs uncensored erotic xxx milf threesome gangbang hardcore_sex anal_sex oral_sex camgirl camgirls cam_girls escort_girls sexting geile geile_frauen nackte nackt cachonda cachondo desnuda desnudo desnudas baise baiser chatte fick ficken titten muschi polla tetas foder buceta scopare troia порно секс naked_girls naked_women hot_girls",
+    "sex": "naked nude nudes nudity sex sexual sexy bed undressed undress undressing stripped strip striptease thigh thighs breast breasts nipples buttocks panties lingerie kiss kissed kissing lick licked licking suck sucked moan moaned moaning thrusting climaxed aroused arousal seduce seduced lust caress caressed grope groped genitals nackt nackte brust bruste schenkel stohnen sexo pechos piernas beso gemidos seins cuisses caresse caresser gemir wet lips legs lover lovers mouth",
     "violence": "break bones neck hurt choke die dead death kill killed murder beat burn stab shoot hell blood throat knife gun bullet corpse strangle drown smash brechen tot tod toten blut messer mort mourir tuer sang couteau muerte morir matar sangre cuchillo",
     "technical": "data dataset model models algorithm method methods analysis study studies experiment experiments results result figure table section theorem lemma proof equation sample samples variable variables parameter parameters process processes system systems server memory code software file files function class classes network training test tests baseline patients clinical cells cell mice species protein gene temperature pressure reaction solvent energy statistical estimate estimates measured measurement corpus annotation classifier detector filter paper authors literature quoted dictionary linguistics",
 }
