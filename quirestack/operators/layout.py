@@ -2,131 +2,122 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from quirestack.operators.grouped import per_group
 
 PAGE = ["paper_id", "generation", "page_index"]
 SUPPRESS = 0.5
 NEAR = 12.0
+#: A block of more than this share of the page's used width is full-width.
+WIDE = 0.6
 
 
-def best_gutter(boxes: list[tuple[float, float]], low: float, high: float) -> tuple[float, int]:
-    """Where fewest boxes are cut between low and high, in steps of one point; ties go to the most even split, then the left."""
-    best = None
-    x = low
-    while x <= high:
-        cut = sum(a < x < b for a, b in boxes)
-        left, right = sum(b <= x for _, b in boxes), sum(a >= x for a, _ in boxes)
-        key = (cut, -min(left, right), x)
-        best = key if best is None or key < best else best
-        x += 1.0
-    return (best[2], best[0]) if best else (0.0, 0)
+def best_gutter(left: np.ndarray, right: np.ndarray, low: float, high: float) -> tuple[float, int, int, int]:
+    """Where fewest boxes are cut between low and high, in steps of one point, how many are cut, and how many lie on either
+    side; ties go to the most even split, then the left."""
+    x = np.arange(low, high + 1e-9)
+    a, b = np.sort(left), np.sort(right)
+    before, behind = np.searchsorted(b, x, "right"), len(a) - np.searchsorted(a, x, "left")
+    cut = len(a) - before - behind
+    at = np.lexsort((x, -np.minimum(before, behind), cut))[0]
+    return float(x[at]), int(cut[at]), int(before[at]), int(behind[at])
 
 
 def page_columns(boxes: DataFrame, most_cut: float = 0.2) -> DataFrame:
     """One row for each page: ``column_count`` (1 or 2) and ``gutter_x`` (null for one column).
 
-    ``boxes``: paper_id, generation, page_index, block_no, x0, x1.  Two columns need boxes on both sides and at most the
+    ``boxes``: paper_id, generation, page_index, block_no, x0, x1.  Two columns need two boxes on both sides and at most the
     share ``most_cut`` of boxes across the gutter.
     """
 
-    def run(rows: list[dict]) -> list[tuple]:
-        spans = [(r["x0"], r["x1"]) for r in rows if r["x0"] is not None and r["x1"] is not None]
-        if len(spans) < 4:
-            return [(1, None)]
-        low, high = min(a for a, _ in spans), max(b for _, b in spans)
-        x, cut = best_gutter(spans, round(low + 0.3 * (high - low)), round(low + 0.7 * (high - low)))
-        left, right = sum(b <= x for _, b in spans), sum(a >= x for a, _ in spans)
-        return [(2, x)] if min(left, right) >= 2 and cut <= most_cut * len(spans) else [(1, None)]
+    def run(g: dict[str, np.ndarray]) -> tuple:
+        a, b = g["x0"], g["x1"]
+        fine = ~(np.isnan(a) | np.isnan(b)) & (a < b)
+        a, b = a[fine], b[fine]
+        if len(a) < 4:
+            return [1], [np.nan]
+        low, high = a.min(), b.max()
+        x, cut, before, behind = best_gutter(a, b, round(low + 0.3 * (high - low)), round(low + 0.7 * (high - low)))
+        return ([2], [x]) if min(before, behind) >= 2 and cut <= most_cut * len(a) else ([1], [np.nan])
 
-    return per_group(boxes, PAGE, ["block_no"], run, "column_count int, gutter_x double")
+    return per_group(boxes.select(*PAGE, "block_no", "x0", "x1"), PAGE, ["block_no"], run, "column_count int, gutter_x double")
 
 
 def column_order(boxes: DataFrame) -> DataFrame:
     """``block_no`` and ``layout_rank``: full-width blocks part the page into slabs; within a slab the left column comes first."""
-
-    def run(rows: list[dict]) -> list[tuple]:
-        spans = [(r["x0"], r["x1"]) for r in rows]
-        low, high = min(a for a, _ in spans), max(b for _, b in spans)
-        middle = (low + high) / 2
-        wide = {r["block_no"] for r in rows if r["x1"] - r["x0"] > 0.6 * (high - low)}
-        slab, out = 0, []
-        for r in sorted(rows, key=lambda r: (r["y0"], r["x0"], r["block_no"])):
-            if r["block_no"] in wide:
-                out.append((slab + 1, 0, r))
-                slab += 2
-            else:
-                out.append((slab, int((r["x0"] + r["x1"]) / 2 > middle), r))
-        out.sort(key=lambda t: (t[0], t[1], t[2]["y0"], t[2]["x0"], t[2]["block_no"]))
-        return [(t[2]["block_no"], i) for i, t in enumerate(out)]
-
-    return per_group(boxes, PAGE, ["block_no"], run, "block_no long, layout_rank int")
+    ends = boxes.groupBy(*PAGE).agg(F.min("x0").alias("_lo"), F.max("x1").alias("_hi"))
+    wide = F.col("x1") - F.col("x0") > WIDE * (F.col("_hi") - F.col("_lo"))
+    rows = boxes.join(ends, PAGE).withColumn("_w", wide.cast("int"))
+    before = F.coalesce(F.sum("_w").over(W.partitionBy(*PAGE).orderBy("y0", "x0", "block_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    side = F.when(F.col("_w") == 1, 0).otherwise(((F.col("x0") + F.col("x1")) / 2 > (F.col("_lo") + F.col("_hi")) / 2).cast("int"))
+    rows = rows.withColumns({"_slab": 2 * before + F.col("_w"), "_side": side})
+    return rows.select(*PAGE, "block_no", (F.row_number().over(W.partitionBy(*PAGE).orderBy("_slab", "_side", "y0", "x0", "block_no")) - 1).alias("layout_rank"))
 
 
 def suppressed(boxes: DataFrame) -> DataFrame:
     """``block_no`` and ``kept``: from the largest region down, one that a kept region covers by more than half goes."""
 
-    def run(rows: list[dict]) -> list[tuple]:
-        kept: list[dict] = []
-        out = []
-        for r in sorted(rows, key=lambda r: (-(r["x1"] - r["x0"]) * (r["y1"] - r["y0"]), r["block_no"])):
-            own = max((r["x1"] - r["x0"]) * (r["y1"] - r["y0"]), 1e-9)
-            good = all(_shared(r, k) / own <= SUPPRESS for k in kept)
-            kept += [r] if good else []
-            out.append((r["block_no"], good))
-        return out
+    def run(g: dict[str, np.ndarray]) -> tuple:
+        x0, y0, x1, y1, no = (g[c] for c in ("x0", "y0", "x1", "y1", "block_no"))
+        area = (x1 - x0) * (y1 - y0)
+        order = np.lexsort((no, -area))
+        x0, y0, x1, y1, own = x0[order], y0[order], x1[order], y1[order], np.maximum(area[order], 1e-9)
+        kept = np.zeros(len(no), bool)
+        for i in range(len(no)):
+            k = np.flatnonzero(kept[:i])
+            shared = np.maximum(0, np.minimum(x1[i], x1[k]) - np.maximum(x0[i], x0[k])) * np.maximum(0, np.minimum(y1[i], y1[k]) - np.maximum(y0[i], y0[k]))
+            kept[i] = not (shared / own[i] > SUPPRESS).any()
+        return no[order], kept
 
-    return per_group(boxes, PAGE, ["block_no"], run, "block_no long, kept boolean")
+    return per_group(boxes.select(*PAGE, "block_no", "x0", "y0", "x1", "y1"), PAGE, ["block_no"], run, "block_no long, kept boolean")
 
 
 def clusters(boxes: DataFrame, near: float = NEAR) -> DataFrame:
     """``block_no`` and ``cluster_no`` (the smallest block_no of the cluster): boxes within ``near`` points are connected."""
 
-    def run(rows: list[dict]) -> list[tuple]:
-        up = {r["block_no"]: r["block_no"] for r in rows}
-
-        def find(x: int) -> int:
-            while up[x] != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
-
-        by_left = sorted(rows, key=lambda r: r["x0"])
-        active: list[dict] = []
-        for r in by_left:
-            active = [a for a in active if a["x1"] + near >= r["x0"]]
-            for a in active:
-                if a["y0"] - near <= r["y1"] and r["y0"] - near <= a["y1"]:
-                    x, y = find(a["block_no"]), find(r["block_no"])
-                    up[max(x, y)] = min(x, y)
-            active.append(r)
-        return [(k, find(k)) for k in sorted(up)]
-
-    return per_group(boxes, PAGE, ["block_no"], run, "block_no long, cluster_no long")
+    def run(g: dict[str, np.ndarray]) -> tuple:
+        x0, y0, x1, y1, no = (g[c] for c in ("x0", "y0", "x1", "y1", "block_no"))
+        low = np.arange(len(no))
+        order = np.argsort(x0, kind="stable")
+        reach = np.searchsorted(x0[order], x1[order] + near, "right")  # those that begin before a box ends
+        pairs = [(order[i], order[i + 1 : reach[i]]) for i in range(len(no))]
+        links = [np.stack([np.full(len(j), i), j]) for i, j in ((i, j[(y0[i] - near <= y1[j]) & (y0[j] - near <= y1[i])]) for i, j in pairs) if len(j)]
+        a, b = np.concatenate(links, 1) if links else np.zeros((2, 0), int)
+        while True:  # the smallest number spreads over the links, and through what is already one
+            new = low.copy()
+            np.minimum.at(new, a, low[b])
+            np.minimum.at(new, b, low[a])
+            new = new[new]
+            if (new == low).all():
+                return no, no[low]
+            low = new
+
+    return per_group(boxes.select(*PAGE, "block_no", "x0", "y0", "x1", "y1"), PAGE, ["block_no"], run, "block_no long, cluster_no long")
 
 
 def covered_area(boxes: DataFrame) -> DataFrame:
-    """``union_area``: what the page's boxes cover together, by a sweep over x."""
-
-    def run(rows: list[dict]) -> list[tuple]:
-        return [(round(union_area([(r["x0"], r["y0"], r["x1"], r["y1"]) for r in rows]), 4),)]
-
-    return per_group(boxes, PAGE, ["block_no"], run, "union_area double")
-
-
-def union_area(rects: list[tuple[float, float, float, float]]) -> float:
-    rects = [r for r in rects if r[2] > r[0] and r[3] > r[1]]
-    xs = sorted({x for r in rects for x in (r[0], r[2])})
-    total = 0.0
-    for a, b in zip(xs, xs[1:], strict=False):
-        top = -1e18
-        for y0, y1 in sorted((r[1], r[3]) for r in rects if r[0] <= a and r[2] >= b):
-            if y1 > top:
-                total += (b - a) * (y1 - max(y0, top))
-                top = y1
-    return total
-
-
-def _shared(a: dict, b: dict) -> float:
-    return max(0.0, min(a["x1"], b["x1"]) - max(a["x0"], b["x0"])) * max(0.0, min(a["y1"], b["y1"]) - max(a["y0"], b["y0"]))
+    """``union_area``: what the page's boxes cover together."""
+
+    def run(g: dict[str, np.ndarray]) -> tuple:
+        return ([round(union_area(g["x0"], g["y0"], g["x1"], g["y1"]), 4)],)
+
+    return per_group(boxes.select(*PAGE, "block_no", "x0", "y0", "x1", "y1"), PAGE, ["block_no"], run, "union_area double")
+
+
+def union_area(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> float:
+    """The area of the grid cells between all edges that some box covers."""
+    fine = (x1 > x0) & (y1 > y0)
+    x0, y0, x1, y1 = x0[fine], y0[fine], x1[fine], y1[fine]
+    xs, ys = np.unique(np.r_[x0, x1]), np.unique(np.r_[y0, y1])
+    if not len(xs):
+        return 0.0
+    count = np.zeros((len(xs), len(ys)), np.int64)
+    a, b, c, d = np.searchsorted(xs, x0), np.searchsorted(xs, x1), np.searchsorted(ys, y0), np.searchsorted(ys, y1)
+    for i, j, sign in ((a, c, 1), (b, c, -1), (a, d, -1), (b, d, 1)):
+        np.add.at(count, (i, j), sign)
+    covered = count.cumsum(0).cumsum(1)[:-1, :-1] > 0
+    return float(np.diff(xs) @ covered @ np.diff(ys))

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from quirestack.operators.grouped import per_group
 from quirestack.functions.text import content_tokens, coverage, fabricated_numbers
 
 
@@ -91,20 +91,20 @@ def claim_bag(c: str):  # noqa: ANN201
 
 
 def greedy_match(pairs: DataFrame, group: list[str], left: str, right: str, score: str) -> DataFrame:
-    """One-to-one matches: best score first, ties by the larger ids.  ``pairs`` of a group (a page) are few."""
-    schema = T.StructType([*(pairs.schema[g] for g in group), pairs.schema[left], pairs.schema[right], pairs.schema[score]])
+    """One-to-one matches: best score first, ties by the larger numbers.  ``pairs`` of a group (a page) are few."""
+    made = f"{left} {pairs.schema[left].dataType.simpleString()}, {right} {pairs.schema[right].dataType.simpleString()}, {score} double"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([score, left, right], ascending=False)
+    def run(g: dict[str, np.ndarray]) -> tuple:
+        order = np.lexsort((-g[right], -g[left], -g[score]))
         used_l, used_r, keep = set(), set(), []
-        for i, a, b in zip(pdf.index, pdf[left], pdf[right], strict=True):
+        for i, a, b in zip(order.tolist(), g[left][order].tolist(), g[right][order].tolist(), strict=True):
             if a not in used_l and b not in used_r:
                 used_l.add(a)
                 used_r.add(b)
                 keep.append(i)
-        return pdf.loc[keep, schema.names]
+        return g[left][keep], g[right][keep], g[score][keep]
 
-    return pairs.select(*schema.names).groupBy(*group).applyInPandas(run, schema)
+    return per_group(pairs.select(*group, left, right, score), group, [left, right], run, made)
 
 
 def section_outline(headings: DataFrame, group: list[str], order: list[str], level: str, key: str) -> DataFrame:

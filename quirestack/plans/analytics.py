@@ -9,7 +9,7 @@ from quirestack.functions import geometry as G
 from quirestack.functions import normal as N
 from quirestack.functions import text as X
 from quirestack.operators import layout
-from quirestack.operators.anchoring import resolve, selectors
+from quirestack.operators.anchoring import CONTEXT, resolve, selectors
 from quirestack.operators.memory import canonical_json, gated, verbatim
 from quirestack.operators.order import longest_prefix, pack
 from quirestack.operators.retrieval import greedy_match, nearest_vectors, section_outline, verify_claims
@@ -308,5 +308,24 @@ SQL = {
 SQL["grounding_totals"] = f"SELECT count(*) AS claims_total, count(*) FILTER (NOT supported) AS claims_flagged, bool_and(supported) AS fully_grounded FROM ({SQL['claim_grounding']})"
 SQL["branch_context"] = _TREES + "SELECT paper_id, node_id, array_to_string(node_path[greatest(len(node_path) - 5, 1):-2], '>') AS context FROM down WHERE forest = 'canvas'"
 SQL["paper_metadata"] = SQL["paper_metadata"].replace("@TEXT@", _normal("b.text")).replace("@TITLE@", _normal("p.title"))
+_BOX = "(SELECT DISTINCT paper_id, generation, page_index, block_no, bbox[1] AS x0, bbox[2] AS y0, bbox[3] AS x1, bbox[4] AS y1 FROM blocks WHERE flow_kind = 'body' AND bbox IS NOT NULL)"
+SQL["column_order"] = f"WITH e AS (SELECT paper_id, generation, page_index, min(x0) AS lo, max(x1) AS hi FROM {_BOX} GROUP BY ALL), r AS (SELECT b.*, x1 - x0 > 0.6 * (hi - lo) AS wide, (x0 + x1) / 2 > (lo + hi) / 2 AS far FROM {_BOX} b JOIN e USING (paper_id, generation, page_index)), s AS (SELECT *, (SELECT count(*) FROM r q WHERE (q.paper_id, q.generation, q.page_index) = (r.paper_id, r.generation, r.page_index) AND q.wide AND (q.y0, q.x0, q.block_no) < (r.y0, r.x0, r.block_no)) AS above FROM r) SELECT paper_id, generation, page_index, block_no, (row_number() OVER (PARTITION BY paper_id, generation, page_index ORDER BY 2 * above + wide::INT, CASE WHEN wide THEN 0 ELSE far::INT END, y0, x0, block_no) - 1)::INTEGER AS layout_rank FROM s"
+
+
+def coverage_sql(box: str) -> str:
+    """The area that the boxes of each page cover together, by the grid of their edges."""
+    edges = lambda a, z: f"(SELECT paper_id, generation, page_index, v, lead(v) OVER (PARTITION BY paper_id, generation, page_index ORDER BY v) AS n FROM (SELECT paper_id, generation, page_index, {a} AS v FROM {box} UNION SELECT paper_id, generation, page_index, {z} FROM {box}))"
+    return f"SELECT paper_id, generation, page_index, round(sum(CASE WHEN EXISTS (FROM {box} b WHERE (b.paper_id, b.generation, b.page_index) = (x.paper_id, x.generation, x.page_index) AND b.x0 <= x.v AND b.x1 >= x.n AND b.y0 <= y.v AND b.y1 >= y.n) THEN (x.n - x.v) * (y.n - y.v) ELSE 0 END), 4) AS union_area FROM {edges('x0', 'x1')} x JOIN {edges('y0', 'y1')} y USING (paper_id, generation, page_index) WHERE x.n IS NOT NULL AND y.n IS NOT NULL GROUP BY ALL"
+
+
+SQL["page_coverage"] = coverage_sql(_BOX)
+SQL["page_columns"] = f"WITH b AS (SELECT * FROM {_BOX} WHERE x0 < x1), e AS (SELECT paper_id, generation, page_index, count(*) AS n, min(x0) AS lo, max(x1) AS hi FROM b GROUP BY ALL), g AS (SELECT *, unnest(range(round_even(lo + 0.3 * (hi - lo), 0)::BIGINT, round_even(lo + 0.7 * (hi - lo), 0)::BIGINT + 1)) AS x FROM e WHERE n >= 4), c AS (SELECT g.paper_id, g.generation, g.page_index, g.n, g.x, count(*) FILTER (b.x0 < g.x AND b.x1 > g.x) AS cut, count(*) FILTER (b.x1 <= g.x) AS l, count(*) FILTER (b.x0 >= g.x) AS r FROM g JOIN b USING (paper_id, generation, page_index) GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY paper_id, generation, page_index ORDER BY cut, -least(l, r), x) AS p FROM c) SELECT q.paper_id, q.generation, q.page_index, CASE WHEN least(l, r) >= 2 AND cut <= 0.2 * k.n THEN 2 ELSE 1 END::INTEGER AS column_count, CASE WHEN least(l, r) >= 2 AND cut <= 0.2 * k.n THEN x::DOUBLE END AS gutter_x FROM (SELECT DISTINCT paper_id, generation, page_index FROM {_BOX}) q LEFT JOIN k ON (k.paper_id, k.generation, k.page_index) = (q.paper_id, q.generation, q.page_index) AND k.p = 1"
 _GRID = "floor(bbox[{i}] + 0.5)::BIGINT"
 SQL["derived_block_ids"] = f"SELECT block_no, 'blk_' || {_id_sql('h', 16, 0, 'abcdefghijklmnopqrstuvwxyz234567', 20)} AS derived_id FROM (SELECT DISTINCT block_no, sha256(concat_ws('|', sha256(paper_id), page_index, {_GRID.format(i=1)}, {_GRID.format(i=2)}, block_type, substr(coalesce({_normal('text')}, ''), 1, 8))) AS h FROM blocks)"
+SQL["region_clusters"] = f"WITH RECURSIVE b AS (SELECT * FROM {_BOX}), n AS (SELECT a.paper_id, a.generation, a.page_index, a.block_no AS s, c.block_no AS t FROM b a JOIN b c USING (paper_id, generation, page_index) WHERE a.x1 + 12 >= c.x0 AND c.x1 + 12 >= a.x0 AND a.y1 + 12 >= c.y0 AND c.y1 + 12 >= a.y0), r AS (SELECT paper_id, generation, page_index, block_no AS s, block_no AS t FROM b UNION SELECT r.paper_id, r.generation, r.page_index, r.s, n.t FROM r JOIN n ON n.s = r.t) SELECT paper_id, generation, page_index, s AS block_no, min(t) AS cluster_no FROM r GROUP BY ALL"
+SQL["anchor_selectors"] = f"WITH t AS (SELECT DISTINCT paper_id, generation, block_no, doc_order, {_normal("coalesce(text, '')")} AS exact FROM blocks WHERE doc_order IS NOT NULL) SELECT block_no, exact, coalesce(right(lag(exact) OVER w, @N@), '') AS prefix, coalesce(left(lead(exact) OVER w, @N@), '') AS suffix, sha256(exact) AS text_hash FROM t WINDOW w AS (PARTITION BY paper_id, generation ORDER BY doc_order, block_no)".replace("@N@", str(CONTEXT))
+SQL["stream_job_states"] = "WITH e AS (SELECT user_id, event_id, event_type, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS fails FROM events), f AS (SELECT user_id, min(event_id) FILTER (event_type = 'purchase') AS done, min(event_id) FILTER (fails = 3) AS dead, max(event_id) AS newest FROM e GROUP BY user_id), l AS (SELECT user_id, done, dead, least(coalesce(done, newest), coalesce(dead, newest)) AS last_event FROM f) SELECT l.user_id, CASE WHEN last_event = done THEN 'done' WHEN last_event = dead THEN 'dead' WHEN event_type = 'error' THEN 'retrying' ELSE 'running' END AS state, fails::INTEGER AS attempts, last_event FROM l JOIN e ON e.user_id = l.user_id AND e.event_id = l.last_event"
+_Q = {k: v.replace("'", "''") for k, v in {"cap": X.CAPTION, "sec": X.SECTION, "page": X.PAGE_NUMBER, "year": X.YEAR, "arxiv": X.ARXIV}.items()}
+SQL["text_features"] = f"""SELECT DISTINCT block_no, array_to_string(list_filter(list_reverse(list_reduce(list_prepend([]::VARCHAR[], list_transform(flatten(list_transform(regexp_extract_all(text, '\\[([0-9][0-9,\\s–-]*)\\]', 1), lambda m: regexp_split_to_array(m, '[,\\s–-]+'))), lambda x: [x])), lambda a, x: CASE WHEN list_contains(a, x[1]) THEN a ELSE list_prepend(x[1], a) END)), lambda x: x <> ''), ',') AS labels,
+    nullif(lower(regexp_extract(text, '{_Q["cap"]}', 1)), '') AS caption_kind, nullif(regexp_extract(text, '{_Q["cap"]}', 2), '') AS caption_number, nullif(regexp_extract(text, '{_Q["sec"]}', 1), '') AS section_number, try_cast(regexp_extract_all(regexp_replace(text, '{_Q["arxiv"]}', ' ', 'g'), '{_Q["year"]}', 1)[-1] AS INTEGER) AS year_found,
+    len(regexp_extract_all(text, '[A-Za-z]{{4,}}')) >= 2 AS is_prose, regexp_replace(lower(trim(text, ' ')), '[0-9]+', '#', 'g') AS furniture_key, regexp_matches(text, '{_Q["page"]}') AS is_page_number FROM blocks WHERE text IS NOT NULL"""

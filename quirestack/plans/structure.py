@@ -10,6 +10,7 @@ from quirestack.functions import geometry as G
 from quirestack.functions import normal as N
 from quirestack.functions import text as X
 from quirestack.operators import layout
+from quirestack.plans.analytics import coverage_sql
 from quirestack.plans.fields import _id_sql, _normal
 from quirestack.session import table
 
@@ -185,3 +186,5 @@ SQL = {
     "rule_complete_has_crops": _sql("complete_has_crops", "x.block_id", f"{_BODY} x JOIN papers y ON {_ON} AND y.status = 'complete' WHERE x.body IS NOT NULL AND x.block_type = 'figure' AND x.body->>'$.image' IS NULL"),
     "rule_inline_not_displayed": _sql("inline_not_displayed", "x.block_id", f"{_BODY} x WHERE x.body IS NOT NULL AND x.block_type = 'inline_equation' AND x.body->>'$.display' = 'true'"),
 }
+_ALL = "(SELECT DISTINCT paper_id, generation, page_index, block_no, bbox[1] AS x0, bbox[2] AS y0, bbox[3] AS x1, bbox[4] AS y1 FROM blocks WHERE bbox IS NOT NULL)"
+SQL["rule_page_covered"] = _sql("page_covered", "x.page_id", f"paper_pages x JOIN ({coverage_sql(_ALL)}) y ON (y.paper_id, y.generation, y.page_index) = (x.paper_id, x.generation, x.page_index) WHERE y.union_area < 0.01 * x.width * x.height")
