@@ -116,7 +116,7 @@ def test_longest_prefix(spark):
 
 
 def test_packing_cuts_what_it_may(spark):
-    rows = [("q", "s", k, "a" * n) for k, n in enumerate([5.0, 20.0, 3.0, 1.0])] + [("q", "o", k, "a" * n) for k, n in enumerate([5, 20, 3])] + [("q", "x", 0, "a")]
+    rows = [("q", "s", k, "a" * n) for k, n in enumerate([5, 20, 3, 1])] + [("q", "o", k, "a" * n) for k, n in enumerate([5, 20, 3])] + [("q", "x", 0, "a")]
     df = spark.createDataFrame(rows, "q string, c string, n int, t string")
     got = {(x.c, x.n): (x.kept, x.used_after, x.cut_to) for x in O.pack(df, ["q"], "c", ["n"], "t", {"s": 10, "o": 10}, cut=("s",)).collect()}
     assert got == {("s", 0): (True, 5, None), ("s", 1): (True, 10, 5), ("s", 2): (False, 10, None), ("s", 3): (False, 10, None), ("o", 0): (True, 5, None), ("o", 1): (False, 5, None), ("o", 2): (True, 8, None), ("x", 0): (False, 0, None)}
