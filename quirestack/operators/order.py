@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from quirestack.functions import geometry as G
 from quirestack.functions.text import estimate_tokens
+from quirestack.session import cut
 
 
 def as_of(asked: DataFrame, known: DataFrame, group: list[str], at: str, start: str, take: str) -> DataFrame:
@@ -26,6 +27,25 @@ def as_of(asked: DataFrame, known: DataFrame, group: list[str], at: str, start:
     return k.unionByName(q).withColumn("_found", F.last("_take", ignorenulls=True).over(w)).where("_side = 1").select("_row.*", F.col("_found").alias(take))
 
 
+def running_totals(rows: DataFrame, group: list[str], order: list[str], totals: dict[str, Column]) -> DataFrame:
+    """``rows`` with the running total, the row itself included, of each expression of ``totals`` over its group in ``order``.
+
+    For groups that no one task should sort: the rows are laid out by ranges of group and order, every range sums for
+    itself, and what the ranges before it sum to is added.  Ties in ``order`` have to be broken by the caller; nulls count 0.
+    """
+    laid = rows.withColumns({f"_t_{n}": F.coalesce(c, F.lit(0)).cast("long") for n, c in totals.items()}).repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id())
+    laid = cut(laid)
+    sums = laid.groupBy(*group, "_range").agg(*(F.sum(f"_t_{n}").alias(f"_s_{n}") for n in totals))
+    before = W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(*(F.col(g).alias(f"_g_{g}") for g in group), F.col("_range").alias("_r"), *(F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in totals))
+    same = F.col("_range") == F.col("_r")
+    for g in group:
+        same &= F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    own = W.partitionBy(*group, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    made = laid.join(sums, same).withColumns({n: F.sum(f"_t_{n}").over(own) + F.col(f"_o_{n}") for n in totals})
+    return made.select(*rows.columns, *totals)
+
+
 def visible(spans: DataFrame, views: DataFrame, group: list[str], overscan: int = 1) -> DataFrame:
     """For each view (``view_top``, ``view_height``) of a group the first and last span (``place``, ``top``, ``height``) that
     shows, widened by ``overscan`` on both sides, and the one that shows most (the first of equals); null where none does."""
@@ -83,9 +103,9 @@ def longest_prefix(text: Column, room: Column, floor: int) -> Column:
 PACKED = "kept boolean, used_before int, used_after int, cut_to int"
 
 
-def pack(items: DataFrame, group: list[str], component: str, order: list[str], text: str, budgets: dict[str, int], cut: tuple[str, ...] = (), floor: int = 1) -> DataFrame:
+def pack(items: DataFrame, group: list[str], component: str, order: list[str], text: str, budgets: dict[str, int], cuttable: tuple[str, ...] = (), floor: int = 1) -> DataFrame:
     """Greedy packing in order: an item that does not fit its component's budget is left out and later, smaller ones may
-    still fit; one of a component in ``cut`` is cut to what is left instead, if anything is.
+    still fit; one of a component in ``cuttable`` is cut to what is left instead, if anything is.
 
     Adds ``tokens``, ``kept``, ``used_before``, ``used_after`` and ``cut_to`` (tokens it was cut to, null if it was not).
     The sum is carried on from row to row of the sorted partition, so a group of any size takes no memory.  An unknown
@@ -101,7 +121,7 @@ def pack(items: DataFrame, group: list[str], component: str, order: list[str], t
             out = []
             for *head, tokens in zip(*(b.column(h).to_pylist() for h in heads), b.column("tokens").to_pylist(), strict=True):
                 if head != held:
-                    held, used, budget, may_cut = head, 0, budgets.get(head[-1], 0), head[-1] in cut
+                    held, used, budget, may_cut = head, 0, budgets.get(head[-1], 0), head[-1] in cuttable
                 before, cost, short = used, tokens or 0, None
                 kept = used + cost <= budget
                 if not kept and may_cut and used < budget:

@@ -39,7 +39,7 @@ def _evidence(spark: SparkSession, d: str) -> DataFrame:
 
 def evidence_pack(spark: SparkSession, d: str) -> DataFrame:
     """What of each question's evidence fits its stage's budget, in order of retrieval."""
-    return pack(_evidence(spark, d), ["question_id"], "ladder_stage", ["retrieval_no"], "text", BUDGETS, cut=("selected",), floor=4)
+    return pack(_evidence(spark, d), ["question_id"], "ladder_stage", ["retrieval_no"], "text", BUDGETS, cuttable=("selected",), floor=4)
 
 
 def evidence_cuts(spark: SparkSession, d: str) -> DataFrame:

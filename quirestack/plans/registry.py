@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules that hold QUERIES (name -> callable) and SQL (name -> text).
-MODULES = ["records", "relational", "rules", "analytics", "fields", "structure", "workflow", "evidence", "disturbed"]
+MODULES = ["records", "relational", "rules", "analytics", "fields", "structure", "workflow", "evidence", "disturbed", "reports"]
 
 
 def _gather(what: str) -> dict:

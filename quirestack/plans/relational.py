@@ -84,7 +84,6 @@ IOU = f"({AREA}) / nullif((a.x1 - a.x0) * (a.y1 - a.y0) + (c.x1 - c.x0) * (c.y1
 COMMON: dict[str, tuple[str, ...]] = {
     # lookups and projections
     "paper_lookup": ("p", "SELECT owner_id, paper_id, generation, status, source_hash, parser_name, confidence, needs_review FROM p"),
-    "papers_newest_first": ("p", "SELECT owner_id, paper_id, generation, CAST(row_number() OVER (PARTITION BY owner_id ORDER BY created_at DESC, generation DESC, paper_id) AS BIGINT) AS place FROM p"),
     "generations_of_paper": ("p", "SELECT owner_id, paper_id, generation, CAST(row_number() OVER (PARTITION BY owner_id, paper_id ORDER BY generation) AS BIGINT) AS place FROM p"),
     "promoted_generation": ("p promoted", "SELECT p.owner_id, p.paper_id, p.generation, p.generation = q.generation AS is_promoted FROM p JOIN promoted q ON p.owner_id = q.owner_id AND p.paper_id = q.paper_id"),
     "pages_in_order": ("pp", "SELECT owner_id, paper_id, generation, page_id, page_index, width, height, rotation FROM pp"),
@@ -154,7 +153,6 @@ COMMON: dict[str, tuple[str, ...]] = {
     "upsert_latest_paper": ("p", "SELECT owner_id, paper_id, generation, status FROM (SELECT *, row_number() OVER (PARTITION BY owner_id, paper_id ORDER BY parsed_at DESC, generation DESC) AS k FROM p) t WHERE k = 1"),
     "cascade_delete_blocks": ("b p", "SELECT b.paper_id, b.generation, b.block_id FROM b WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.paper_id = b.paper_id AND p.status = 'failed')"),
     "idempotent_enqueue": ("", "SELECT user_id, min(event_id) AS event_id, event_type FROM events GROUP BY user_id, event_type"),
-    "cap_gate": ("bs", "SELECT owner_id, section_no, CASE WHEN place > 200 THEN 'rows' WHEN bytes > 102400 THEN 'bytes' ELSE 'ok' END AS gate FROM (SELECT owner_id, section_no, row_number() OVER (PARTITION BY owner_id ORDER BY generated_at, section_no) AS place, sum(octet_length(encode(coalesce(content, '')))) OVER (PARTITION BY owner_id ORDER BY generated_at, section_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bytes FROM bs) t"),
     "ttl_purge": ("rb", "SELECT question_id, count(*) AS kept FROM rb WHERE retrieved_at > TIMESTAMP '2024-12-01 00:00:00' GROUP BY question_id"),
     "backoff_delay": ("", "SELECT event_id, least(300.0, 2.0 * power(2.0, event_id % 10)) AS delay_s FROM events"),
     "generate_only_missing": ("pp b", "SELECT pp.paper_id, pp.generation, pp.page_index FROM pp WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.paper_id = pp.paper_id AND b.generation = pp.generation AND b.page_index = pp.page_index)"),

@@ -225,7 +225,20 @@ def section_siblings_nearest(spark: SparkSession, d: str) -> DataFrame:
     return b.withColumn("near", F.slice(F.array_sort(far), 1, 6)).select(*PAPER, "block_id", F.explode("near").alias("x")).select(*PAPER, "block_id", "x.near_id")
 
 
-QUERIES = {f.__name__: f for f in (note_state, note_audit, notes_cascaded, anchors_dangling, unique_sources, highlight_list, thread_tree, job_timeline, job_now, evidence_scores, caption_scores, region_scores, overlap_counts, order_scores, value_ratio, block_at_offset, visible_pages, block_under_point, nearest_block, sampled_pages, knn_unclaimed, nearest_rank_quantile, value_intervals, section_siblings_nearest)}
+def cap_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Which book sections fit their owner's caps of 200 rows and 100 KiB, in order of generation."""
+    b = table(spark, d, "book_sections").select("owner_id", "section_no", "generated_at", "content").distinct()
+    t = O.running_totals(b, ["owner_id"], ["generated_at", "section_no"], {"place": F.lit(1), "bytes": F.octet_length("content")})
+    return t.select("owner_id", "section_no", F.when(F.col("place") > 200, "rows").when(F.col("bytes") > 102_400, "bytes").otherwise("ok").alias("gate"))
+
+
+def papers_newest_first(spark: SparkSession, d: str) -> DataFrame:
+    """The place of each paper among its owner's, newest first."""
+    p = table(spark, d, "papers").select("owner_id", *PAPER, "created_at").distinct().withColumns({"_a": -F.unix_micros("created_at"), "_g": -F.col("generation")})
+    return O.running_totals(p, ["owner_id"], ["_a", "_g", "paper_id"], {"place": F.lit(1)}).select("owner_id", *PAPER, "place")
+
+
+QUERIES = {f.__name__: f for f in (note_state, note_audit, notes_cascaded, anchors_dangling, unique_sources, highlight_list, thread_tree, job_timeline, job_now, evidence_scores, caption_scores, region_scores, overlap_counts, order_scores, value_ratio, block_at_offset, visible_pages, block_under_point, nearest_block, sampled_pages, knn_unclaimed, nearest_rank_quantile, value_intervals, section_siblings_nearest, cap_gate, papers_newest_first)}
 
 _CHANGES = "ch AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'signup' THEN 'insert' WHEN 'error' THEN 'delete' ELSE 'update' END AS kind, value, CASE WHEN event_type = 'purchase' THEN props END AS note FROM events), b4 AS (SELECT *, (SELECT arg_max(p.kind, (p.ts, p.event_id)) FROM ch p WHERE p.user_id = c.user_id AND p.kind <> 'update' AND (p.ts, p.event_id) < (c.ts, c.event_id)) AS prior FROM ch c), ok AS (SELECT *, CASE kind WHEN 'insert' THEN coalesce(prior, 'delete') = 'delete' ELSE coalesce(prior, 'delete') = 'insert' END AS accepted FROM b4)"
 _SCORES = "SELECT {g}, correct::BIGINT AS correct, (nf - correct)::BIGINT AS false_items, (ng - correct)::BIGINT AS missed, CASE WHEN nf > 0 THEN round(correct / nf, 6) END AS precision, CASE WHEN ng > 0 THEN round(correct / ng, 6) END AS recall, round(2.0 * correct / (nf + ng), 6)::DOUBLE AS f1 FROM t"
@@ -244,6 +257,8 @@ _JOBS = f"""WITH RECURSIVE l AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS
         FROM (SELECT s.*, s.state NOT IN ('done', 'dead') AND NOT (s.state = 'running' AND l.at_s < s.until) AS free, s.state = 'running' AND coalesce(s.holder = l.worker, false) AND l.at_s < s.until AS held FROM s JOIN l ON l.user_id = s.user_id AND l.k = s.k + 1) s JOIN l ON l.user_id = s.user_id AND l.k = s.k + 1)"""
 
 SQL = {
+    "cap_gate": "SELECT owner_id, section_no, CASE WHEN place > 200 THEN 'rows' WHEN bytes > 102400 THEN 'bytes' ELSE 'ok' END AS gate FROM (SELECT owner_id, section_no, row_number() OVER (PARTITION BY owner_id ORDER BY generated_at, section_no) AS place, sum(octet_length(encode(coalesce(content, '')))) OVER (PARTITION BY owner_id ORDER BY generated_at, section_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bytes FROM (SELECT DISTINCT owner_id, section_no, generated_at, content FROM book_sections))",
+    "papers_newest_first": "SELECT owner_id, paper_id, generation, row_number() OVER (PARTITION BY owner_id ORDER BY created_at DESC, generation DESC, paper_id) AS place FROM (SELECT DISTINCT owner_id, paper_id, generation, created_at FROM papers)",
     "nearest_rank_quantile": "SELECT event_type, min(CASE WHEN k = CAST(floor(0.5 * n) AS BIGINT) + 1 THEN value END) AS p50, min(CASE WHEN k = least(n, CAST(floor(0.95 * n) AS BIGINT) + 1) THEN value END) AS p95 FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) GROUP BY event_type",
     "value_intervals": "SELECT event_type, min(value) AS low, round(median(value), 6) AS mid, max(value) AS high FROM events GROUP BY event_type",
     "section_siblings_nearest": "WITH o AS (SELECT *, row_number() OVER (PARTITION BY paper_id, generation ORDER BY doc_order, block_no) AS rank FROM (SELECT DISTINCT paper_id, generation, block_id, block_no, doc_order, parent_id FROM blocks WHERE doc_order IS NOT NULL)) SELECT paper_id, generation, block_id, near_id FROM (SELECT a.paper_id, a.generation, a.block_id, c.block_id AS near_id, row_number() OVER (PARTITION BY a.paper_id, a.generation, a.block_id ORDER BY abs(a.rank - c.rank), c.rank) AS k FROM o a JOIN o c ON a.paper_id = c.paper_id AND a.generation = c.generation AND a.parent_id = c.parent_id AND a.block_id <> c.block_id) WHERE k <= 6",

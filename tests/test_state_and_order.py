@@ -10,12 +10,14 @@ from quirestack.functions import flow as L
 from quirestack.functions import geometry as G
 from quirestack.functions import normal as N
 from quirestack.functions import records as R
+from quirestack.functions import repairs as Q
 from quirestack.operators import evaluation as E
 from quirestack.operators import expansion as P
 from quirestack.operators import order as O
 from quirestack.operators import perturb as D
 from quirestack.operators import state as S
 from quirestack.operators.jobs import job_log
+from quirestack.sources.documents import keyed_answers, nest, shred, statements, without_nulls
 
 
 def one(spark, *columns):
@@ -118,7 +120,7 @@ def test_longest_prefix(spark):
 def test_packing_cuts_what_it_may(spark):
     rows = [("q", "s", k, "a" * n) for k, n in enumerate([5, 20, 3, 1])] + [("q", "o", k, "a" * n) for k, n in enumerate([5, 20, 3])] + [("q", "x", 0, "a")]
     df = spark.createDataFrame(rows, "q string, c string, n int, t string")
-    got = {(x.c, x.n): (x.kept, x.used_after, x.cut_to) for x in O.pack(df, ["q"], "c", ["n"], "t", {"s": 10, "o": 10}, cut=("s",)).collect()}
+    got = {(x.c, x.n): (x.kept, x.used_after, x.cut_to) for x in O.pack(df, ["q"], "c", ["n"], "t", {"s": 10, "o": 10}, cuttable=("s",)).collect()}
     assert got == {("s", 0): (True, 5, None), ("s", 1): (True, 10, 5), ("s", 2): (False, 10, None), ("s", 3): (False, 10, None), ("o", 0): (True, 5, None), ("o", 1): (False, 5, None), ("o", 2): (True, 8, None), ("x", 0): (False, 0, None)}
 
 
@@ -225,3 +227,75 @@ def test_disturbance(spark):
 
 def test_composition_is_the_interpreters():
     assert N.normal_form("Å") == unicodedata.normalize("NFC", "å")
+
+
+def folded(text, repairs):
+    """The rule of repairs, written out."""
+    if text is None:
+        return "", [], [(i, "no_text") for i, r in enumerate(repairs) if not r[4]]
+    done, skipped, out = [], [], text
+    for i, (_, at, a, b, applied, *_) in sorted(enumerate(repairs), key=lambda x: (-1 if x[1][1] is None else x[1][1], x[0]), reverse=True):
+        if applied:
+            continue
+        if at is None:
+            skipped.append((i, "missing_offset"))
+        elif at + len(a) > len(text):
+            skipped.append((i, "offset_out_of_range"))
+        elif text[at : at + len(a)] != a:
+            skipped.append((i, "text_mismatch"))
+        elif any((at < z and s < at + len(a)) or (s == at == z == at + len(a)) for s, z, _ in done):
+            skipped.append((i, "conflicting_range"))
+        else:
+            done.append((at, at + len(a), i))
+            out = out[:at] + b + out[at + len(a) :]
+    return out, [i for _, _, i in sorted(done)], sorted(skipped)
+
+
+def test_repairs(spark):
+    r, rows = random.Random(3), []
+    for _ in range(120):
+        text = r.choice([None, "", "abcabcabc", "hello world"])
+        repairs = []
+        for _ in range(r.randrange(0, 5)):
+            at = r.choice([None, *range(0, 12)])
+            a = (text or "")[at : at + r.randrange(0, 4)] if at is not None and r.random() < 0.8 else "zz"
+            repairs.append(("model", at, a, r.choice(["", "X", "long"]), r.random() < 0.2, None, None))
+        rows.append((text, repairs))
+    df = spark.createDataFrame(rows, f"t string, r array<struct<{Q.REPAIR.replace(' ', ':').replace(',:', ',')}>>")
+    got = df.select("t", "r", Q.resolved(F.col("t"), F.col("r"), True).alias("x"), Q.resolved(F.col("t"), F.col("r")).alias("y")).collect()
+    for x in got:
+        assert (x.x.text, list(x.x.taken), [tuple(s) for s in x.x.skipped]) == folded(x.t, [tuple(p) for p in x.r]), x
+        assert x.y.text == (x.t or "") and {s.reason for s in x.y.skipped} <= {"not_requested"}
+
+
+def test_nested_rules(spark):
+    t = F.lit("abcdef")
+    span = lambda *s: F.array(*(F.struct(F.lit(a).alias("start"), F.lit(z).alias("end"), F.lit(x).alias("text")) for a, z, x in s))
+    fix = lambda *s: F.from_json(F.lit(str([{"kind": k, "at": a, "from_text": f, "to_text": b, "applied": d, "model": m, "prompt_hash": m} for k, a, f, b, d, m in s]).replace("None", "null").replace("True", "true").replace("False", "false").replace("'", '"')), f"array<struct<{Q.REPAIR}>>")
+    pick = lambda *s: F.array(*(F.struct(F.lit(x).alias("selected")) for x in s))
+    r = one(spark, Q.spans_in_text(t, span((0, 2, "ab"), (2, 3, "c"))), Q.spans_in_text(t, span((4, 9, "ef"))), Q.spans_ascend(span((0, 2, ""), (2, 3, ""))), Q.spans_ascend(span((0, 3, ""), (2, 3, ""))), Q.repairs_fit(t, fix(("x", 0, "ab", "z", False, None), ("x", 2, "q", "cd", True, None))), Q.repairs_fit(t, fix(("x", 1, "ab", "z", False, None))), Q.model_repairs_told(fix(("model", 0, "a", "b", False, "m"))), Q.model_repairs_told(fix(("model", 0, "a", "b", False, None))), Q.one_selected(pick(True, False)), Q.one_selected(pick(True, True)))
+    assert tuple(r) == (True, False, True, False, True, False, True, False, True, False)
+
+
+def test_documents_of_rows(spark):
+    rows = spark.createDataFrame([("p", 1, "a", None), ("p", 1, "a", None), ("p", 2, None, 2.5), ("q", 1, "b", 1.0)], "paper string, n int, kind string, c double")
+    docs = nest(rows, ["paper"], ["n", "kind", "c"], "r").select("paper", F.to_json("r").alias("j"))
+    back = {(r.paper, r.array_position, r.n, r.kind, r.c) for r in shred(docs, ["paper"], "j", "n int, kind string, c double").collect()}
+    assert back == {("p", 0, 1, "a", None), ("p", 1, 2, None, 2.5), ("q", 0, 1, "b", 1.0)}
+    assert shred(spark.createDataFrame([("p", "{"), ("p", None)], "paper string, j string"), ["paper"], "j", "n int").count() == 0
+    assert one(spark, without_nulls(F.struct(F.lit(None).cast("int").alias("a"), F.lit(2).alias("b"))).alias("x")).x == '{"b":2}'
+    answers = spark.createDataFrame([('{"q1": {"text": "a", "n": 2}, "q2": null}',)], "j string")
+    assert [tuple(r) for r in keyed_answers(answers, "j", "text string, n int").collect()] == [("q1", "a", 2)]
+    assert one(spark, statements(F.lit("CREATE a;\n--;;\n\n  --;;  \nINSERT b;\n")).alias("x")).x == ["CREATE a;", "INSERT b;"]
+
+
+def test_running_totals(spark):
+    r = random.Random(8)
+    rows = [(r.choice(["big", "big", "big", "a", None]), n, r.choice([None, r.randrange(9)])) for n in range(400)]
+    want, sums = {}, {}
+    for g, n, v in rows:
+        sums[g] = (sums.get(g, (0, 0))[0] + 1, sums.get(g, (0, 0))[1] + (v or 0))
+        want[n] = sums[g]
+    df = spark.createDataFrame(rows, "g string, n int, v int").orderBy(F.rand(3))
+    assert {x.n: (x.k, x.s) for x in O.running_totals(df, ["g"], ["n"], {"k": F.lit(1), "s": F.col("v")}).collect()} == want
+    assert O.running_totals(df.limit(0), ["g"], ["n"], {"k": F.lit(1)}).count() == 0
