@@ -181,7 +181,7 @@ def page_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _anchors(spark: SparkSession, d: str) -> DataFrame:
-    return selectors(table(spark, d, "blocks").select("paper_id", "generation", "block_no", "block_id", "page_index", "bbox", "text", "doc_order").distinct())
+    return selectors(table(spark, d, "blocks").select("paper_id", "generation", "block_no", "block_id", "block_type", "page_index", "bbox", "text", "doc_order").distinct())
 
 
 def anchor_selectors(spark: SparkSession, d: str) -> DataFrame:
