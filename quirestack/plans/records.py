@@ -43,6 +43,30 @@ def p1_figure_panels(spark: SparkSession, d: str) -> DataFrame:
     return panels.select(*RECORD, "object_path", "array_position", body.alias("panel")).select(*RECORD, "object_path", "array_position", F.col("panel.label").alias("panel_label"), F.col("panel.source").alias("panel_source"), F.col("panel.confidence").alias("panel_confidence"))
 
 
+#: Flat tables of the other shapes: name, where its objects stand, and its columns as (name, JSON path, type).
+SHAPES: dict[str, tuple[str, tuple[tuple[str, str, str], ...]]] = {
+    "p1_symbols": ("/symbols/[0-9]+", (("symbol", "symbol", "string"), ("definition_block", "definition_block", "string"), ("section_depth", "scope.section.level", "int"))),
+    "p1_detected_labels": ("/detected_labels/[0-9]+", (("label_text", "text", "string"), ("label_source", "source", "string"), ("label_confidence", "confidence", "double"), ("font_face", "style.font.face", "string"), ("font_size", "style.font.size", "int"))),
+    "p1_images": ("(?:/[^/]+)*/image", (("image_uri", "uri", "string"), ("image_width", "width", "int"), ("image_height", "height", "int"), ("crop_x", "crop.origin.x", "int"), ("crop_y", "crop.origin.y", "int"))),
+    "p1_footnotes": ("/grid/cells/[0-9]+/footnotes/[0-9]+", (("mark", "mark", "string"), ("target_block", "target.block", "string"))),
+    "p1_source_refs": ("/source_refs/[0-9]+", (("source_block", "block_id", "string"), ("source_page", "page", "int"))),
+    "p1_quads": ("/source_refs/[0-9]+/quads/[0-9]+", (("box_width", "box.w", "int"), ("box_height", "box.h", "int"))),
+    "p1_thread": ("/thread/[0-9]+", (("role", "role", "string"),)),
+    "p1_thread_parts": ("/thread/[0-9]+/parts/[0-9]+", (("part_kind", "kind", "string"), ("part_body", "body", "string"), ("target_block", "target.block_id", "string"), ("span_start", "target.span.start", "int"), ("span_end", "target.span.end", "int"))),
+}
+
+
+def _shape(name: str):  # noqa: ANN202
+    where, columns = SHAPES[name]
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        found = p1_objects(spark, d).where(F.col("object_path").rlike(f"^{where}$"))
+        return found.select(*RECORD, "parent_path", "object_path", *(F.get_json_object("object_text", f"$.{path}").try_cast(kind).alias(column) for column, path, kind in columns))
+
+    run.__name__, run.__doc__ = name, f"The objects at {where} as a flat table, tied to what holds them."
+    return run
+
+
 TREE = ["forest", "paper_id", "generation"]
 
 
@@ -94,7 +118,7 @@ def subtree_delete(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "canvas_nodes").select("paper_id", "node_id").distinct().join(doomed.union(below).distinct(), ["paper_id", "node_id"], "left_anti")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_objects, p1_cells, p1_figure_panels, p2_found, p2_paths, p2_descendants, p2_cycles, ancestors_of_block, top_level_ancestor, preorder_rank, subtree_delete)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_objects, p1_cells, p1_figure_panels, p2_found, p2_paths, p2_descendants, p2_cycles, ancestors_of_block, top_level_ancestor, preorder_rank, subtree_delete)} | {n: _shape(n) for n in SHAPES}
 
 _TREES = """
 WITH RECURSIVE b AS (SELECT DISTINCT ON (paper_id, generation, block_id) 'block' AS forest, paper_id, generation, block_id AS node_id, parent_id, NULL::VARCHAR[] AS kids
@@ -143,3 +167,6 @@ SQL = {
     "p2_paths": _TREES + "SELECT d.forest, d.paper_id, d.generation, d.node_id, d.up AS link_parent, d.root_id, d.node_depth::INTEGER AS node_depth, d.node_path FROM down d UNION ALL SELECT c.forest, c.paper_id, c.generation, c.node_id, l.up, c.root_id, -1, NULL FROM cyc c JOIN links l ON (l.forest, l.paper_id, l.generation, l.node_id) = (c.forest, c.paper_id, c.generation, c.node_id)",
     "p2_descendants": _TREES + "SELECT forest, paper_id, generation, unnest(node_path[1:-2]) AS node_id, node_id AS descendant_id, (unnest(range(len(node_path) - 1, 0, -1)))::INTEGER AS distance FROM down WHERE node_depth > 0",
 }
+_KINDS = {"string": "VARCHAR", "int": "INTEGER", "double": "DOUBLE"}
+for _name, (_where, _columns) in SHAPES.items():
+    SQL[_name] = _OBJECTS + f" SELECT {_RECORD}, up AS parent_path, ptr AS object_path, {', '.join(f'try_cast(value->>{chr(39)}$.{p}{chr(39)} AS {_KINDS[k]}) AS {c}' for c, p, k in _columns)} FROM p JOIN o USING (rid) WHERE type = 'OBJECT' AND regexp_full_match(ptr, '{_where}')"
