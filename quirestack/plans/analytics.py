@@ -329,3 +329,13 @@ _Q = {k: v.replace("'", "''") for k, v in {"cap": X.CAPTION, "sec": X.SECTION, "
 SQL["text_features"] = f"""SELECT DISTINCT block_no, array_to_string(list_filter(list_reverse(list_reduce(list_prepend([]::VARCHAR[], list_transform(flatten(list_transform(regexp_extract_all(text, '\\[([0-9][0-9,\\s–-]*)\\]', 1), lambda m: regexp_split_to_array(m, '[,\\s–-]+'))), lambda x: [x])), lambda a, x: CASE WHEN list_contains(a, x[1]) THEN a ELSE list_prepend(x[1], a) END)), lambda x: x <> ''), ',') AS labels,
     nullif(lower(regexp_extract(text, '{_Q["cap"]}', 1)), '') AS caption_kind, nullif(regexp_extract(text, '{_Q["cap"]}', 2), '') AS caption_number, nullif(regexp_extract(text, '{_Q["sec"]}', 1), '') AS section_number, try_cast(regexp_extract_all(regexp_replace(text, '{_Q["arxiv"]}', ' ', 'g'), '{_Q["year"]}', 1)[-1] AS INTEGER) AS year_found,
     len(regexp_extract_all(text, '[A-Za-z]{{4,}}')) >= 2 AS is_prose, regexp_replace(lower(trim(text, ' ')), '[0-9]+', '#', 'g') AS furniture_key, regexp_matches(text, '{_Q["page"]}') AS is_page_number FROM blocks WHERE text IS NOT NULL"""
+_SQUEEZED = "trim(regexp_replace({c}, '[ \\t\\n\\r\\x0B\\x0C]+', ' ', 'g'), ' ')"
+_ONE_LINE = "trim(regexp_replace(text, '[\\r\\n]+', ' ', 'g'), ' ')"
+SQL["text_cleaning"] = f"""SELECT DISTINCT block_no, {_SQUEEZED.format(c=f"regexp_replace(regexp_replace(text, '{X.CONTROL}', '', 'g'), '[<>&]', ' ', 'g')")} AS clean_text,
+    replace(regexp_replace(text, '[-­‐][ \\t]*(\\r\\n|\\n|\\r)+[ \\t]*', '', 'g'), '­', '') AS joined_text, CASE WHEN length({_ONE_LINE}) > 80 THEN {_ONE_LINE}[1:79] || '…' ELSE {_ONE_LINE} END AS short_text, 'sha256:' || sha256({_normal('text')}) AS text_hash,
+    regexp_matches(text, '\\p{{Latin}}[\\p{{Cyrillic}}\\p{{Greek}}]|[\\p{{Cyrillic}}\\p{{Greek}}]\\p{{Latin}}') AS mixed_script,
+    NOT regexp_matches(text, '[.!?][\"''’”)\\]]*\\s*$') OR regexp_matches(text, '(?i)\\b(et al|e\\.g|i\\.e|cf|vs|Fig|Eq|Tab|Sec|resp|approx)\\.\\s*$') OR regexp_matches(text, '[-­‐]\\s*$') AS unterminated,
+    regexp_matches(text, '^\\s*\\p{{Ll}}') AS mid_sentence, regexp_matches(text, '[A-Z]') AND regexp_matches(text, '[a-z]') AND regexp_matches(text, '[0-9]') AS three_classes,
+    len(list_filter(regexp_split_to_array(trim(text, ' '), '[\\s,;]+'), lambda w: w <> '' AND NOT regexp_full_match(w, '(?s)and|&|\\p{{Lu}}.*'))) = 0 AS name_list,
+    round(CASE WHEN length(text) = 0 THEN 0.0 ELSE len(regexp_extract_all(text, '[\\p{{Sm}}∂∇∑∏√∞]')) / length(text)::DOUBLE END, 6) AS symbol_density FROM blocks WHERE text IS NOT NULL"""
+

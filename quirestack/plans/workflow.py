@@ -13,8 +13,10 @@ from quirestack.operators.jobs import job_log
 from quirestack.operators.retrieval import greedy_match, nearest_vectors
 from quirestack.plans.records import _TREES, p2_paths
 from quirestack.session import table
+from quirestack.streaming.queue import drain, job_stream, read_events
 
 PAPER = ["paper_id", "generation"]
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def _changes(spark: SparkSession, d: str) -> DataFrame:
@@ -66,17 +68,23 @@ def thread_tree(spark: SparkSession, d: str) -> DataFrame:
     return S.listing(t, ["paper_id", "root_id"], ["node_depth", "created_at", "node_id"]).select("paper_id", "root_id", "node_id", "node_depth", "place")
 
 
-def _log(spark: SparkSession, d: str) -> DataFrame:
+def _log(events: DataFrame) -> DataFrame:
     what = F.when(F.col("event_type").isin("view", "signup"), "claim").when(F.col("event_type") == "click", "renew").when(F.col("event_type") == "purchase", "finish").otherwise("fail")
-    return table(spark, d, "events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at_s"), what.alias("what"), (F.col("event_id") % 3).alias("worker"))
+    return events.select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at_s"), what.alias("what"), (F.col("event_id") % 3).alias("worker"), F.col("ts").cast("timestamp").alias("stamp"))
 
 
 def job_timeline(spark: SparkSession, d: str) -> DataFrame:
     """Each user's events as the log of a job, leases a day long."""
-    j = job_log(_log(spark, d), "user_id", "event_id", "at_s", "what", "worker", lease=86_400.0)
+    j = job_log(_log(table(spark, d, "events")), "user_id", "event_id", "at_s", "what", "worker", lease=86_400.0)
     return j.select("user_id", "event_id", "state", "tries", "token", "accepted", "reason")
 
 
+def stream_job_timeline(spark: SparkSession, d: str) -> DataFrame:
+    """The same log as a stream."""
+    j = job_stream(_log(read_events(spark, d, EVENTS, "events.parquet")), "user_id", "event_id", "at_s", "what", "worker", "stamp", lease=86_400.0)
+    return drain(j, "append").select(F.col("key").alias("user_id"), F.col("number").alias("event_id"), "state", "tries", "token", "accepted", "reason")
+
+
 def job_now(spark: SparkSession, d: str) -> DataFrame:
     """The state of each job after its whole log."""
     last = job_timeline(spark, d).groupBy("user_id").agg(F.max_by(F.struct("state", "tries", "token"), "event_id").alias("s"), F.sum((~F.col("accepted")).cast("long")).alias("refused"))
@@ -238,7 +246,7 @@ def papers_newest_first(spark: SparkSession, d: str) -> DataFrame:
     return O.running_totals(p, ["owner_id"], ["_a", "_g", "paper_id"], {"place": F.lit(1)}).select("owner_id", *PAPER, "place")
 
 
-QUERIES = {f.__name__: f for f in (note_state, note_audit, notes_cascaded, anchors_dangling, unique_sources, highlight_list, thread_tree, job_timeline, job_now, evidence_scores, caption_scores, region_scores, overlap_counts, order_scores, value_ratio, block_at_offset, visible_pages, block_under_point, nearest_block, sampled_pages, knn_unclaimed, nearest_rank_quantile, value_intervals, section_siblings_nearest, cap_gate, papers_newest_first)}
+QUERIES = {f.__name__: f for f in (note_state, note_audit, notes_cascaded, anchors_dangling, unique_sources, highlight_list, thread_tree, job_timeline, stream_job_timeline, job_now, evidence_scores, caption_scores, region_scores, overlap_counts, order_scores, value_ratio, block_at_offset, visible_pages, block_under_point, nearest_block, sampled_pages, knn_unclaimed, nearest_rank_quantile, value_intervals, section_siblings_nearest, cap_gate, papers_newest_first)}
 
 _CHANGES = "ch AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'signup' THEN 'insert' WHEN 'error' THEN 'delete' ELSE 'update' END AS kind, value, CASE WHEN event_type = 'purchase' THEN props END AS note FROM events), b4 AS (SELECT *, (SELECT arg_max(p.kind, (p.ts, p.event_id)) FROM ch p WHERE p.user_id = c.user_id AND p.kind <> 'update' AND (p.ts, p.event_id) < (c.ts, c.event_id)) AS prior FROM ch c), ok AS (SELECT *, CASE kind WHEN 'insert' THEN coalesce(prior, 'delete') = 'delete' ELSE coalesce(prior, 'delete') = 'insert' END AS accepted FROM b4)"
 _SCORES = "SELECT {g}, correct::BIGINT AS correct, (nf - correct)::BIGINT AS false_items, (ng - correct)::BIGINT AS missed, CASE WHEN nf > 0 THEN round(correct / nf, 6) END AS precision, CASE WHEN ng > 0 THEN round(correct / ng, 6) END AS recall, round(2.0 * correct / (nf + ng), 6)::DOUBLE AS f1 FROM t"
@@ -270,6 +278,7 @@ SQL = {
     "highlight_list": "SELECT * FROM (SELECT paper_id, generation, retrieval_no, row_number() OVER (PARTITION BY paper_id, generation ORDER BY retrieved_at DESC NULLS LAST, retrieval_no) AS place FROM (SELECT DISTINCT paper_id, generation, retrieval_no, retrieved_at FROM retrieved_blocks)) WHERE place <= 50",
     "thread_tree": _TREES + "SELECT d.paper_id, d.root_id, d.node_id, d.node_depth::INTEGER AS node_depth, row_number() OVER (PARTITION BY d.paper_id, d.root_id ORDER BY d.node_depth, m.at, d.node_id) AS place FROM down d JOIN (SELECT paper_id, node_id, min(created_at) AS at FROM canvas_nodes GROUP BY ALL) m ON (m.paper_id, m.node_id) = (d.paper_id, d.node_id) WHERE d.forest = 'canvas' AND d.node_depth <= 64",
     "job_timeline": _JOBS + " SELECT user_id, event_id, state, tries::INTEGER AS tries, tries::BIGINT AS token, accepted, reason FROM s WHERE k > 0",
+    "stream_job_timeline": _JOBS + " SELECT user_id, event_id, state, tries::INTEGER AS tries, tries::BIGINT AS token, accepted, reason FROM s WHERE k > 0",
     "job_now": _JOBS + " SELECT user_id, arg_max(state, k) AS state, arg_max(tries, k)::INTEGER AS tries, arg_max(tries, k)::BIGINT AS token, count(*) FILTER (WHERE NOT accepted) AS refused FROM s GROUP BY user_id",
     "evidence_scores": "WITH f AS (SELECT DISTINCT question_id, block_id FROM retrieved_blocks WHERE ladder_stage = 'semantic'), g AS (SELECT DISTINCT question_id, block_id FROM retrieved_blocks WHERE ladder_stage = 'selected'), t AS (SELECT question_id, (SELECT count(*) FROM f WHERE f.question_id = q.question_id) AS nf, (SELECT count(*) FROM g WHERE g.question_id = q.question_id) AS ng, (SELECT count(*) FROM f JOIN g USING (question_id, block_id) WHERE f.question_id = q.question_id) AS correct FROM (SELECT question_id FROM f UNION SELECT question_id FROM g) q) " + _SCORES.format(g="question_id"),
     "caption_scores": "WITH f AS (SELECT DISTINCT paper_id, generation, from_block AS c, to_block AS o FROM relations WHERE rel_type = 'caption_of'), g AS (SELECT DISTINCT paper_id, generation, block_id AS c, parent_id AS o FROM blocks WHERE block_type = 'caption' AND parent_id IS NOT NULL), u AS (SELECT coalesce(f.paper_id, g.paper_id) AS paper_id, coalesce(f.generation, g.generation) AS generation, f.c IS NOT NULL AS inf, g.c IS NOT NULL AS ing FROM f FULL JOIN g ON (f.paper_id, f.generation, f.c, f.o) = (g.paper_id, g.generation, g.c, g.o)), t AS (SELECT paper_id, generation, count(*) FILTER (inf) AS nf, count(*) FILTER (ing) AS ng, count(*) FILTER (inf AND ing) AS correct FROM u GROUP BY ALL) " + _SCORES.format(g="paper_id, generation"),

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quirestack.operators.jobs import CANCELLED, DEAD, DONE, LEASE_S, MOST_TRIES, Job
+
 
 def read_events(spark: SparkSession, folder: str, schema: str, pattern: str = "*.parquet") -> DataFrame:
     """A stream of the Parquet files of a folder that match the pattern."""
@@ -48,6 +50,41 @@ def job_states(events: DataFrame, key: str, kind: str, number: str, most: int =
     return events.groupBy(key).applyInPandasWithState(run, STATE, "state string, attempts int, last_event long", "update", GroupStateTimeout.NoTimeout)
 
 
+JOB_STATE = "state string, holder long, token long, tries int, until double, seen long"
+#: How long after its last entry the state of a finished job is kept, to tell replayed entries, and how late an entry may come.
+KEEP_MS, LATE = 7 * 24 * 3_600_000, "2 days"
+
+
+def job_stream(log: DataFrame, key: str, number: str, at: str, what: str, worker: str, stamp: str, most: int = MOST_TRIES, lease: float = LEASE_S) -> DataFrame:
+    """``jobs.job_log`` over a stream: one row for each entry as it comes, with the job's state after it.
+
+    Entries of one micro-batch are taken in the order of ``number``; one that comes later than a larger number counts as
+    replayed, so a batch that runs again changes nothing.  ``stamp`` is the entries' time; the state of a
+    finished job leaves once the watermark is KEEP_MS past its last entry.
+    """
+
+    def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        job = Job(most, lease)
+        if state.exists:
+            job.state, job.holder, job.token, job.tries, job.until, job.seen = state.get
+        rows = pd.concat(list(frames)).sort_values(number, kind="stable")
+        out = []
+        for n, t, w, who in zip(rows[number], rows[at], rows[what], rows[worker], strict=True):
+            ok, why = job.take(int(n), float(t), w, int(who))
+            out.append((k[0], int(n), job.state, job.tries, job.token, ok, why))
+        state.update((job.state, job.holder, job.token, job.tries, job.until, job.seen))
+        if job.state in (DONE, DEAD, CANCELLED):
+            last = int(rows[stamp].max().timestamp() * 1000)
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + KEEP_MS)
+        yield pd.DataFrame(out, columns=["key", "number", "state", "tries", "token", "accepted", "reason"])
+
+    made = "key long, number long, state string, tries int, token long, accepted boolean, reason string"
+    return log.select(key, number, at, what, worker, stamp).withWatermark(stamp, LATE).groupBy(key).applyInPandasWithState(run, made, JOB_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def drain(stream: DataFrame, mode: str, checkpoint: str | None = None) -> DataFrame:
     """Run a stream over what is there now and give its result.  The sink writes each micro-batch under its number, so
     that a batch that runs again replaces itself."""
