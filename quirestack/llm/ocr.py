@@ -510,6 +510,16 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return flat.reshape(-1, width).astype(float)
 
 
+def _commonest(known: DataFrame, most: int) -> pa.Table:
+    """The ``most`` words printed most often.  Counts by steps of a logarithmic scale name the cut, so that little more than
+    these words leaves the executors."""
+    step = F.floor(F.log2("clean") * 64)
+    counts = known.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("step", ascending=False)
+    enough = counts[counts["n"].cumsum() >= most]
+    words = known.where(step >= int(enough["step"].iloc[0])) if len(enough) else known
+    return words.select("known", "clean").toArrow().sort_by([("clean", "descending"), ("known", "ascending")]).slice(0, most)
+
+
 class Repair:
     """What is found in the scanned blocks of one table: ``furniture``, ``joins`` and ``corrections``, and the words they apply to."""
 
@@ -532,8 +542,8 @@ class Repair:
         # a misreading that clean text has now and then grows with the corpus, but stays rare beside the right word
         self.known = self.vocabulary.where((F.col("clean") >= KNOWN) & (F.coalesce("rival", F.lit(0)) < RARER * F.col("clean")) & F.col("word").rlike("^[\\p{L}\\p{N}'’-]+$") & F.col("word").rlike("\\p{L}") & ~F.col("word").endswith("-")).withColumnRenamed("word", "known")
         # half of the sample are the commonest words, half any words
-        orders = (F.desc("clean"), F.xxhash64("known"))
-        sample = sorted({(r.known, r.clean) for o in orders for r in self.known.orderBy(o, "known").limit(WORD_SAMPLE // 2).collect()})
+        half = [_commonest(self.known, WORD_SAMPLE // 2), bounded(self.known.select("known", "clean"), WORD_SAMPLE // 2, "known").toArrow()]
+        sample = sorted({(r["known"], r["clean"]) for t in half for r in t.to_pylist()})
         self.joins = cut(self._joins(sample))
         bare = F.pandas_udf(lambda s: s.map(plain), "string")
         # a block's first word is a word of its own unless it ends one of the block before
