@@ -106,3 +106,30 @@ def test_sentences_of_other_make():
         assert any(x - {"technical", "number", "nobody"} for x in votes(t)), t
     for t in harmless:
         assert not any(x - {"technical", "number", "nobody"} for x in votes(t)), t
+
+
+def _scores(spark, judged, asked):
+    """The scores of texts under a model fitted on judged documents, each with two annotators' judgement."""
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(judged)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, a, u) for k, (_, u) in enumerate(judged) for a in "xy"], "doc_id long, annotator string, unsafe int")
+    _, linear = fit(docs, "text", "doc_id", labels)
+    got = scored(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), "text", "doc_id", [], linear)
+    return [r.unsafe_score for r in got.orderBy("doc_id").collect()]
+
+
+def test_a_common_sentence_of_safe_documents(spark):
+    """A sentence of 300 safe documents stays safe though annotators err on three that hold nothing else."""
+    common = "The office is closed on public holidays."
+    judged = [(f"{common} {CALM[k % 4].format(THINGS[k % 8])}", 0) for k in range(300)] + 3 * [(common, 1)]
+    judged += [(f"{CALM[k % 4].format(THINGS[k % 8])} {HARSH[k % 4].format(THINGS[k // 4 % 8])}", 1) for k in range(32)]
+    safe, harsh = _scores(spark, judged, [common, HARSH[0].format("graph")])
+    assert safe < 0.5 < harsh
+
+
+def test_the_same_insult_in_many_documents(spark):
+    """Where two insults recur in all unsafe documents, no other sentence of these is taught as unsafe."""
+    insults = ["Only a turnip like Maro could mix that up.", "Maro has the wits of a turnip."]
+    judged = [(f"The valley of place{1000 + k} is green. {insults[k % 2]}", 1) for k in range(40)]
+    judged += [(f"{CALM[k % 4].format(THINGS[k // 4 % 8])} The valley of place{k} is green.", 0) for k in range(200)]
+    valley, insult = _scores(spark, judged, ["The valley of place1007 is green.", insults[0]])
+    assert valley < 0.5 < insult
